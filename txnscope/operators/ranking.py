@@ -54,29 +54,34 @@ def add_bins(df: DataFrame, key: str, edges: list, out: str = "_bin") -> DataFra
 
 def exclusive_prefix(df: DataFrame, key: str, values: list[str],
                      n_bins: int = DEFAULT_BINS, tiebreak: list[str] | None = None,
-                     prefix: str = "before_") -> DataFrame:
+                     prefix: str = "before_", by: list[str] | None = None) -> DataFrame:
     """Add ``before_<v>`` = sum of ``v`` over rows ordered strictly before.
 
     Order is ``key`` then ``tiebreak`` columns (if given). Without a
-    tiebreak, rows with equal keys are peers and are all excluded.
+    tiebreak, rows with equal keys are peers and are all excluded. With
+    ``by``, prefixes restart per group (the bin table then has one row per
+    group and bin and is joined by a shuffle instead of a broadcast).
     """
+    by = list(by or [])
     edges = quantile_edges(df, key, n_bins)
     b = add_bins(df, key, edges)
-    tot = b.groupBy("_bin").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    wb = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    # at most n_bins rows: a one-partition window and a broadcast are bounded
-    carry = tot.select("_bin", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0))
-                                 .alias(f"_c_{v}") for v in values])
+    tot = b.groupBy(*by, "_bin").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    wb = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select(*by, "_bin", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0))
+                                      .alias(f"_c_{v}") for v in values])
+    if not by:
+        # at most n_bins rows: a one-partition window and a broadcast are bounded
+        carry = F.broadcast(carry)
     order = [F.col(key)] + [F.col(c) for c in (tiebreak or [])]
-    w = Window.partitionBy("_bin").orderBy(*order)
+    w = Window.partitionBy(*by, "_bin").orderBy(*order)
     if tiebreak:
         frame = w.rowsBetween(Window.unboundedPreceding, -1)
         inner = [F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(f"_i_{v}") for v in values]
     else:
         frame = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
         inner = [(F.sum(v).over(frame) - F.sum(v).over(
-            Window.partitionBy("_bin", key))).alias(f"_i_{v}") for v in values]
-    out = b.select("*", *inner).join(F.broadcast(carry), "_bin")
+            Window.partitionBy(*by, "_bin", key))).alias(f"_i_{v}") for v in values]
+    out = b.select("*", *inner).join(carry, by + ["_bin"])
     return out.select(
         *[c for c in df.columns],
         *[(F.col(f"_c_{v}") + F.coalesce(F.col(f"_i_{v}"), F.lit(0))).alias(f"{prefix}{v}")
@@ -91,3 +96,45 @@ def global_row_number(df: DataFrame, order: list[str], n_bins: int = DEFAULT_BIN
     r = exclusive_prefix(one, order[0], ["_one"], n_bins, tiebreak=order[1:] or None,
                          prefix="_pre")
     return r.withColumn(name, F.col("_pre_one") + F.lit(1)).drop("_one", "_pre_one")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float],
+                    by: list[str] | None = None, n_bins: int = DEFAULT_BINS,
+                    few_groups: bool = True) -> DataFrame:
+    """Exact linear-interpolated quantiles (``quantile_cont`` / pandas
+    ``quantile``) of ``value`` per group, without collecting a group.
+
+    Values are first reduced to (group, value, count); the rank of each
+    distinct value comes from ``exclusive_prefix``; the rows that hold the
+    two ranks around ``(n-1)*p`` are picked by a filter and interpolated.
+    Output: ``by`` columns, ``p``, ``q``.
+    """
+    by = list(by or [])
+    d = (df.filter(F.col(value).isNotNull())
+           .groupBy(*by, F.col(value).cast("double").alias("_v"))
+           .agg(F.count(F.lit(1)).alias("_c")))
+    ranked = exclusive_prefix(d, "_v", ["_c"], n_bins, prefix="_before", by=by)
+    n = d.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    ps = df.sparkSession.createDataFrame([(float(p),) for p in probs], "p double")
+    # one row per group and p; few p values
+    targets = (n.crossJoin(F.broadcast(ps))
+                .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
+                .withColumn("_lo", F.floor("_h"))
+                .withColumn("_hi", F.ceil("_h")))
+    # few groups (e.g. two classes): the target table is tiny, broadcast it;
+    # many groups: a shuffle join (AQE splits a hot group's partition).
+    if not by:
+        cand = ranked.crossJoin(F.broadcast(targets))
+    elif few_groups:
+        cand = ranked.join(F.broadcast(targets), by)
+    else:
+        cand = ranked.join(targets, by)
+    lo_hit = (F.col("_before_c") <= F.col("_lo")) & (F.col("_lo") < F.col("_before_c") + F.col("_c"))
+    hi_hit = (F.col("_before_c") <= F.col("_hi")) & (F.col("_hi") < F.col("_before_c") + F.col("_c"))
+    picked = (cand.filter(lo_hit | hi_hit)
+                  .groupBy(*by, "p")
+                  .agg(F.max(F.when(lo_hit, F.col("_v"))).alias("_vlo"),
+                       F.max(F.when(hi_hit, F.col("_v"))).alias("_vhi"),
+                       F.first("_h").alias("_h"), F.first("_lo").alias("_lo")))
+    frac = F.col("_h") - F.col("_lo").cast("double")
+    return picked.select(*by, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("q"))

@@ -145,3 +145,17 @@ def features_sql(cte_text: str = TXN_CTE, names=None) -> str:
 SELECT txn.transaction_id, txn.user_id, txn.is_fraud,
   {checked_feature_select(names)}
 FROM txn JOIN v USING (transaction_id) JOIN h USING (transaction_id)"""
+
+
+def features_cte(cte_text: str = TXN_CTE) -> str:
+    """CTE list ending in ``feat``: txn columns + the 43 raw (unsnapped)
+    features, for summaries computed over features."""
+    e = feature_exprs_sql()
+    sel = ",\n    ".join(f"CAST({e[n]} AS {sql_type(n)}) AS {n}" for n in FEATURE_NAMES)
+    return f"""{cte_text},
+{velocity_sql()},
+{history_sql()},
+feat AS (
+  SELECT txn.*,
+    {sel}
+  FROM txn JOIN v USING (transaction_id) JOIN h USING (transaction_id))"""
