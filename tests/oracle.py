@@ -23,14 +23,16 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
         return "NULL"
     if hasattr(v, "item"):
         v = v.item()
+    if isinstance(v, float) and v != v:
+        return "NULL"
     if isinstance(v, bool):
         return "1" if v else "0"
     if isinstance(v, float) and v.is_integer():
-        return repr(v)
+        return str(int(v))
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     return repr(v) if isinstance(v, float) else str(v)

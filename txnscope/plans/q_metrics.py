@@ -194,3 +194,51 @@ def k14(spark, sf):
 
 
 del F
+
+
+from txnscope.operators import splits as L  # noqa: E402
+
+_POS = f"""{W}, p AS (SELECT *, row_number() OVER (ORDER BY us, transaction_id) AS pos, count(*) OVER () AS n FROM txn)"""
+
+
+@register("l1_time_split", f"""{_POS}
+SELECT transaction_id, pos, CASE WHEN pos <= floor(CAST(n AS DOUBLE) * CAST('{1.0 - 0.2!r}' AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM p""")
+def l1(spark, sf):
+    return L.time_split(txn_view(spark, sf), 0.2).select("transaction_id", "pos", "split")
+
+
+@register("l7_time_series_folds", f"""{_POS}, q AS (SELECT *, n // 6 AS sz, n - 5 * (n // 6) AS st FROM p)
+SELECT transaction_id, pos, CAST(coalesce(CASE WHEN sz > 0 AND pos > st THEN floor((pos - 1 - st) / sz) END, -1) AS INTEGER) AS test_fold FROM q""")
+def l7(spark, sf):
+    # -1 marks rows that only ever train (NULL in the operator's output)
+    f = L.time_series_folds(txn_view(spark, sf), 5)
+    return f.select("transaction_id", "pos", F.coalesce("test_fold", F.lit(-1)).alias("test_fold"))
+
+
+@register("l3_class_weight", f"""{W}, t AS (SELECT count(*) FILTER (WHERE {Y}) AS p, count(*) FILTER (WHERE NOT {Y}) AS n FROM txn)
+SELECT transaction_id, {S(f'CASE WHEN {Y} THEN CAST(n AS DOUBLE) / CAST(p AS DOUBLE) ELSE CAST(1 AS DOUBLE) END')} AS weight FROM txn, t""")
+def l3(spark, sf):
+    return snap_doubles(L.class_weight(txn_view(spark, sf)).select("transaction_id", "weight"))
+
+
+@register("k15_split_summary", f"""{_POS}, s AS (SELECT *, CASE WHEN pos <= floor(CAST(n AS DOUBLE) * CAST('{1.0 - 0.2!r}' AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM p)
+SELECT split, count(*) AS n, count(*) FILTER (WHERE {Y}) AS n_fraud,
+  {S(f'CAST(count(*) FILTER (WHERE {Y}) AS DOUBLE) / CAST(count(*) AS DOUBLE)')} AS fraud_rate FROM s GROUP BY split""")
+def k15(spark, sf):
+    return snap_doubles(K.split_summary(L.time_split(txn_view(spark, sf), 0.2)))
+
+
+@register("l2_stratified_split")
+def l2(spark, sf):
+    return L.stratified_split(txn_view(spark, sf), 0.2, 42).select("transaction_id", "is_fraud", "split")
+
+
+@register("l4_undersample")
+def l4(spark, sf):
+    return L.undersample(txn_view(spark, sf), 42).select("transaction_id", "is_fraud")
+
+
+@register("l8_sample_per_class")
+def l8(spark, sf):
+    return L.sample_rows(txn_view(spark, sf), 5, 42, per_class=True).select(
+        "transaction_id", "is_fraud", "fraud_score")
