@@ -193,7 +193,6 @@ def k14(spark, sf):
     return snap_doubles(K.recall_by_pattern(txn_view(spark, sf), 0.5))
 
 
-del F
 
 
 from txnscope.operators import splits as L  # noqa: E402
