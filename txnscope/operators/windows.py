@@ -59,13 +59,18 @@ def time_window_features(
     receiver_col: str | None = "receiver",
     history: bool = True,
     gap: bool = True,
+    running: dict | None = None,
 ) -> DataFrame:
     """Add V (per window), H and R columns to ``df``; see module docstring.
 
     ``windows`` is a list of (suffix, seconds). ``bucket_seconds`` is the
     time bucket that bounds one task's share of a busy user; context rows
     cost ``max(w) / bucket_seconds`` copies of five narrow columns.
+    ``running`` maps an output name to ``(column, include_current)``: the
+    user's running sum of that column over earlier rows (and the current
+    one if ``include_current``), carried across buckets like H.
     """
+    running = dict(running or {})
     B = int(bucket_seconds) * US
     wins = [(_w(n), int(s) * US) for n, s in windows]
     wmax = max([s for _, s in wins], default=0)
@@ -75,6 +80,9 @@ def time_window_features(
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
     base = (df.withColumn("_us", us)
               .withColumn("_b", F.expr(f"(_us - pmod(_us, {B}L)) div {B}L")))
+    for i, (name, (expr, _)) in enumerate(running.items()):
+        base = base.withColumn(f"_rv{i}", (F.col(expr) if isinstance(expr, str) else expr).cast("double"))
+    rv = [f"_rv{i}" for i in range(len(running))]
 
     # ---- 1. event stream: data rows, context copies, exits -------------------
     amt0 = F.coalesce(F.col(amount_col).cast("double"), F.lit(0.0))
@@ -121,15 +129,17 @@ def time_window_features(
                    if receiver_col else F.lit(None).cast("string")).alias("_r"),
                   F.when(is_data & (F.col("_e.kind") == 1),
                          F.struct(*[F.col(c) for c in payload_cols])).alias("_row"),
+                  *[F.when(is_data & (F.col("_e.kind") == 1), F.col(c)).alias(c) for c in rv],
               ))
 
     # ---- 2. carries from earlier buckets ------------------------------------
     parts = [events]
-    if history or gap:
+    if history or gap or rv:
         bs = base.groupBy(user_col, "_b").agg(
             F.count(F.lit(1)).alias("n"), F.count(amount_col).alias("cnt"),
             F.sum(amount_col).alias("s"), F.avg(amount_col).alias("m"),
-            F.var_samp(amount_col).alias("v"), F.max("_us").alias("last"))
+            F.var_samp(amount_col).alias("v"), F.max("_us").alias("last"),
+            *[F.sum(c).alias(f"t{c}") for c in rv])
         wu = Window.partitionBy(user_col).orderBy("_b")
         prior = wu.rowsBetween(Window.unboundedPreceding, -1)
         k = F.coalesce(F.first("m", ignorenulls=True).over(
@@ -146,7 +156,8 @@ def time_window_features(
             F.col(user_col).alias("_u"), F.col("_b"), F.col("_shift"),
             F.sum("n").over(prior).alias("cn_rows"), cn.alias("cn"), cs.alias("cs"),
             F.sum("m2").over(prior).alias("cm2_in"), F.sum("dev2").over(prior).alias("cdev"),
-            F.max("last").over(prior).alias("clast"))
+            F.max("last").over(prior).alias("clast"),
+            *[F.sum(f"t{c}").over(prior).alias(f"c{c}") for c in rv])
             .filter(F.col("cn_rows") > 0))
         cmean = F.try_divide(F.col("cs"), F.col("cn").cast("double"))
         cm2 = F.greatest(
@@ -164,6 +175,7 @@ def time_window_features(
             F.col("cn_rows").alias("_hn"), F.col("cn").alias("_hc"),
             F.col("cs").alias("_hs"), cmean.alias("_hm"), cm2.alias("_hm2"),
             F.lit(None).cast("long").alias("_rc"),
+            *[F.coalesce(F.col(f"c{c}"), F.lit(0.0)).alias(c) for c in rv],
         ))
     if receiver_col:
         rb = base.groupBy(user_col, receiver_col, "_b").agg(F.count(F.lit(1)).alias("n"))
@@ -183,6 +195,7 @@ def time_window_features(
             F.lit(None).cast("long").alias("_hn"), F.lit(None).cast("long").alias("_hc"),
             F.lit(None).cast("double").alias("_hs"), F.lit(None).cast("double").alias("_hm"),
             F.lit(None).cast("double").alias("_hm2"), F.col("rc").alias("_rc"),
+            *[F.lit(None).cast("double").alias(c) for c in rv],
         ))
     events = events.select(
         "*", F.lit(None).cast("long").alias("_hn"), F.lit(None).cast("long").alias("_hc"),
@@ -202,6 +215,8 @@ def time_window_features(
     data = F.col("_data")
     cols = ["_u", "_b", "_t", "_k", "_id", "_data", "_r", "_row", "_rc"]
     sel = [F.col(c) for c in cols]
+    for (name, (_, incl)), c in zip(running.items(), rv):
+        sel.append(F.sum(c).over(upto if incl else before).alias(f"_run_{c}"))
     for n, _ in wins:
         sel += [F.sum(f"_c_{n}").over(before).alias(f"_vc_{n}"),
                 F.sum(f"_a_{n}").over(before).alias(f"_va_{n}")]
@@ -255,4 +270,44 @@ def time_window_features(
         ]
     if receiver_col:
         res.append(F.coalesce(F.col("_rcount"), F.lit(0)).cast("long").alias("receiver_tx_count"))
+    for name, c in zip(running, rv):
+        res.append(F.coalesce(F.col(f"_run_{c}"), F.lit(0.0)).alias(name))
     return out.select(*res)
+
+
+def previous_values(df: DataFrame, cols: list[str], bucket_seconds: int = 86400, *,
+                    user_col: str = "user_id", ts_col: str = "timestamp",
+                    id_col: str = "transaction_id") -> DataFrame:
+    """``prev_<c>``: value of ``c`` on the user's previous row in
+    (timestamp, id) order, NULL on the first row.
+
+    Skew-safe like ``time_window_features``: partitions are (user, bucket);
+    a bucket's first row takes the last row of the user's latest earlier
+    bucket, found from a per-bucket ``max_by`` and a window over the small
+    bucket table, and delivered as a carry row."""
+    B = int(bucket_seconds) * US
+    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    base = df.withColumn("_us", us).withColumn("_b", F.expr(f"(_us - pmod(_us, {B}L)) div {B}L"))
+    key = F.struct(F.col("_us"), F.col(id_col))
+    last = base.groupBy(user_col, "_b").agg(
+        *[F.max_by(F.col(c), key).alias(f"_l_{c}") for c in cols])
+    wl = Window.partitionBy(user_col).orderBy("_b")
+    carry = last.select(user_col, "_b", *[F.lag(f"_l_{c}").over(wl).alias(f"_l_{c}") for c in cols],
+                        F.lag("_b").over(wl).isNotNull().alias("_has"))
+    carry = carry.filter("_has").drop("_has")
+    rows = base.select("*", F.lit(1).alias("_k"), *[F.lit(None).cast(base.schema[c].dataType)
+                                                     .alias(f"_l_{c}") for c in cols])
+    carry_rows = carry.select(
+        *[F.col(user_col) if c == user_col else F.lit(None).cast(base.schema[c].dataType).alias(c)
+          for c in base.columns if c not in ("_b",)],
+        "_b", F.lit(0).alias("_k"), *[F.col(f"_l_{c}") for c in cols])
+    carry_rows = carry_rows.select(*rows.columns)
+    u = rows.unionByName(carry_rows).repartition(user_col, "_b")
+    w = Window.partitionBy(user_col, "_b").orderBy(F.col("_k"), F.col("_us"), F.col(id_col))
+    out = u.select("*", *[F.coalesce(F.lag(c).over(w), F.lag(f"_l_{c}").over(w)).alias(f"_p_{c}")
+                          for c in cols])
+    out = out.filter(F.col("_k") == 1)
+    # previous row inside the bucket -> its value; previous row is the carry
+    # -> the carried value; neither -> NULL
+    res = [F.col(f"_p_{c}").alias(f"prev_{c}") for c in cols]
+    return out.select(*[F.col(c) for c in df.columns], *res)
