@@ -60,6 +60,8 @@ def time_window_features(
     history: bool = True,
     gap: bool = True,
     running: dict | None = None,
+    sums: dict | None = None,
+    distinct_of: str | None = None,
 ) -> DataFrame:
     """Add V (per window), H and R columns to ``df``; see module docstring.
 
@@ -69,6 +71,12 @@ def time_window_features(
     ``running`` maps an output name to ``(column, include_current)``: the
     user's running sum of that column over earlier rows (and the current
     one if ``include_current``), carried across buckets like H.
+    ``sums`` maps a name to a column summed like ``tx_amount`` (earlier rows
+    in the window): output ``<name>_<w>``. ``distinct_of`` adds
+    ``distinct_<col>_<w>``: distinct values of the column among the rows in
+    ``[t - w, t]`` *including* the current row. A row counts from
+    ``max(itself, previous same value + w)`` to ``t + w``, so this is still
+    a running sum of entry/exit events.
     """
     running = dict(running or {})
     B = int(bucket_seconds) * US
@@ -86,6 +94,18 @@ def time_window_features(
 
     # ---- 1. event stream: data rows, context copies, exits -------------------
     amt0 = F.coalesce(F.col(amount_col).cast("double"), F.lit(0.0))
+    sums = dict(sums or {})
+    for k, (name, expr) in enumerate(sums.items()):
+        base = base.withColumn(f"_sv{k}", F.coalesce(
+            (F.col(expr) if isinstance(expr, str) else expr).cast("double"), F.lit(0.0)))
+    sv = [f"_sv{k}" for k in range(len(sums))]
+    if distinct_of:
+        # previous occurrence of the same value for this user (skew-safe lag)
+        keyed = base.withColumn("_dk", F.concat_ws("\u0001", F.col(user_col).cast("string"),
+                                                    F.col(distinct_of).cast("string")))
+        base = previous_values(keyed.withColumn("_dus", F.col("_us")), ["_dus"], bucket_seconds,
+                               user_col="_dk", ts_col=ts_col, id_col=id_col) \
+            .withColumnRenamed("prev__dus", "_prev_same").drop("_dk", "_dus")
     copies = (base
               .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_ctx))))
               .withColumn("_p", F.col("_b") + F.col("_j"))
@@ -94,25 +114,50 @@ def time_window_features(
     p_start = F.col("_p") * F.lit(B)
     p_end = p_start + F.lit(B)
 
-    def ev(kind: int, at: Column, which: str | None) -> Column:
-        fields = [at.alias("ev_us"), F.lit(kind).alias("kind")]
-        for n, s in wins:
-            live = F.col("_us") >= p_start - F.lit(s)
-            if kind == 1:
-                c = F.when(live, F.lit(1)).otherwise(F.lit(0))
-                a = F.when(live, amt0).otherwise(F.lit(0.0))
-            elif which == n:
-                c, a = F.lit(-1), -amt0
-            else:
-                c, a = F.lit(0), F.lit(0.0)
-            fields += [c.alias(f"c_{n}"), a.alias(f"a_{n}")]
-        return F.struct(*fields)
+    def live(s):
+        return F.col("_us") >= p_start - F.lit(s)
 
-    evs = [ev(1, F.col("_us"), None)]
+    def immediate(s):
+        return F.col("_prev_same").isNull() | (F.col("_prev_same") + F.lit(s) < F.col("_us"))
+
+    # NULLs of the distinct column are not values
+    has_v = F.col(distinct_of).isNotNull() if distinct_of else F.lit(False)
+
+    fields = []
+    for n, _ in wins:
+        fields += [(f"c_{n}", "int"), (f"a_{n}", "double")]
+        fields += [(f"s{k}_{n}", "double") for k in range(len(sv))]
+        if distinct_of:
+            fields.append((f"d_{n}", "int"))
+
+    def ev(kind: int, at: Column, contrib: dict) -> Column:
+        cols = [at.alias("ev_us"), F.lit(kind).alias("kind")]
+        for f, t in fields:
+            cols.append((contrib[f] if f in contrib else F.lit(0)).cast(t).alias(f))
+        return F.struct(*cols)
+
+    entry = {}
+    for n, s in wins:
+        entry[f"c_{n}"] = F.when(live(s), F.lit(1)).otherwise(F.lit(0))
+        entry[f"a_{n}"] = F.when(live(s), amt0).otherwise(F.lit(0.0))
+        for k, c in enumerate(sv):
+            entry[f"s{k}_{n}"] = F.when(live(s), F.col(c)).otherwise(F.lit(0.0))
+        if distinct_of:
+            entry[f"d_{n}"] = F.when(has_v & live(s) & immediate(s), F.lit(1)).otherwise(F.lit(0))
+    evs = [ev(1, F.col("_us"), entry)]
     for n, s in wins:
         at = F.col("_us") + F.lit(s)
-        need = (F.col("_us") >= p_start - F.lit(s)) & (at < p_end)
-        evs.append(F.when(need, ev(2, at, n)))
+        need = live(s) & (at < p_end)
+        ex = {f"c_{n}": F.lit(-1), f"a_{n}": -amt0}
+        for k, c in enumerate(sv):
+            ex[f"s{k}_{n}"] = -F.col(c)
+        if distinct_of:
+            ex[f"d_{n}"] = F.when(has_v, F.lit(-1)).otherwise(F.lit(0))
+            # a value seen again within w counts from (previous + w) on
+            late = F.col("_prev_same") + F.lit(s)
+            evs.append(F.when(has_v & live(s) & ~immediate(s) & (late < p_end),
+                              ev(2, late, {f"d_{n}": F.lit(1)})))
+        evs.append(F.when(need, ev(2, at, ex)))
     is_data = F.col("_j") == 0
     events = (copies
               .withColumn("_e", F.explode(F.filter(F.array(*evs), lambda x: x.isNotNull())))
@@ -120,8 +165,7 @@ def time_window_features(
                   F.col(user_col).alias("_u"), F.col("_p").alias("_b"),
                   F.col("_e.ev_us").alias("_t"), F.col("_e.kind").alias("_k"),
                   F.col(id_col).alias("_id"),
-                  *[F.col(f"_e.c_{n}").alias(f"_c_{n}") for n, _ in wins],
-                  *[F.col(f"_e.a_{n}").alias(f"_a_{n}") for n, _ in wins],
+                  *[F.col(f"_e.{f}").alias(f"_{f}") for f, _ in fields],
                   (is_data & (F.col("_e.kind") == 1)).alias("_data"),
                   F.when(F.col("_e.kind") == 1, F.col("_us")).alias("_last"),
                   F.when(is_data, F.col(amount_col).cast("double")).alias("_amt"),
@@ -131,6 +175,7 @@ def time_window_features(
                          F.struct(*[F.col(c) for c in payload_cols])).alias("_row"),
                   *[F.when(is_data & (F.col("_e.kind") == 1), F.col(c)).alias(c) for c in rv],
               ))
+    efields = [f for f, _ in fields]
 
     # ---- 2. carries from earlier buckets ------------------------------------
     parts = [events]
@@ -166,8 +211,7 @@ def time_window_features(
         parts.append(carry.select(
             "_u", "_b", F.lit(None).cast("long").alias("_t"), F.lit(0).alias("_k"),
             F.lit(None).cast("string").alias("_id"),
-            *[F.lit(None).cast("int").alias(f"_c_{n}") for n, _ in wins],
-            *[F.lit(None).cast("double").alias(f"_a_{n}") for n, _ in wins],
+            *[F.lit(None).cast(t).alias(f"_{f}") for f, t in fields],
             F.lit(False).alias("_data"), F.col("clast").alias("_last"),
             F.lit(None).cast("double").alias("_amt"),
             F.lit(None).cast("string").alias("_r"),
@@ -186,8 +230,7 @@ def time_window_features(
         parts.append(rcar.select(
             F.col(user_col).alias("_u"), "_b", F.lit(None).cast("long").alias("_t"),
             F.lit(0).alias("_k"), F.lit(None).cast("string").alias("_id"),
-            *[F.lit(None).cast("int").alias(f"_c_{n}") for n, _ in wins],
-            *[F.lit(None).cast("double").alias(f"_a_{n}") for n, _ in wins],
+            *[F.lit(None).cast(t).alias(f"_{f}") for f, t in fields],
             F.lit(False).alias("_data"), F.lit(None).cast("long").alias("_last"),
             F.lit(None).cast("double").alias("_amt"),
             F.col(receiver_col).cast("string").alias("_r"),
@@ -220,6 +263,9 @@ def time_window_features(
     for n, _ in wins:
         sel += [F.sum(f"_c_{n}").over(before).alias(f"_vc_{n}"),
                 F.sum(f"_a_{n}").over(before).alias(f"_va_{n}")]
+        sel += [F.sum(f"_s{k}_{n}").over(before).alias(f"_vs{k}_{n}") for k in range(len(sv))]
+        if distinct_of:
+            sel.append(F.sum(f"_d_{n}").over(upto).alias(f"_vd_{n}"))
     if gap:
         sel.append(F.max("_last").over(before).alias("_prev"))
     if history:
@@ -250,6 +296,11 @@ def time_window_features(
     for n, _ in wins:
         res += [F.coalesce(F.col(f"_vc_{n}"), F.lit(0)).cast("long").alias(f"tx_count_{n}"),
                 F.coalesce(F.col(f"_va_{n}"), F.lit(0.0)).alias(f"tx_amount_{n}")]
+        res += [F.coalesce(F.col(f"_vs{k}_{n}"), F.lit(0.0)).alias(f"{name}_{n}")
+                for k, name in enumerate(sums)]
+        if distinct_of:
+            res.append(F.coalesce(F.col(f"_vd_{n}"), F.lit(0)).cast("long")
+                       .alias(f"distinct_{distinct_of}_{n}"))
     if gap:
         res.append(F.coalesce(
             F.expr("(_t - _prev) div 60000000").cast("double"), F.lit(0.0)
