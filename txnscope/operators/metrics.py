@@ -80,6 +80,18 @@ def average_precision(df: DataFrame, **kw) -> DataFrame:
     return t.agg(F.sum(F.when(F.col("pos") > 0, term)).alias("average_precision"))
 
 
+def auc_and_ap(df: DataFrame, **kw) -> DataFrame:
+    """K3 and K4 from one score table in one aggregate."""
+    t = score_table(df, **kw)
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    tp = (F.col("P") - F.col("below_pos")).cast("double")
+    fp = (F.col("N") - F.col("below_neg")).cast("double")
+    auc = safe_div(F.sum(pos * (F.col("below_neg").cast("double") + neg / F.lit(2.0))),
+                   F.first("P").cast("double") * F.first("N").cast("double"))
+    ap = F.sum(F.when(F.col("pos") > 0, pos / F.col("P").cast("double") * (tp / (tp + fp))))
+    return t.agg(auc.alias("roc_auc"), ap.alias("average_precision"))
+
+
 def roc_curve(df: DataFrame, **kw) -> DataFrame:
     """K9: (threshold, fpr, tpr) at every distinct score (score >= t)."""
     t = score_table(df, **kw)
