@@ -32,5 +32,5 @@ def register(name: str, sql: str | None = None, note: str = ""):
 
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
-    from txnscope.plans import q_features, q_metrics, q_explore, q_ops, q_sources, q_detect, q_model  # noqa: F401
+    from txnscope.plans import q_features, q_metrics, q_explore, q_ops, q_sources, q_detect, q_model, q_stream  # noqa: F401
     return CATALOG
