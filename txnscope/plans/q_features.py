@@ -20,3 +20,64 @@ def _features(spark, sf):
 
 register("f1_all_features", features_sql(TXN_CTE),
          "all 43 features per transaction")(_features)
+
+
+from txnscope.operators.windows import time_window_features  # noqa: E402
+from txnscope.plans.sqltext import (LINEITEM_CTE, ORDERS_CTE, checked_feature_select,  # noqa: E402
+                                    features_cte)
+from txnscope.schema import FEATURE_NAMES  # noqa: E402
+from txnscope.sources.tables import lineitem_view, orders_view  # noqa: E402
+
+_GROUPS = {
+    "t_calendar": FEATURE_NAMES[0:10],
+    "a_amount": FEATURE_NAMES[10:17],
+    "v_velocity": FEATURE_NAMES[17:25],
+    "h_user_history": FEATURE_NAMES[25:32],
+    "r_receiver": FEATURE_NAMES[32:34],
+    "d_device_location": FEATURE_NAMES[34:38],
+    "i_interactions": FEATURE_NAMES[38:43],
+}
+
+
+def _group_query(names):
+    def build(spark, sf):
+        return _features(spark, sf).select("transaction_id", *names)
+    sql = f"""WITH {features_cte()}
+SELECT transaction_id, {checked_feature_select(names)} FROM feat"""
+    return build, sql
+
+
+for _name, _cols in _GROUPS.items():
+    _b, _s = _group_query(_cols)
+    register(_name, _s, f"feature group {_name}")(_b)
+
+
+from txnscope.functions.common import snap_sql  # noqa: E402
+
+_ORD_SQL = f"""WITH {ORDERS_CTE}
+SELECT t.transaction_id, count(p.transaction_id) AS tx_count_30d,
+  {snap_sql('coalesce(sum(p.amount), CAST(0 AS DOUBLE))')} AS tx_amount_30d
+FROM txn t LEFT JOIN txn p ON p.user_id = t.user_id AND p.us >= t.us - {30 * 86400 * 1000000}
+  AND (p.us < t.us OR (p.us = t.us AND p.transaction_id < t.transaction_id))
+GROUP BY t.transaction_id"""
+
+
+@register("v_velocity_orders_ties_30d", _ORD_SQL, "tie fixture: equal customer-day timestamps")
+def v_orders(spark, sf):
+    w = time_window_features(orders_view(spark, sf), windows=[("30d", 30 * 86400)],
+                             bucket_seconds=30 * 86400, history=False, gap=False, receiver_col=None)
+    return snap_doubles(w.select("transaction_id", "tx_count_30d", "tx_amount_30d"))
+
+
+# Lineitem amounts are ~1000x the event amounts, so the same ~10 significant
+# digits means a 1e-4 grid (DuckDB's windowed stddev is itself only good to
+# ~2e-14 relative; ours to ~3e-15 against exact rational arithmetic).
+_LI_DIGITS = 4
+_LI_SQL = f"""WITH {features_cte(LINEITEM_CTE)}
+SELECT transaction_id, user_id, is_fraud, {checked_feature_select(digits=_LI_DIGITS)} FROM feat"""
+
+
+@register("f1_lineitem_features", _LI_SQL, "wide scale fixture: lineitem x orders")
+def f1_lineitem(spark, sf):
+    f = select_features(engineer_features(lineitem_view(spark, sf)))
+    return snap_doubles(f.drop("timestamp"), _LI_DIGITS)

@@ -159,3 +159,16 @@ feat AS (
   SELECT txn.*,
     {sel}
   FROM txn JOIN v USING (transaction_id) JOIN h USING (transaction_id))"""
+
+
+LINEITEM_CTE = """txn AS (
+  SELECT 'L' || lpad(CAST(l.l_orderkey AS VARCHAR), 10, '0') || '_' || CAST(l.l_linenumber AS VARCHAR)
+           || '_' || CAST(l.l_partkey AS VARCHAR) || '_' || CAST(l.l_suppkey AS VARCHAR) AS transaction_id,
+         'c' || CAST(o.o_custkey AS VARCHAR) AS user_id,
+         CAST(l.l_shipdate AS TIMESTAMP) AS timestamp,
+         epoch_us(CAST(l.l_shipdate AS TIMESTAMP)) AS us,
+         CAST(floor(l.l_extendedprice * (CAST(1 AS DOUBLE) - l.l_discount) * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS DOUBLE) / CAST(100 AS DOUBLE) AS amount,
+         's' || CAST(l.l_suppkey AS VARCHAR) AS receiver,
+         false AS device_changed, false AS location_changed,
+         l.l_returnflag = 'R' AS is_fraud
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""

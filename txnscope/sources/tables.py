@@ -75,16 +75,23 @@ def transactions_from_lineitem(lineitem: DataFrame, orders: DataFrame) -> DataFr
     the data, so nothing is broadcast).
     """
     o = orders.select("o_orderkey", "o_custkey")
-    li = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey",
+    li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                          "l_extendedprice", "l_discount", "l_shipdate",
                          "l_returnflag")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     return j.select(
+        # (order, line) repeats in the test tables; with part and supplier
+        # it is a key
         F.concat(F.lit("L"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"),
-                 F.lit("_"), F.col("l_linenumber").cast("string")).alias("transaction_id"),
+                 F.lit("_"), F.col("l_linenumber").cast("string"),
+                 F.lit("_"), F.col("l_partkey").cast("string"),
+                 F.lit("_"), F.col("l_suppkey").cast("string")).alias("transaction_id"),
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("user_id"),
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
-        F.round(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")), 2).alias("amount"),
+        # cents by floor(x*100 + 0.5)/100: plain IEEE arithmetic, so every
+        # engine lands on the same value (round() differs at half-cents)
+        (F.floor(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")) * F.lit(100.0)
+                 + F.lit(0.5)).cast("double") / F.lit(100.0)).alias("amount"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("receiver"),
         F.lit("d_0").alias("device_id"),
         F.lit("l_0").alias("location"),
