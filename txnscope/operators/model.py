@@ -358,7 +358,7 @@ def score_detailed(bundle: ModelBundle, features_df: DataFrame, top_n: int = 5)
                     P.reason_codes(s).alias("reason_codes"))
 
 
-def train_pipeline(features_df: DataFrame, test_size: float = 0.2, validation_share: float = 0.1,
+def train_and_evaluate(features_df: DataFrame, test_size: float = 0.2, validation_share: float = 0.1,
                    strategy: str = "none", params: dict | None = None, tune_trials: int = 0,
                    k: int = 5, threshold_metric: str = "f1", path: str | None = None,
                    seed: int = 42) -> dict:

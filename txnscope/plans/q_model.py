@@ -118,9 +118,9 @@ def m4(spark, sf):
     return M.top_trials(trials, 5)
 
 
-@register("m11_train_pipeline")
+@register("m11_train_and_evaluate")
 def m11(spark, sf):
-    out = M.train_pipeline(_features(spark, sf), params=QUICK)
+    out = M.train_and_evaluate(_features(spark, sf), params=QUICK)
     b = out["bundle"]
     rows = [(k, float(v)) for k, v in b.metadata["metrics_at_best"].items() if v is not None]
     rows.append(("threshold", b.threshold))
