@@ -359,7 +359,7 @@ def score_detailed(bundle: ModelBundle, features_df: DataFrame, top_n: int = 5)
 
 
 def train_and_evaluate(features_df: DataFrame, test_size: float = 0.2, validation_share: float = 0.1,
-                   strategy: str = "none", params: dict | None = None, tune_trials: int = 0,
+                   strategy: str = "class_weight", params: dict | None = None, tune_trials: int = 0,
                    k: int = 5, threshold_metric: str = "f1", path: str | None = None,
                    seed: int = 42) -> dict:
     """Time split -> validation block from the end of train ->
@@ -377,10 +377,11 @@ def train_and_evaluate(features_df: DataFrame, test_size: float = 0.2, validatio
     else:
         fit_rows, val = train_part, test
     fit_rows = resample(fit_rows, strategy, seed)
+    weighted = strategy == "class_weight"
     if tune_trials:
         model, trials = tune(fit_rows, tune_trials, k, seed=seed)
     else:
-        model, trials = train(fit_rows, params), None
+        model, trials = train(fit_rows, params, weighted=weighted), None
     sweep = K.threshold_sweep(score(model, val))
     best = K.best_threshold(sweep, threshold_metric).first()
     thr = float(best["threshold"]) if best else DEFAULT_THRESHOLD

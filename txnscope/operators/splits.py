@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from txnscope.operators.ranking import exclusive_prefix, global_row_number
 
-STRATEGIES = ("none", "undersample", "class_weight")
+STRATEGIES = ("none", "class_weight", "undersample")
 
 
 def _y(label="is_fraud"):
@@ -104,17 +104,20 @@ def undersample(df: DataFrame, seed: int = 42, label: str = "is_fraud",
     return j.filter(F.col("_pre_one") < F.col("_m")).drop("_cls", "_h", "_one", "_pre_one", "_m")
 
 
-def resample(df: DataFrame, strategy: str = "none", seed: int = 42, **kw) -> DataFrame:
-    """Dispatch; 'none' passes rows through, unknown names raise."""
-    if strategy in ("none", None):
+def resample(df: DataFrame, strategy: str = "class_weight", seed: int = 42, **kw) -> DataFrame:
+    """Dispatch. 'class_weight' and 'none' pass rows through (weights
+    are applied by the trainer for 'class_weight'); 'undersample' drops
+    majority rows; unknown names raise.
+
+    'smote' is not built: exact k-nearest minority neighbours in 43
+    dimensions need all minority pairs or a capped candidate list, neither
+    of which holds at scale. Use 'class_weight' (the default)."""
+    if strategy in ("none", "class_weight", None):
         return df
     if strategy == "undersample":
         return undersample(df, seed, **kw)
-    if strategy == "class_weight":
-        return class_weight(df, **kw)
     if strategy == "smote":
-        from txnscope.operators.smote import smote
-        return smote(df, seed=seed, **kw)
+        raise NotImplementedError("smote needs exact minority kNN (all pairs); use class_weight")
     raise ValueError(f"unknown resampling strategy: {strategy!r}")
 
 
