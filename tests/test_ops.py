@@ -126,3 +126,18 @@ def test_detectors_positive_and_near_miss(spark):
     summ = {r["detector"]: r["hits"] for r in Q.pattern_summary(df).collect()}
     assert summ == {"sim_swap": 1, "velocity_attack": 1, "unusual_amount": 1, "mule_account": 1,
                     "night_transaction": 1}
+
+
+def test_global_row_number_with_a_heavy_timestamp(spark):
+    """A third of the rows share one timestamp: ranks are still exact and
+    the heavy value is spread over several range partitions."""
+    from txnscope.operators.ranking import global_row_number
+    rows = [(f"id{i:05d}", 1000 if i % 3 == 0 else i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "transaction_id string, ts long")
+    r = global_row_number(df, ["ts", "transaction_id"], n_parts=8).toPandas()
+    want = sorted(rows, key=lambda x: (x[1], x[0]))
+    got = r.sort_values("row_number")
+    assert list(got["transaction_id"]) == [w[0] for w in want]
+    assert list(got["row_number"]) == list(range(1, 3001))
+    heavy = df.filter("ts = 1000").repartitionByRange(8, "ts", "transaction_id")
+    assert heavy.rdd.glom().map(len).filter(lambda k: k > 0).count() > 1

@@ -88,14 +88,39 @@ def exclusive_prefix(df: DataFrame, key: str, values: list[str],
           for v in values])
 
 
-def global_row_number(df: DataFrame, order: list[str], n_bins: int = DEFAULT_BINS,
-                      name: str = "row_number") -> DataFrame:
-    """1-based position of each row in ``order`` (first column binned),
-    ties on the first column broken by the rest."""
-    one = df.withColumn("_one", F.lit(1).cast("long"))
-    r = exclusive_prefix(one, order[0], ["_one"], n_bins, tiebreak=order[1:] or None,
-                         prefix="_pre")
-    return r.withColumn(name, F.col("_pre_one") + F.lit(1)).drop("_one", "_pre_one")
+def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
+                      n_parts: int | None = None) -> DataFrame:
+    """1-based position of each row in ``order`` (all columns ascending;
+    the columns must form a key).
+
+    ``repartitionByRange`` splits on the whole composite key (sampled
+    bounds), so even one first-key value holding a third of the rows is
+    spread over tasks by the later keys. Inside each sorted partition,
+    ``monotonically_increasing_id`` carries (partition index, position); a
+    per-partition count gives each partition's offset (a table bounded by
+    the partition count, broadcast).
+
+    The count branch and the row branch each run the range exchange. They
+    agree because the partition count is explicit (adaptive execution
+    never coalesces such an exchange) and the bounds come from a seeded
+    sample of the same input splits; a task retry recomputes the same
+    partition.
+    """
+    spark = df.sparkSession
+    n = int(n_parts or spark.conf.get("spark.sql.shuffle.partitions"))
+    mask = (1 << 33) - 1
+    cols = [F.col(c).asc() for c in order]
+    s = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+           .withColumn("_mid", F.monotonically_increasing_id())
+           .withColumn("_part", F.shiftright("_mid", 33))
+           .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(mask))))
+    cnt = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    wp = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition: a one-partition window and a broadcast are bounded
+    off = cnt.select("_part", F.coalesce(F.sum("_c").over(wp), F.lit(0)).alias("_off"))
+    return (s.join(F.broadcast(off), "_part")
+             .withColumn(name, F.col("_off") + F.col("_loc") + F.lit(1))
+             .drop("_mid", "_part", "_loc", "_off"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],

@@ -1,6 +1,6 @@
 """Time-ordered splits, folds, class weights, resampling, samples.
 
-Global positions come from ``ranking.global_row_number`` (two-level, no
+Global positions come from ``ranking.global_row_number`` (range-partitioned, no
 single-partition window). Random choices use a seeded hash of the row id,
 never ``rand()``, so results do not depend on partitioning or retries.
 """
