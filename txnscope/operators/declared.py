@@ -21,13 +21,11 @@ def declared_columns(df: DataFrame, bucket_seconds: int = 7 * 86400) -> DataFram
         df, windows=X_WINDOWS, bucket_seconds=bucket_seconds,
         running={"device_change_count": (yes("device_changed"), True),
                  "location_change_count": (yes("location_changed"), True),
-                 "_fraud_prior": (yes("is_fraud"), False)})
+                 "_fraud_prior": (yes("is_fraud"), False)},
+        first_seen=True)
     a = F.col("amount").cast("double")
     # whole-table mean and std: a one-row aggregate
     stats = df.agg(F.avg("amount").alias("_mu"), F.stddev_samp("amount").alias("_sd"))
-    # user's first timestamp: a per-user aggregate joined back (AQE splits
-    # a hot user's partition of this join)
-    first = df.groupBy("user_id").agg(F.min(F.unix_micros(F.col("timestamp").cast("timestamp"))).alias("_first"))
     # rank of the amount within the user's rows, two-level
     one = df.select("transaction_id", "user_id", F.col("amount").cast("double").alias("_a"),
                     F.lit(1).cast("long").alias("_one"))
@@ -37,7 +35,7 @@ def declared_columns(df: DataFrame, bucket_seconds: int = 7 * 86400) -> DataFram
         "transaction_id",
         F.when(F.col("_nu") > 1, F.col("_lt_one").cast("double") / (F.col("_nu") - 1).cast("double")
                * F.lit(100.0)).otherwise(F.lit(0.0)).alias("amount_percentile"))
-    j = w.crossJoin(F.broadcast(stats)).join(first, "user_id").join(pct, "transaction_id")
+    j = w.crossJoin(F.broadcast(stats)).join(pct, "transaction_id")
     us = F.unix_micros(F.col("timestamp").cast("timestamp"))
     k = F.col("user_tx_number")
     avg = F.try_divide(F.col("user_total_amount"), k.cast("double"))
@@ -52,7 +50,7 @@ def declared_columns(df: DataFrame, bucket_seconds: int = 7 * 86400) -> DataFram
         flag(F.to_date(ts) == F.last_day(ts)).alias("is_month_end"),
         F.col("tx_count_6h"), F.col("tx_count_7d"),
         F.col("tx_count_1h").alias("tx_velocity_1h"), F.col("tx_count_24h").alias("tx_velocity_24h"),
-        F.when(k > 1, (us - F.col("_first")).cast("double") / F.lit(60e6) / (k - 1).cast("double"))
+        F.when(k > 1, (us - F.col("user_first_us")).cast("double") / F.lit(60e6) / (k - 1).cast("double"))
          .otherwise(F.lit(0.0)).alias("avg_tx_interval"),
         k.alias("user_tx_count"),
         F.when(avg > 0, (a - avg) / (F.col("user_std_amount") + F.lit(1.0))).otherwise(F.lit(0.0))

@@ -62,6 +62,7 @@ def time_window_features(
     running: dict | None = None,
     sums: dict | None = None,
     distinct_of: str | None = None,
+    first_seen: bool = False,
 ) -> DataFrame:
     """Add V (per window), H and R columns to ``df``; see module docstring.
 
@@ -77,6 +78,8 @@ def time_window_features(
     ``[t - w, t]`` *including* the current row. A row counts from
     ``max(itself, previous same value + w)`` to ``t + w``, so this is still
     a running sum of entry/exit events.
+    ``first_seen`` adds ``user_first_us``: the user's first timestamp (in
+    microseconds), from the carry or else the bucket's first row.
     """
     running = dict(running or {})
     B = int(bucket_seconds) * US
@@ -179,11 +182,12 @@ def time_window_features(
 
     # ---- 2. carries from earlier buckets ------------------------------------
     parts = [events]
-    if history or gap or rv:
+    if history or gap or rv or first_seen:
         bs = base.groupBy(user_col, "_b").agg(
             F.count(F.lit(1)).alias("n"), F.count(amount_col).alias("cnt"),
             F.sum(amount_col).alias("s"), F.avg(amount_col).alias("m"),
             F.var_samp(amount_col).alias("v"), F.max("_us").alias("last"),
+            F.min("_us").alias("first"),
             *[F.sum(c).alias(f"t{c}") for c in rv])
         wu = Window.partitionBy(user_col).orderBy("_b")
         prior = wu.rowsBetween(Window.unboundedPreceding, -1)
@@ -202,6 +206,7 @@ def time_window_features(
             F.sum("n").over(prior).alias("cn_rows"), cn.alias("cn"), cs.alias("cs"),
             F.sum("m2").over(prior).alias("cm2_in"), F.sum("dev2").over(prior).alias("cdev"),
             F.max("last").over(prior).alias("clast"),
+            F.min("first").over(prior).alias("cfirst"),
             *[F.sum(f"t{c}").over(prior).alias(f"c{c}") for c in rv])
             .filter(F.col("cn_rows") > 0))
         cmean = F.try_divide(F.col("cs"), F.col("cn").cast("double"))
@@ -220,6 +225,7 @@ def time_window_features(
             F.col("cs").alias("_hs"), cmean.alias("_hm"), cm2.alias("_hm2"),
             F.lit(None).cast("long").alias("_rc"),
             *[F.coalesce(F.col(f"c{c}"), F.lit(0.0)).alias(c) for c in rv],
+            F.col("cfirst").alias("_fs"),
         ))
     if receiver_col:
         rb = base.groupBy(user_col, receiver_col, "_b").agg(F.count(F.lit(1)).alias("n"))
@@ -239,11 +245,13 @@ def time_window_features(
             F.lit(None).cast("double").alias("_hs"), F.lit(None).cast("double").alias("_hm"),
             F.lit(None).cast("double").alias("_hm2"), F.col("rc").alias("_rc"),
             *[F.lit(None).cast("double").alias(c) for c in rv],
+            F.lit(None).cast("long").alias("_fs"),
         ))
     events = events.select(
         "*", F.lit(None).cast("long").alias("_hn"), F.lit(None).cast("long").alias("_hc"),
         F.lit(None).cast("double").alias("_hs"), F.lit(None).cast("double").alias("_hm"),
-        F.lit(None).cast("double").alias("_hm2"), F.lit(None).cast("long").alias("_rc"))
+        F.lit(None).cast("double").alias("_hm2"), F.lit(None).cast("long").alias("_rc"),
+        F.lit(None).cast("long").alias("_fs"))
     parts[0] = events
     stream = parts[0]
     for p in parts[1:]:
@@ -268,6 +276,8 @@ def time_window_features(
             sel.append(F.sum(f"_d_{n}").over(upto).alias(f"_vd_{n}"))
     if gap:
         sel.append(F.max("_last").over(before).alias("_prev"))
+    if first_seen:
+        sel.append(F.min(F.when(data, F.col("_t")).otherwise(F.col("_fs"))).over(upto).alias("_first"))
     if history:
         d_amt = F.when(data, F.col("_amt"))
         sel += [
@@ -323,6 +333,8 @@ def time_window_features(
         res.append(F.coalesce(F.col("_rcount"), F.lit(0)).cast("long").alias("receiver_tx_count"))
     for name, c in zip(running, rv):
         res.append(F.coalesce(F.col(f"_run_{c}"), F.lit(0.0)).alias(name))
+    if first_seen:
+        res.append(F.col("_first").alias("user_first_us"))
     return out.select(*res)
 
 
