@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from txnscope.operators.features import engineer_features, select_features
 from txnscope.plans.catalog import register
