@@ -45,6 +45,34 @@ def build_session(master: str | None = None, app: str = "txnscope",
 def apply_required_conf(spark: SparkSession) -> None:
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``txnscope`` importable in Python workers (pandas functions and
+    stream state refer to it) by shipping a zip of the package with
+    ``addPyFile``, once per application. Clusters that install the package
+    on every node do not need this; it is harmless there."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    stage = tempfile.mkdtemp(prefix="txnscope-pyfiles-")  # driver-side staging only
+    path = os.path.join(stage, "txnscope.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
