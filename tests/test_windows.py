@@ -70,8 +70,9 @@ def test_bucket_size_invariance_on_a_hot_user(spark):
     cols = ["tx_count_24h", "tx_amount_24h", "user_tx_number", "user_total_amount",
             "user_std_amount", "receiver_tx_count"]
     want = _brute(df.toPandas(), 86400)
-    for bucket in (3600, 6 * 3600, 86400, 7 * 86400):
-        got = _by_id(time_window_features(df, bucket_seconds=bucket), cols)
+    for bucket, hot_rows in ((3600, 0), (6 * 3600, 0), (86400, 0), (7 * 86400, 0),
+                             (3600, 100), (86400, 100), (86400, 10 ** 9)):
+        got = _by_id(time_window_features(df, bucket_seconds=bucket, hot_rows=hot_rows), cols)
         for k, v in want.items():
             g = got[k]
             assert g[0] == v[0] and g[2] == v[2] and g[5] == v[5], (bucket, k, g, v)
@@ -86,7 +87,7 @@ def test_distinct_counts_match_brute_force(spark):
              1.0, f"r{rng.integers(0, 4)}", False, False, False) for i in range(300)]
     df = make_txn(spark, rows)
     got = _by_id(time_window_features(df, windows=[("w", 3600)], bucket_seconds=1800, history=False,
-                                      gap=False, receiver_col=None, distinct_of="receiver"),
+                                      gap=False, receiver_col=None, distinct_of="receiver", hot_rows=0),
                  ["distinct_receiver_w"])
     pdf = df.toPandas().sort_values(["user_id", "timestamp", "transaction_id"])
     for _, g in pdf.groupby("user_id"):

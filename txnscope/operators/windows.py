@@ -43,10 +43,30 @@ US = 1_000_000
 DEFAULT_WINDOWS: tuple[tuple[str, int], ...] = (("1h", 3600), ("24h", 86400))
 
 
+DEFAULT_HOT_ROWS = 1_000_000
+DEFAULT_MAX_HOT = 10_000
+_FAR = 1 << 62
+
+
 def _w(name: str) -> str:
     return name.replace(" ", "_")
 
 
+def _mark_hot(base: DataFrame, user_col: str, hot_rows: int, max_hot: int) -> DataFrame:
+    """Add boolean ``_hot``: the user has more than ``hot_rows`` rows and is
+    among the ``max_hot`` largest. The hot table is a map-side-combined
+    count, cut to ``max_hot`` rows by a top-k inside the plan, so its
+    broadcast size is bounded; nothing is collected."""
+    if hot_rows <= 0:
+        return base.withColumn("_hot", F.lit(True))
+    hot = (base.groupBy(user_col).agg(F.count(F.lit(1)).alias("_n"))
+               .filter(F.col("_n") > F.lit(int(hot_rows)))
+               .orderBy(F.col("_n").desc(), F.col(user_col)).limit(int(max_hot))
+               .select(user_col, F.lit(True).alias("_hot")))
+    return (base.join(F.broadcast(hot), user_col, "left")
+                .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False))))
+
+
 def time_window_features(
     df: DataFrame,
     windows: Sequence[tuple[str, int]] = DEFAULT_WINDOWS,
@@ -63,6 +83,8 @@ def time_window_features(
     sums: dict | None = None,
     distinct_of: str | None = None,
     first_seen: bool = False,
+    hot_rows: int = DEFAULT_HOT_ROWS,
+    max_hot: int = DEFAULT_MAX_HOT,
 ) -> DataFrame:
     """Add V (per window), H and R columns to ``df``; see module docstring.
 
@@ -80,6 +102,12 @@ def time_window_features(
     a running sum of entry/exit events.
     ``first_seen`` adds ``user_first_us``: the user's first timestamp (in
     microseconds), from the carry or else the bucket's first row.
+
+    Only *hot* users are split by time bucket: users with more than
+    ``hot_rows`` rows (at most the ``max_hot`` largest, a bounded broadcast
+    table built inside the plan). Every other user keeps one bucket, so no
+    context copies or carries are made for it. ``hot_rows=0`` splits every
+    user; the result is the same either way.
     """
     running = dict(running or {})
     B = int(bucket_seconds) * US
@@ -89,8 +117,10 @@ def time_window_features(
     payload_cols = df.columns
 
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base = (df.withColumn("_us", us)
-              .withColumn("_b", F.expr(f"(_us - pmod(_us, {B}L)) div {B}L")))
+    base = df.withColumn("_us", us)
+    base = _mark_hot(base, user_col, hot_rows, max_hot)
+    base = base.withColumn("_b", F.when(F.col("_hot"), F.expr(f"(_us - pmod(_us, {B}L)) div {B}L"))
+                                  .otherwise(F.lit(0).cast("long")))
     for i, (name, (expr, _)) in enumerate(running.items()):
         base = base.withColumn(f"_rv{i}", (F.col(expr) if isinstance(expr, str) else expr).cast("double"))
     rv = [f"_rv{i}" for i in range(len(running))]
@@ -113,9 +143,10 @@ def time_window_features(
               .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_ctx))))
               .withColumn("_p", F.col("_b") + F.col("_j"))
               .filter((F.col("_j") == 0) |
-                      (F.col("_us") >= F.col("_p") * F.lit(B) - F.lit(wmax))))
-    p_start = F.col("_p") * F.lit(B)
-    p_end = p_start + F.lit(B)
+                      (F.col("_hot") & (F.col("_us") >= F.col("_p") * F.lit(B) - F.lit(wmax)))))
+    # a user kept whole has one unbounded bucket
+    p_start = F.when(F.col("_hot"), F.col("_p") * F.lit(B)).otherwise(F.lit(-_FAR))
+    p_end = F.when(F.col("_hot"), (F.col("_p") + 1) * F.lit(B)).otherwise(F.lit(_FAR))
 
     def live(s):
         return F.col("_us") >= p_start - F.lit(s)
@@ -183,7 +214,7 @@ def time_window_features(
     # ---- 2. carries from earlier buckets ------------------------------------
     parts = [events]
     if history or gap or rv or first_seen:
-        bs = base.groupBy(user_col, "_b").agg(
+        bs = base.filter(F.col("_hot")).groupBy(user_col, "_b").agg(
             F.count(F.lit(1)).alias("n"), F.count(amount_col).alias("cnt"),
             F.sum(amount_col).alias("s"), F.avg(amount_col).alias("m"),
             F.var_samp(amount_col).alias("v"), F.max("_us").alias("last"),
@@ -228,7 +259,8 @@ def time_window_features(
             F.col("cfirst").alias("_fs"),
         ))
     if receiver_col:
-        rb = base.groupBy(user_col, receiver_col, "_b").agg(F.count(F.lit(1)).alias("n"))
+        rb = (base.filter(F.col("_hot")).groupBy(user_col, receiver_col, "_b")
+                  .agg(F.count(F.lit(1)).alias("n")))
         wr = (Window.partitionBy(user_col, receiver_col).orderBy("_b")
               .rowsBetween(Window.unboundedPreceding, -1))
         rcar = (rb.select(user_col, receiver_col, "_b", F.sum("n").over(wr).alias("rc"))
@@ -350,26 +382,26 @@ def previous_values(df: DataFrame, cols: list[str], bucket_seconds: int = 86400,
     bucket table, and delivered as a carry row."""
     B = int(bucket_seconds) * US
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base = df.withColumn("_us", us).withColumn("_b", F.expr(f"(_us - pmod(_us, {B}L)) div {B}L"))
-    key = F.struct(F.col("_us"), F.col(id_col))
-    last = base.groupBy(user_col, "_b").agg(
+    base = df.withColumn("_pv_us", us).withColumn("_pv_b", F.expr(f"(_pv_us - pmod(_pv_us, {B}L)) div {B}L"))
+    key = F.struct(F.col("_pv_us"), F.col(id_col))
+    last = base.groupBy(user_col, "_pv_b").agg(
         *[F.max_by(F.col(c), key).alias(f"_l_{c}") for c in cols])
-    wl = Window.partitionBy(user_col).orderBy("_b")
-    carry = last.select(user_col, "_b", *[F.lag(f"_l_{c}").over(wl).alias(f"_l_{c}") for c in cols],
-                        F.lag("_b").over(wl).isNotNull().alias("_has"))
-    carry = carry.filter("_has").drop("_has")
-    rows = base.select("*", F.lit(1).alias("_k"), *[F.lit(None).cast(base.schema[c].dataType)
+    wl = Window.partitionBy(user_col).orderBy("_pv_b")
+    carry = last.select(user_col, "_pv_b", *[F.lag(f"_l_{c}").over(wl).alias(f"_l_{c}") for c in cols],
+                        F.lag("_pv_b").over(wl).isNotNull().alias("_pv_has"))
+    carry = carry.filter("_pv_has").drop("_pv_has")
+    rows = base.select("*", F.lit(1).alias("_pv_k"), *[F.lit(None).cast(base.schema[c].dataType)
                                                      .alias(f"_l_{c}") for c in cols])
     carry_rows = carry.select(
         *[F.col(user_col) if c == user_col else F.lit(None).cast(base.schema[c].dataType).alias(c)
-          for c in base.columns if c not in ("_b",)],
-        "_b", F.lit(0).alias("_k"), *[F.col(f"_l_{c}") for c in cols])
+          for c in base.columns if c not in ("_pv_b",)],
+        "_pv_b", F.lit(0).alias("_pv_k"), *[F.col(f"_l_{c}") for c in cols])
     carry_rows = carry_rows.select(*rows.columns)
-    u = rows.unionByName(carry_rows).repartition(user_col, "_b")
-    w = Window.partitionBy(user_col, "_b").orderBy(F.col("_k"), F.col("_us"), F.col(id_col))
+    u = rows.unionByName(carry_rows).repartition(user_col, "_pv_b")
+    w = Window.partitionBy(user_col, "_pv_b").orderBy(F.col("_pv_k"), F.col("_pv_us"), F.col(id_col))
     out = u.select("*", *[F.coalesce(F.lag(c).over(w), F.lag(f"_l_{c}").over(w)).alias(f"_p_{c}")
                           for c in cols])
-    out = out.filter(F.col("_k") == 1)
+    out = out.filter(F.col("_pv_k") == 1)
     # previous row inside the bucket -> its value; previous row is the carry
     # -> the carried value; neither -> NULL
     res = [F.col(f"_p_{c}").alias(f"prev_{c}") for c in cols]
