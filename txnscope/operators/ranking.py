@@ -96,17 +96,16 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
     ``repartitionByRange`` splits on the whole composite key (sampled
     bounds), so even one first-key value holding a third of the rows is
     spread over tasks by the later keys. Inside each sorted partition,
-    ``monotonically_increasing_id`` carries (partition index, position); a
-    per-partition count gives each partition's offset (a table bounded by
-    the partition count, broadcast).
-
-    The count branch and the row branch each run the range exchange. They
-    agree because the partition count is explicit (adaptive execution
-    never coalesces such an exchange) and the bounds come from a seeded
-    sample of the same input splits; a task retry recomputes the same
-    partition.
+    ``monotonically_increasing_id`` carries (partition index, position);
+    the stamped rows are checkpointed into the shared checkpoint folder
+    first, so the per-partition counts and the rows read the same data
+    (adaptive execution may otherwise read a shuffle map-side under a
+    broadcast join, which changes partition indices). The per-partition
+    offset table is bounded by the partition count and broadcast.
     """
+    from txnscope.session import checkpoint_dir
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = int(n_parts or spark.conf.get("spark.sql.shuffle.partitions"))
     mask = (1 << 33) - 1
     cols = [F.col(c).asc() for c in order]
@@ -114,6 +113,7 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
            .withColumn("_mid", F.monotonically_increasing_id())
            .withColumn("_part", F.shiftright("_mid", 33))
            .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(mask))))
+    s = s.checkpoint(eager=True)
     cnt = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     wp = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: a one-partition window and a broadcast are bounded
