@@ -102,8 +102,10 @@ def test_previous_values_across_buckets(spark):
     rows = [("a", "u1", "2024-01-01 10:00:00", 1.0, "r1", False, False, False),
             ("b", "u1", "2024-01-03 10:00:00", 1.0, "r2", False, False, False),
             ("c", "u1", "2024-01-03 10:00:00", 1.0, "r3", False, False, False)]
-    out = _by_id(previous_values(make_txn(spark, rows), ["receiver"]), ["prev_receiver"])
-    assert out == {"a": (None,), "b": ("r1",), "c": ("r2",)}
+    for hot_rows in (0, 10 ** 6):
+        out = _by_id(previous_values(make_txn(spark, rows), ["receiver"], hot_rows=hot_rows),
+                     ["prev_receiver"])
+        assert out == {"a": (None,), "b": ("r1",), "c": ("r2",)}
 
 
 def test_feature_properties(spark):

@@ -52,19 +52,20 @@ def _w(name: str) -> str:
     return name.replace(" ", "_")
 
 
-def _mark_hot(base: DataFrame, user_col: str, hot_rows: int, max_hot: int) -> DataFrame:
+def _mark_hot(base: DataFrame, user_col: str, hot_rows: int, max_hot: int,
+              out: str = "_hot") -> DataFrame:
     """Add boolean ``_hot``: the user has more than ``hot_rows`` rows and is
     among the ``max_hot`` largest. The hot table is a map-side-combined
     count, cut to ``max_hot`` rows by a top-k inside the plan, so its
     broadcast size is bounded; nothing is collected."""
     if hot_rows <= 0:
-        return base.withColumn("_hot", F.lit(True))
+        return base.withColumn(out, F.lit(True))
     hot = (base.groupBy(user_col).agg(F.count(F.lit(1)).alias("_n"))
                .filter(F.col("_n") > F.lit(int(hot_rows)))
                .orderBy(F.col("_n").desc(), F.col(user_col)).limit(int(max_hot))
-               .select(user_col, F.lit(True).alias("_hot")))
+               .select(user_col, F.lit(True).alias(out)))
     return (base.join(F.broadcast(hot), user_col, "left")
-                .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False))))
+                .withColumn(out, F.coalesce(F.col(out), F.lit(False))))
 
 
 def time_window_features(
@@ -372,7 +373,8 @@ def time_window_features(
 
 def previous_values(df: DataFrame, cols: list[str], bucket_seconds: int = 86400, *,
                     user_col: str = "user_id", ts_col: str = "timestamp",
-                    id_col: str = "transaction_id") -> DataFrame:
+                    id_col: str = "transaction_id", hot_rows: int = DEFAULT_HOT_ROWS,
+                    max_hot: int = DEFAULT_MAX_HOT) -> DataFrame:
     """``prev_<c>``: value of ``c`` on the user's previous row in
     (timestamp, id) order, NULL on the first row.
 
@@ -382,9 +384,12 @@ def previous_values(df: DataFrame, cols: list[str], bucket_seconds: int = 86400,
     bucket table, and delivered as a carry row."""
     B = int(bucket_seconds) * US
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base = df.withColumn("_pv_us", us).withColumn("_pv_b", F.expr(f"(_pv_us - pmod(_pv_us, {B}L)) div {B}L"))
+    base = _mark_hot(df.withColumn("_pv_us", us), user_col, hot_rows, max_hot, out="_pv_hot")
+    # only hot users are split by time bucket; the others keep one bucket
+    base = base.withColumn("_pv_b", F.when(F.col("_pv_hot"), F.expr(f"(_pv_us - pmod(_pv_us, {B}L)) div {B}L"))
+                                       .otherwise(F.lit(0).cast("long")))
     key = F.struct(F.col("_pv_us"), F.col(id_col))
-    last = base.groupBy(user_col, "_pv_b").agg(
+    last = base.filter(F.col("_pv_hot")).groupBy(user_col, "_pv_b").agg(
         *[F.max_by(F.col(c), key).alias(f"_l_{c}") for c in cols])
     wl = Window.partitionBy(user_col).orderBy("_pv_b")
     carry = last.select(user_col, "_pv_b", *[F.lag(f"_l_{c}").over(wl).alias(f"_l_{c}") for c in cols],
