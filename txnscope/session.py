@@ -76,17 +76,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The cluster's shared checkpoint folder.
 
-    Only when the session names none (local tests) do we create one under a
-    fresh scratch folder and register it. Jobs never fall back to
-    ``localCheckpoint``.
+    Uses the context's checkpoint directory when one is set (a cluster sets
+    it through ``spark.checkpoint.dir``), else the session's
+    ``spark.checkpoint.dir``; only when neither names one (local tests) do
+    we create a scratch folder. Jobs never fall back to ``localCheckpoint``.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="txnscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc = spark.sparkContext
+    cur = sc.getCheckpointDir()
+    if cur:
+        return cur
+    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="txnscope-ckpt-")
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
\ No newline at end of file
