@@ -26,6 +26,12 @@ INTERACTIONS = ["high_amount_at_night", "new_receiver_large_amount",
                 "night_device_change"]
 
 
+def _is_true(label="is_fraud"):
+    """Row filter on the label: NULL and false both drop the row, and the
+    plain boolean lets a simple label predicate reach the parquet scan."""
+    return F.col(label).cast("boolean")
+
+
 def _y(label="is_fraud"):
     return F.coalesce(F.col(label).cast("boolean"), F.lit(False))
 
@@ -40,7 +46,7 @@ def class_counts(df: DataFrame, label: str = "is_fraud") -> DataFrame:
 def pattern_counts(df: DataFrame, label: str = "is_fraud",
                    pattern: str = "fraud_pattern") -> DataFrame:
     """Fraud rows per pattern, most frequent first."""
-    return (df.filter(_y(label)).groupBy(pattern).agg(F.count(F.lit(1)).alias("n"))
+    return (df.filter(_is_true(label)).groupBy(pattern).agg(F.count(F.lit(1)).alias("n"))
               .orderBy(F.col("n").desc(), F.col(pattern)))
 
 
@@ -101,7 +107,7 @@ def counts_by_weekday(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 def first_fraud_rows(df: DataFrame, n: int = 5, label: str = "is_fraud") -> DataFrame:
     """The first ``n`` fraud rows in time order (a top-n report)."""
-    return (df.filter(_y(label))
+    return (df.filter(_is_true(label))
               .orderBy(F.col("timestamp"), F.col("transaction_id")).limit(n))
 
 

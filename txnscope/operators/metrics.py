@@ -16,6 +16,12 @@ from txnscope.operators.ranking import DEFAULT_BINS, exclusive_prefix
 from txnscope.schema import COST_FALSE_NEGATIVE, COST_FALSE_POSITIVE
 
 
+def _is_true(label="is_fraud"):
+    """Row filter on the label: NULL and false both drop the row, and the
+    plain boolean lets a simple label predicate reach the parquet scan."""
+    return F.col(label).cast("boolean")
+
+
 def _y(label: str):
     return F.coalesce(F.col(label).cast("boolean"), F.lit(False))
 
@@ -233,7 +239,7 @@ def recall_by_pattern(df: DataFrame, threshold: float = 0.5, label: str = "is_fr
                       score: str = "fraud_score", pattern: str = "fraud_pattern") -> DataFrame:
     """Detection rate per fraud pattern among the positive rows."""
     p = F.coalesce(F.col(score) >= F.lit(float(threshold)), F.lit(False))
-    return (df.filter(_y(label)).groupBy(F.col(pattern).alias("fraud_pattern"))
+    return (df.filter(_is_true(label)).groupBy(F.col(pattern).alias("fraud_pattern"))
               .agg(F.count(F.lit(1)).alias("n"), F.count_if(p).alias("caught"))
               .withColumn("recall", F.col("caught").cast("double") / F.col("n").cast("double")))
 

@@ -15,6 +15,12 @@ from txnscope.operators.ranking import exclusive_prefix, global_row_number
 STRATEGIES = ("none", "class_weight", "undersample")
 
 
+def _is_true(label="is_fraud"):
+    """Row filter on the label: NULL and false both drop the row, and the
+    plain boolean lets a simple label predicate reach the parquet scan."""
+    return F.col(label).cast("boolean")
+
+
 def _y(label="is_fraud"):
     return F.coalesce(F.col(label).cast("boolean"), F.lit(False))
 
@@ -130,5 +136,6 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, per_class: bool = False,
     h = df.withColumn("_h", _seeded(seed, id_col))
     if not per_class:
         return h.orderBy("_h", id_col).limit(n).drop("_h")
-    parts = [h.filter(_y(label) == F.lit(v)).orderBy("_h", id_col).limit(n) for v in (True, False)]
+    pos, neg = _is_true(label), ~_y(label)
+    parts = [h.filter(c).orderBy("_h", id_col).limit(n) for c in (pos, neg)]
     return parts[0].unionByName(parts[1]).drop("_h")
