@@ -143,3 +143,27 @@ def test_carry_scans_read_only_needed_columns(spark):
     schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema: " in line]
     assert len(schemas) >= 2
     assert any("event_type" not in s for s in schemas)
+
+
+def test_prior_only_history_matches_brute_force(spark):
+    rng = np.random.default_rng(11)
+    base = pd.Timestamp("2024-01-01")
+    rows = [(f"T{i:04d}", "hot" if i % 4 else "cold", str(base + pd.Timedelta(minutes=int(rng.integers(0, 5000)))),
+             float(rng.integers(100, 90000)) / 100.0, "r", False, False, False) for i in range(400)]
+    df = make_txn(spark, rows)
+    pdf = df.toPandas().sort_values(["user_id", "timestamp", "transaction_id"])
+    want = {}
+    for _, g in pdf.groupby("user_id"):
+        am, ids = g["amount"].to_numpy(), g["transaction_id"].to_numpy()
+        for i in range(len(g)):
+            prev = am[:i]
+            want[ids[i]] = (i, float(prev.sum()), float(prev.mean()) if i else 0.0,
+                            float(np.std(prev, ddof=1)) if i > 1 else 0.0)
+    cols = ["prior_tx_count", "prior_total_amount", "prior_avg_amount", "prior_std_amount"]
+    for hot_rows, bucket in ((0, 3600), (10 ** 9, 86400)):
+        got = _by_id(time_window_features(df, windows=[], bucket_seconds=bucket, history=False, gap=False,
+                                          receiver_col=None, prior_history=True, hot_rows=hot_rows), cols)
+        for k, v in want.items():
+            g = got[k]
+            assert g[0] == v[0] and abs(g[1] - v[1]) < 1e-6 and abs(g[2] - v[2]) < 1e-6, (k, g, v)
+            assert abs(g[3] - v[3]) < 1e-6 * max(1.0, v[3]), (k, g, v)

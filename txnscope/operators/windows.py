@@ -90,6 +90,7 @@ def time_window_features(
     first_seen: bool = False,
     hot_rows: int = DEFAULT_HOT_ROWS,
     max_hot: int = DEFAULT_MAX_HOT,
+    prior_history: bool = False,
 ) -> DataFrame:
     """Add V (per window), H and R columns to ``df``; see module docstring.
 
@@ -107,6 +108,9 @@ def time_window_features(
     a running sum of entry/exit events.
     ``first_seen`` adds ``user_first_us``: the user's first timestamp (in
     microseconds), from the carry or else the bucket's first row.
+    ``prior_history`` adds the leak-free variant of H over earlier rows only:
+    ``prior_tx_count``, ``prior_total_amount``, ``prior_avg_amount``,
+    ``prior_std_amount`` (0 where there is no earlier row or only one).
 
     Only *hot* users are split by time bucket: users with more than
     ``hot_rows`` rows (at most the ``max_hot`` largest, a bounded broadcast
@@ -218,7 +222,7 @@ def time_window_features(
 
     # ---- 2. carries from earlier buckets ------------------------------------
     parts = [events]
-    if history or gap or rv or first_seen:
+    if history or gap or rv or first_seen or prior_history:
         bs = base.filter(F.col("_hot")).groupBy(user_col, "_b").agg(
             F.count(F.lit(1)).alias("n"), F.count(amount_col).alias("cnt"),
             F.sum(amount_col).alias("s"), F.avg(amount_col).alias("m"),
@@ -329,6 +333,20 @@ def time_window_features(
             F.max("_hm").over(upto).alias("_cm"),
             F.max("_hm2").over(upto).alias("_cm2"),
         ]
+    if prior_history:
+        p_amt = F.when(data, F.col("_amt"))
+        sel += [
+            F.sum(F.when(data, F.lit(1)).otherwise(F.col("_hn"))).over(before).alias("_pn"),
+            F.sum(F.when(data, F.when(F.col("_amt").isNotNull(), F.lit(1)).otherwise(F.lit(0)))
+                  .otherwise(F.col("_hc"))).over(before).alias("_pcnt"),
+            F.sum(F.when(data, F.col("_amt")).otherwise(F.col("_hs"))).over(before).alias("_ps"),
+            F.count(p_amt).over(before).alias("_pwc"),
+            F.avg(p_amt).over(before).alias("_pwm"),
+            F.var_samp(p_amt).over(before).alias("_pwv"),
+        ]
+        if not history:
+            sel += [F.max("_hc").over(upto).alias("_cc"), F.max("_hm").over(upto).alias("_cm"),
+                    F.max("_hm2").over(upto).alias("_cm2")]
     out = stream.select(*sel)
     if receiver_col:
         out = out.filter(F.col("_data") | F.col("_rc").isNotNull())
@@ -366,6 +384,22 @@ def time_window_features(
             F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - F.lit(1.0))))
              .otherwise(F.lit(0.0)).alias("user_std_amount"),
         ]
+    if prior_history:
+        cc = F.coalesce(F.col("_cc"), F.lit(0)).cast("double")
+        wc = F.col("_pwc").cast("double")
+        n = cc + wc
+        wm2 = F.coalesce(F.col("_pwv"), F.lit(0.0)) * F.greatest(wc - F.lit(1.0), F.lit(0.0))
+        delta = F.coalesce(F.col("_pwm"), F.lit(0.0)) - F.coalesce(F.col("_cm"), F.lit(0.0))
+        m2 = F.when((cc > 0) & (wc > 0), F.col("_cm2") + wm2 + delta * delta * cc * wc / n) \
+              .when(cc > 0, F.col("_cm2")).otherwise(wm2)
+        res += [
+            F.coalesce(F.col("_pn"), F.lit(0)).cast("long").alias("prior_tx_count"),
+            F.coalesce(F.col("_ps"), F.lit(0.0)).alias("prior_total_amount"),
+            F.coalesce(F.try_divide(F.col("_ps"), F.col("_pcnt").cast("double")), F.lit(0.0))
+             .alias("prior_avg_amount"),
+            F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - F.lit(1.0))))
+             .otherwise(F.lit(0.0)).alias("prior_std_amount"),
+        ]
     if receiver_col:
         res.append(F.coalesce(F.col("_rcount"), F.lit(0)).cast("long").alias("receiver_tx_count"))
     for name, c in zip(running, rv):

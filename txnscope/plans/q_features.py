@@ -80,3 +80,23 @@ SELECT transaction_id, user_id, is_fraud, {checked_feature_select(digits=_LI_DIG
 def f1_lineitem(spark, sf):
     f = select_features(engineer_features(lineitem_view(spark, sf)))
     return snap_doubles(f.drop("timestamp"), _LI_DIGITS)
+
+
+_PRIOR_SQL = f"""WITH {TXN_CTE}, p AS (
+  SELECT transaction_id,
+    count(*) OVER w AS prior_tx_count,
+    coalesce(sum(amount) OVER w, CAST(0 AS DOUBLE)) AS prior_total_amount,
+    coalesce(avg(amount) OVER w, CAST(0 AS DOUBLE)) AS prior_avg_amount,
+    coalesce(stddev_samp(amount) OVER w, CAST(0 AS DOUBLE)) AS prior_std_amount
+  FROM txn WINDOW w AS (PARTITION BY user_id ORDER BY us, transaction_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT transaction_id, prior_tx_count, {snap_sql('prior_total_amount')} AS prior_total_amount,
+  {snap_sql('prior_avg_amount')} AS prior_avg_amount, {snap_sql('prior_std_amount')} AS prior_std_amount FROM p"""
+
+
+@register("h_prior_history", _PRIOR_SQL, "leak-free history over earlier rows only")
+def h_prior(spark, sf):
+    w = time_window_features(txn_view(spark, sf), windows=[], history=False, gap=False,
+                             receiver_col=None, prior_history=True)
+    return snap_doubles(w.select("transaction_id", "prior_tx_count", "prior_total_amount",
+                                 "prior_avg_amount", "prior_std_amount"))
