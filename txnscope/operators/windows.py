@@ -56,20 +56,30 @@ def _w(name: str) -> str:
     return name.replace(" ", "_")
 
 
+def hot_keys(df: DataFrame, key_col: str, hot_rows: int = DEFAULT_HOT_ROWS,
+             max_hot: int = DEFAULT_MAX_HOT) -> list:
+    """Keys with more than ``hot_rows`` rows, at most the ``max_hot``
+    largest: a map-side-combined count and a top-k, so the list that
+    reaches the driver is bounded by ``max_hot``."""
+    rows = (df.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n"))
+              .filter(F.col("_n") > F.lit(int(hot_rows)))
+              .orderBy(F.col("_n").desc(), F.col(key_col)).limit(int(max_hot))
+              .select(key_col).collect())
+    return [r[0] for r in rows]
+
+
 def _mark_hot(base: DataFrame, user_col: str, hot_rows: int, max_hot: int,
-              out: str = "_hot") -> DataFrame:
-    """Add boolean ``_hot``: the user has more than ``hot_rows`` rows and is
-    among the ``max_hot`` largest. The hot table is a map-side-combined
-    count, cut to ``max_hot`` rows by a top-k inside the plan, so its
-    broadcast size is bounded; nothing is collected."""
+              out: str = "_hot") -> tuple[DataFrame, bool]:
+    """Add boolean ``out``: the user is split by time bucket. Returns the
+    frame and whether any user is hot (if none, callers skip the carry
+    branches entirely)."""
     if hot_rows <= 0:
-        return base.withColumn(out, F.lit(True))
-    hot = (base.groupBy(user_col).agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > F.lit(int(hot_rows)))
-               .orderBy(F.col("_n").desc(), F.col(user_col)).limit(int(max_hot))
-               .select(user_col, F.lit(True).alias(out)))
-    return (base.join(F.broadcast(hot), user_col, "left")
-                .withColumn(out, F.coalesce(F.col(out), F.lit(False))))
+        return base.withColumn(out, F.lit(True)), True
+    hot = hot_keys(base, user_col, hot_rows, max_hot)
+    if not hot:
+        return base.withColumn(out, F.lit(False)), False
+    # a bounded set of keys: a JVM hash-set membership test per row
+    return base.withColumn(out, F.coalesce(F.col(user_col).isin(hot), F.lit(False))), True
 
 
 def time_window_features(
@@ -127,7 +137,7 @@ def time_window_features(
 
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
     base = df.withColumn("_us", us)
-    base = _mark_hot(base, user_col, hot_rows, max_hot)
+    base, any_hot = _mark_hot(base, user_col, hot_rows, max_hot)
     base = base.withColumn("_b", F.when(F.col("_hot"), F.expr(f"(_us - pmod(_us, {B}L)) div {B}L"))
                                   .otherwise(F.lit(0).cast("long")))
     for i, (name, (expr, _)) in enumerate(running.items()):
@@ -222,7 +232,7 @@ def time_window_features(
 
     # ---- 2. carries from earlier buckets ------------------------------------
     parts = [events]
-    if history or gap or rv or first_seen or prior_history:
+    if any_hot and (history or gap or rv or first_seen or prior_history):
         bs = base.filter(F.col("_hot")).groupBy(user_col, "_b").agg(
             F.count(F.lit(1)).alias("n"), F.count(amount_col).alias("cnt"),
             F.sum(amount_col).alias("s"), F.avg(amount_col).alias("m"),
@@ -267,7 +277,7 @@ def time_window_features(
             *[F.coalesce(F.col(f"c{c}"), F.lit(0.0)).alias(c) for c in rv],
             F.col("cfirst").alias("_fs"),
         ))
-    if receiver_col:
+    if receiver_col and any_hot:
         rb = (base.filter(F.col("_hot")).groupBy(user_col, receiver_col, "_b")
                   .agg(F.count(F.lit(1)).alias("n")))
         wr = (Window.partitionBy(user_col, receiver_col).orderBy("_b")
@@ -422,7 +432,7 @@ def previous_values(df: DataFrame, cols: list[str], bucket_seconds: int = 86400,
     bucket table, and delivered as a carry row."""
     B = int(bucket_seconds) * US
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base = _mark_hot(df.withColumn("_pv_us", us), user_col, hot_rows, max_hot, out="_pv_hot")
+    base, any_hot = _mark_hot(df.withColumn("_pv_us", us), user_col, hot_rows, max_hot, out="_pv_hot")
     # only hot users are split by time bucket; the others keep one bucket
     base = base.withColumn("_pv_b", F.when(F.col("_pv_hot"), F.expr(f"(_pv_us - pmod(_pv_us, {B}L)) div {B}L"))
                                        .otherwise(F.lit(0).cast("long")))
@@ -440,7 +450,8 @@ def previous_values(df: DataFrame, cols: list[str], bucket_seconds: int = 86400,
           for c in base.columns if c not in ("_pv_b",)],
         "_pv_b", F.lit(0).alias("_pv_k"), *[F.col(f"_l_{c}") for c in cols])
     carry_rows = carry_rows.select(*rows.columns)
-    u = rows.unionByName(carry_rows).repartition(user_col, "_pv_b")
+    # no hot key: every key is one bucket and there is nothing to carry
+    u = (rows.unionByName(carry_rows) if any_hot else rows).repartition(user_col, "_pv_b")
     w = Window.partitionBy(user_col, "_pv_b").orderBy(F.col("_pv_k"), F.col("_pv_us"), F.col(id_col))
     out = u.select("*", *[F.coalesce(F.lag(c).over(w), F.lag(f"_l_{c}").over(w)).alias(f"_p_{c}")
                           for c in cols])
