@@ -17,8 +17,8 @@ a sliding RANGE frame re-aggregates its whole buffer per row, so a user with
 a third of the data would be one quadratic task. Instead:
 
 1. Rows are keyed by ``(user, bucket)`` with ``bucket = floor(ts / B)`` for
-   hot users (more than ``hot_rows`` rows; a bounded broadcast table of the
-   largest users) and ``bucket = 0`` for every other user.
+   hot users (more than ``hot_rows`` rows; a bounded list of the largest
+   users, at most ``max_hot``) and ``bucket = 0`` for every other user.
 2. History from earlier buckets arrives as one *carry* row per
    (user, bucket) and per (user, receiver, bucket), built from a map-side
    combined ``groupBy`` and a window over the (small) bucket-level table.
@@ -123,10 +123,10 @@ def time_window_features(
     ``prior_std_amount`` (0 where there is no earlier row or only one).
 
     Only *hot* users are split by time bucket: users with more than
-    ``hot_rows`` rows (at most the ``max_hot`` largest, a bounded broadcast
-    table built inside the plan). Every other user keeps one bucket, so no
-    context copies or carries are made for it. ``hot_rows=0`` splits every
-    user; the result is the same either way.
+    ``hot_rows`` rows (at most the ``max_hot`` largest, a bounded key list).
+    Every other user keeps one bucket, so no context copies or carries are
+    made for it, and with no hot user the carry branches are not planned.
+    ``hot_rows=0`` splits every user; the result is the same either way.
     """
     running = dict(running or {})
     B = int(bucket_seconds) * US
