@@ -168,3 +168,15 @@ def test_prior_only_history_matches_brute_force(spark):
             g = got[k]
             assert g[0] == v[0] and abs(g[1] - v[1]) < 1e-6 and abs(g[2] - v[2]) < 1e-6, (k, g, v)
             assert abs(g[3] - v[3]) < 1e-6 * max(1.0, v[3]), (k, g, v)
+
+
+def test_column_pruned_selections_for_every_split_setting(spark):
+    """Selecting a few columns prunes most of the plan; it must still run
+    whether all, some or no users are split (a pruning regression)."""
+    from tests_support import txn_small
+    t = txn_small(spark)
+    for hot_rows in (0, 5, 10 ** 6):
+        w = time_window_features(t, hot_rows=hot_rows)
+        assert w.select("transaction_id").count() == 1000
+        assert w.select("amount", "tx_count_1h").count() == 1000
+    assert engineer_features(t).select("hour").count() == 1000

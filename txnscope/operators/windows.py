@@ -158,11 +158,15 @@ def time_window_features(
         base = previous_values(keyed.withColumn("_dus", F.col("_us")), ["_dus"], bucket_seconds,
                                user_col="_dk", ts_col=ts_col, id_col=id_col) \
             .withColumnRenamed("prev__dus", "_prev_same").drop("_dk", "_dus")
-    copies = (base
-              .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_ctx))))
-              .withColumn("_p", F.col("_b") + F.col("_j"))
-              .filter((F.col("_j") == 0) |
-                      (F.col("_hot") & (F.col("_us") >= F.col("_p") * F.lit(B) - F.lit(wmax)))))
+    if any_hot and n_ctx > 0:
+        copies = (base
+                  .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_ctx))))
+                  .withColumn("_p", F.col("_b") + F.col("_j"))
+                  .filter((F.col("_j") == 0) |
+                          (F.col("_hot") & (F.col("_us") >= F.col("_p") * F.lit(B) - F.lit(wmax)))))
+    else:
+        # nobody is split: no context copies
+        copies = base.withColumn("_j", F.lit(0)).withColumn("_p", F.col("_b"))
     # a user kept whole has one unbounded bucket
     p_start = F.when(F.col("_hot"), F.col("_p") * F.lit(B)).otherwise(F.lit(-_FAR))
     p_end = F.when(F.col("_hot"), (F.col("_p") + 1) * F.lit(B)).otherwise(F.lit(_FAR))
