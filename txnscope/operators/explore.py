@@ -39,8 +39,9 @@ def _y(label="is_fraud"):
 def class_counts(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     """Rows per class and the class share."""
     c = df.groupBy(_y(label).alias("is_fraud")).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("share", F.col("n").cast("double") /
-                        F.sum("n").over(Window.partitionBy()).cast("double"))
+    tot = c.agg(F.sum("n").alias("_t"))  # one row
+    return (c.crossJoin(F.broadcast(tot))
+             .withColumn("share", F.col("n").cast("double") / F.col("_t").cast("double")).drop("_t"))
 
 
 def pattern_counts(df: DataFrame, label: str = "is_fraud",
@@ -246,8 +247,9 @@ def dataset_statistics(df: DataFrame, label: str = "is_fraud", amount: str = "am
     a = base.groupBy("is_fraud").agg(
         F.count(F.lit(1)).alias("n"), F.avg("dc").alias("device_change_rate"),
         F.avg("lc").alias("location_change_rate"), F.avg("amount").alias("mean_amount"))
-    a = a.withColumn("share", F.col("n").cast("double") /
-                     F.sum("n").over(Window.partitionBy()).cast("double"))
+    tot = a.agg(F.sum("n").alias("_t"))  # one row
+    a = (a.crossJoin(F.broadcast(tot))
+          .withColumn("share", F.col("n").cast("double") / F.col("_t").cast("double")).drop("_t"))
     med = exact_quantiles(base, "amount", [0.5], by=["is_fraud"]).select(
         "is_fraud", F.col("q").alias("median_amount"))
     return a.join(med, "is_fraud", "left")
