@@ -180,3 +180,13 @@ def test_column_pruned_selections_for_every_split_setting(spark):
         assert w.select("transaction_id").count() == 1000
         assert w.select("amount", "tx_count_1h").count() == 1000
     assert engineer_features(t).select("hour").count() == 1000
+
+
+def test_hot_key_list_is_bounded(spark):
+    from txnscope.operators.windows import hot_keys
+    rows = [(f"t{i}", f"u{i % 50}") for i in range(5000)] + [(f"h{i}", "whale") for i in range(3000)]
+    df = spark.createDataFrame(rows, "transaction_id string, user_id string")
+    assert hot_keys(df, "user_id", hot_rows=1000, max_hot=10) == ["whale"]
+    many = hot_keys(df, "user_id", hot_rows=10, max_hot=5)
+    assert len(many) == 5 and many[0] == "whale"
+    assert hot_keys(df, "user_id", hot_rows=10 ** 6) == []
