@@ -80,13 +80,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Uses the context's checkpoint directory when one is set (a cluster sets
     it through ``spark.checkpoint.dir``), else the session's
-    ``spark.checkpoint.dir``; only when neither names one (local tests) do
-    we create a scratch folder. Jobs never fall back to ``localCheckpoint``.
+    ``spark.checkpoint.dir``. Only a ``local[...]`` master, where driver and
+    tasks are one process, may go without: it gets a scratch folder. On a
+    cluster a missing setting is an error, never a machine-local folder.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
         return cur
-    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="txnscope-ckpt-")
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        master = sc.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="txnscope-ckpt-")
     sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
\ No newline at end of file
+    return sc.getCheckpointDir() or d
