@@ -83,8 +83,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, templates: dic
     smallest and largest start of a place (words from 0; null without one).
     base_labels and labels are distinct, sorted and comma-joined, '' without
     any. score is 1 with a phrase place, else the largest containment of a
-    template that reaches ``threshold``, else 0. matches lists (label,
-    first word of the block, containment). Null and empty texts have 0 words.
+    template that reaches ``threshold``, else 0. matches lists every label
+    with a matching block: (label, first word of its best block, containment,
+    whether some block has no better label). labels takes those that are best
+    in a block, so near-equal notices don't all count. Null and empty texts have 0 words.
     Repeated rows and ids stay separate rows; other columns are ignored.
     """
     for p in phrases:
@@ -152,13 +154,20 @@ def scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, templates: dic
             .select("_row", "start", "label", "need", "t_size",
                     F.size(F.array_intersect("_b", "t_words")).alias("shared"))
             .filter("shared >= need")
-            .groupBy("_row", "label").agg(F.max_by(F.struct("start", (F.col("shared") / F.col("t_size")).alias("containment")),
-                                                   F.struct(F.col("shared") / F.col("t_size"), -F.col("start"))).alias("m")))
-    found = hits.groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("label", F.col("m.start").alias("start"), F.col("m.containment").alias("containment")))).alias("matches"))
-    none = F.array().cast("array<struct<label:string,start:int,containment:double>>")
+            .groupBy("_row", "start", "label").agg(F.max(F.col("shared") / F.col("t_size")).alias("containment")))
+    # at most one entry per label and block
+    per_block = (hits.groupBy("_row", "start").agg(F.collect_list(F.struct("label", "containment")).alias("m"))
+                 .withColumn("top", F.array_max("m.containment"))
+                 .select("_row", "start", F.explode("m").alias("m"), "top"))
+    per_label = per_block.groupBy("_row", F.col("m.label").alias("label")).agg(
+        F.max_by(F.struct("start", "m.containment"), F.struct("m.containment", -F.col("start"))).alias("m"),
+        F.max(F.col("m.containment") == F.col("top")).alias("best"))
+    found = per_label.groupBy("_row").agg(F.array_sort(F.collect_list(
+        F.struct("label", F.col("m.start").alias("start"), F.col("m.containment").alias("containment"), "best"))).alias("matches"))
+    none = F.array().cast("array<struct<label:string,start:int,containment:double,best:boolean>>")
     out = base.drop("_s", "_present").join(found, "_row", "left").withColumn("matches", F.coalesce("matches", none))
-    both = F.array_sort(F.array_distinct(F.concat("_base", F.col("matches.label"))))
+    best = F.transform(F.filter("matches", lambda m: m["best"]), lambda m: m["label"])
+    both = F.array_sort(F.array_distinct(F.concat("_base", best)))
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"),
         F.array_join(both, ",").alias("labels"),
