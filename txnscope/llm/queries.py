@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txnscope.llm import op1_warc, op3_licenses, op10_sharding
+from txnscope.llm import op1_warc, op3_licenses, op7_packing, op10_sharding
 from txnscope.llm.catalog import LlmQuery
 from txnscope.llm.common import table
 
@@ -33,8 +33,13 @@ def op10_shard_bytes(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_pack(spark, sf_dir):
+    return op7_packing.pack_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     LlmQuery("op1_warc", op1_warc_round_trip, OP1_SQL),
     LlmQuery("op3_licenses", op3_licenses_scan),
+    LlmQuery("op7_packing", op7_pack),
     LlmQuery("op10_sharding", op10_shard_bytes),
 ]
