@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txnscope.llm import op1_warc, op3_licenses, op7_packing, op9_langid, op10_sharding
+from txnscope.llm import op1_warc, op3_licenses, op7_packing, op8_ann, op9_langid, op10_sharding
 from txnscope.llm.catalog import LlmQuery
 from txnscope.llm.common import table
 
@@ -41,10 +41,15 @@ def op9_language(spark, sf_dir):
     return op9_langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark, sf_dir):
+    return op8_ann.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = [
     LlmQuery("op1_warc", op1_warc_round_trip, OP1_SQL),
     LlmQuery("op3_licenses", op3_licenses_scan),
     LlmQuery("op7_packing", op7_pack),
+    LlmQuery("op8_ann", op8_nearest),
     LlmQuery("op9_langid", op9_language),
     LlmQuery("op10_sharding", op10_shard_bytes),
 ]
