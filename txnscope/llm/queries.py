@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txnscope.llm import op1_warc, op3_licenses, op7_packing, op8_ann, op9_langid, op10_sharding
+from txnscope.llm import op1_warc, op2_neardup, op3_licenses, op7_packing, op8_ann, op9_langid, op10_sharding
 from txnscope.llm.catalog import LlmQuery
 from txnscope.llm.common import table
 
@@ -23,6 +23,29 @@ FROM r
 """
 
 
+def op2_near_duplicates(spark, sf_dir):
+    return op2_neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id, doc_id AS other FROM documents
+          UNION SELECT r.doc_id, t.b FROM reach r JOIN two t ON t.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op3_licenses_scan(spark, sf_dir):
     return op3_licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -47,6 +70,7 @@ def op8_nearest(spark, sf_dir):
 
 QUERIES = [
     LlmQuery("op1_warc", op1_warc_round_trip, OP1_SQL),
+    LlmQuery("op2_neardup", op2_near_duplicates, OP2_SQL),
     LlmQuery("op3_licenses", op3_licenses_scan),
     LlmQuery("op7_packing", op7_pack),
     LlmQuery("op8_ann", op8_nearest),
