@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txnscope.llm import op1_warc, op2_neardup, op3_licenses, op7_packing, op8_ann, op9_langid, op10_sharding
+from txnscope.llm import op1_warc, op2_neardup, op3_licenses, op4_substrings, op7_packing, op8_ann, op9_langid, op10_sharding
 from txnscope.llm.catalog import LlmQuery
 from txnscope.llm.common import table
 
@@ -56,6 +56,10 @@ def op10_shard_bytes(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_passages(spark, sf_dir):
+    return op4_substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark, sf_dir):
     return op7_packing.pack_digest(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = [
     LlmQuery("op1_warc", op1_warc_round_trip, OP1_SQL),
     LlmQuery("op2_neardup", op2_near_duplicates, OP2_SQL),
     LlmQuery("op3_licenses", op3_licenses_scan),
+    LlmQuery("op4_substrings", op4_passages),
     LlmQuery("op7_packing", op7_pack),
     LlmQuery("op8_ann", op8_nearest),
     LlmQuery("op9_langid", op9_language),
