@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txnscope.llm import op1_warc, op2_neardup, op3_licenses, op4_substrings, op7_packing, op8_ann, op9_langid, op10_sharding
+from txnscope.llm import op1_warc, op2_neardup, op3_licenses, op4_substrings, op5_decontam, op7_packing, op8_ann, op9_langid, op10_sharding
 from txnscope.llm.catalog import LlmQuery
 from txnscope.llm.common import table
 
@@ -60,6 +60,10 @@ def op4_passages(spark, sf_dir):
     return op4_substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_contaminated(spark, sf_dir):
+    return op5_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pack(spark, sf_dir):
     return op7_packing.pack_digest(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES = [
     LlmQuery("op2_neardup", op2_near_duplicates, OP2_SQL),
     LlmQuery("op3_licenses", op3_licenses_scan),
     LlmQuery("op4_substrings", op4_passages),
+    LlmQuery("op5_decontam", op5_contaminated),
     LlmQuery("op7_packing", op7_pack),
     LlmQuery("op8_ann", op8_nearest),
     LlmQuery("op9_langid", op9_language),
