@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txnscope.llm import op1_warc, op2_neardup, op3_licenses, op4_substrings, op5_decontam, op7_packing, op8_ann, op9_langid, op10_sharding
+from txnscope.llm import op1_warc, op2_neardup, op3_licenses, op4_substrings, op5_decontam, op6_quality, op7_packing, op8_ann, op9_langid, op10_sharding
 from txnscope.llm.catalog import LlmQuery
 from txnscope.llm.common import table
 
@@ -64,6 +64,10 @@ def op5_contaminated(spark, sf_dir):
     return op5_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_classify(spark, sf_dir):
+    return op6_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pack(spark, sf_dir):
     return op7_packing.pack_digest(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES = [
     LlmQuery("op3_licenses", op3_licenses_scan),
     LlmQuery("op4_substrings", op4_passages),
     LlmQuery("op5_decontam", op5_contaminated),
+    LlmQuery("op6_quality", op6_classify),
     LlmQuery("op7_packing", op7_pack),
     LlmQuery("op8_ann", op8_nearest),
     LlmQuery("op9_langid", op9_language),
