@@ -291,7 +291,7 @@ class WarcReader(DataSourceReader):
                 room = target
             sets[-1].append(path)
             room -= size
-        return [WarcFiles(s) for s in sets]
+        return [WarcFiles(s) for s in sets or [[]]]
 
     def read(self, partition):
         fs, _ = open_fs(self.options["path"])
