@@ -37,7 +37,8 @@ ORDER = 5
 BITS = 12
 DIRECT = 4032  # characters below stand for themselves
 START = 4095
-QUANTILE = 0.998
+QUANTILE = 0.995
+MARGIN = 1.15  # the limit over the quantile, which few calibration rows estimate badly
 PRIOR_CHARS = 60  # a short text's mean is drawn to the corpus mean as if it had so many more characters
 BLOCK_CHARS = 2_000_000
 SHARD_ROWS = 1_000_000
@@ -285,7 +286,8 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Classifier | None:
     """Train on the trusted rows and set each language's limit at the
-    quantile of its trusted rows kept for calibration (a fifth). A language
+    quantile of its trusted rows kept for calibration (a fifth), times
+    MARGIN. A language
     without any takes the quantile over all. None if nothing is trusted."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"),
                        F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang")).filter("t is not null and t <> ''")
@@ -307,8 +309,8 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col:
     scored = written(cal_rows.select("t", "lang").mapInPandas(score, "lang string, total double, n long"), "calibration")
     mean = float(scored.agg(F.sum("total") / F.sum("n")).first()[0])
     ppl = F.exp(-(F.col("total") + PRIOR_CHARS * mean) / (F.col("n") + PRIOR_CHARS))
-    limits = {r["lang"]: r["q"] for r in scored.groupBy("lang").agg(F.percentile_approx(ppl, quantile, 100_000).alias("q")).collect()}
-    default = scored.agg(F.percentile_approx(ppl, quantile, 100_000)).first()[0]
+    limits = {r["lang"]: MARGIN * r["q"] for r in scored.groupBy("lang").agg(F.percentile_approx(ppl, quantile, 100_000).alias("q")).collect()}
+    default = MARGIN * scored.agg(F.percentile_approx(ppl, quantile, 100_000)).first()[0]
     return Classifier(model, mean, limits, default)
 
 
