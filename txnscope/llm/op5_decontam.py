@@ -30,12 +30,17 @@ SEGMENT = 3
 THRESHOLD = 0.5
 MATCH, OTHER, GAP = 2, -1, 1
 BLOCK_WORDS = 500_000
-WORD = re.compile(r"[^\W_]+")
+BETWEEN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+PUNCTUATION = re.compile(b"\xe2[\x80\x81][\x80-\xbf]")  # U+2000 to U+207F in UTF-8
 
 
-def words(text) -> list[str]:
-    """Runs of letters and digits, lower-cased; punctuation doesn't count."""
-    return WORD.findall(text.lower()) if isinstance(text, str) else []
+def words(text) -> list[bytes]:
+    """Runs of ASCII letters and digits and other characters beyond ASCII,
+    lower-cased; punctuation doesn't count."""
+    if not isinstance(text, str):
+        return []
+    b = text.lower().encode("utf-8", "surrogatepass").translate(BETWEEN)
+    return (PUNCTUATION.sub(b" ", b) if b"\xe2" in b else b).split()
 
 
 def align_score(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -64,6 +69,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - length, end
 
 
+def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are in ``ordered`` (sorted, not empty)."""
+    at = np.searchsorted(ordered, x)
+    at[at == len(ordered)] = 0
+    return ordered[at] == x
+
+
 class Items:
     """One block of test items: word hashes, and the place of each seed."""
 
@@ -96,7 +108,7 @@ class Items:
             return []
         grams = shingle_hashes(text_words, N)
         spots: dict[int, list[int]] = {}
-        for p in np.flatnonzero(np.isin(grams, self.keys)).tolist():
+        for p in np.flatnonzero(member(grams, self.keys)).tolist():
             for k, q in self.at[int(grams[p])]:
                 spots.setdefault(k, []).append(p - q)
         out = []
@@ -111,6 +123,9 @@ class Items:
                 else:
                     spans.append([lo, hi, d])
             for lo, hi, _ in spans:
+                # no alignment scores more than its matches do
+                if MATCH * np.isin(item, text_words[lo:hi]).sum() < threshold * MATCH * len(item):
+                    continue
                 score, s, e = align(item, text_words[lo:hi])
                 if score >= threshold:
                     out.append((self.ids[k], score, lo + s, lo + e))
@@ -150,9 +165,8 @@ def seeded(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_
                     w = hashes.of(words(t))
                     if len(w) >= N:
                         g = np.unique(shingle_hashes(w, N))
-                        at = np.searchsorted(shared.value, g)
-                        at[at == len(shared.value)] = 0
-                        total[at[shared.value[at] == g]] += 1
+                        g = g[member(g, shared.value)]
+                        total[np.searchsorted(shared.value, g)] += 1
             hit = np.flatnonzero(total)
             yield pd.DataFrame({"g": signed(shared.value[hit]), "n": total[hit]})
 
