@@ -56,7 +56,7 @@ def main():
             engineer_features(t)),
         "n12_label_correlations": lambda: label_correlations(engineer_features(t)),
         "q4_detect_mule": lambda: detect_mule(t, account_of_receiver=F.regexp_replace("receiver", "^r", "u")),
-        "f1_lineitem_features": lambda: select_features(engineer_features(li)),
+        "f1_lineitem_features": lambda: select_features(engineer_features(li, checkpoint_input=True)),
     }
     times, cold = {}, {}
     for name, build in queries.items():

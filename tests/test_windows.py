@@ -1,6 +1,8 @@
 """Window features: tie and edge semantics, bucket-size invariance and a
 brute-force check on a hot user."""
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -70,9 +72,8 @@ def test_bucket_size_invariance_on_a_hot_user(spark):
     cols = ["tx_count_24h", "tx_amount_24h", "user_tx_number", "user_total_amount",
             "user_std_amount", "receiver_tx_count"]
     want = _brute(df.toPandas(), 86400)
-    for bucket, hot_rows in ((3600, 0), (6 * 3600, 0), (86400, 0), (7 * 86400, 0),
-                             (3600, 100), (86400, 100), (86400, 10 ** 9)):
-        got = _by_id(time_window_features(df, bucket_seconds=bucket, hot_rows=hot_rows), cols)
+    for bucket in (3600, 6 * 3600, 86400, 7 * 86400):
+        got = _by_id(time_window_features(df, bucket_seconds=bucket), cols)
         for k, v in want.items():
             g = got[k]
             assert g[0] == v[0] and g[2] == v[2] and g[5] == v[5], (bucket, k, g, v)
@@ -87,7 +88,7 @@ def test_distinct_counts_match_brute_force(spark):
              1.0, f"r{rng.integers(0, 4)}", False, False, False) for i in range(300)]
     df = make_txn(spark, rows)
     got = _by_id(time_window_features(df, windows=[("w", 3600)], bucket_seconds=1800, history=False,
-                                      gap=False, receiver_col=None, distinct_of="receiver", hot_rows=0),
+                                      gap=False, receiver_col=None, distinct_of="receiver"),
                  ["distinct_receiver_w"])
     pdf = df.toPandas().sort_values(["user_id", "timestamp", "transaction_id"])
     for _, g in pdf.groupby("user_id"):
@@ -102,9 +103,8 @@ def test_previous_values_across_buckets(spark):
     rows = [("a", "u1", "2024-01-01 10:00:00", 1.0, "r1", False, False, False),
             ("b", "u1", "2024-01-03 10:00:00", 1.0, "r2", False, False, False),
             ("c", "u1", "2024-01-03 10:00:00", 1.0, "r3", False, False, False)]
-    for hot_rows in (0, 10 ** 6):
-        out = _by_id(previous_values(make_txn(spark, rows), ["receiver"], hot_rows=hot_rows),
-                     ["prev_receiver"])
+    for bucket in (3600, 30 * 86400):
+        out = _by_id(previous_values(make_txn(spark, rows), ["receiver"], bucket), ["prev_receiver"])
         assert out == {"a": (None,), "b": ("r1",), "c": ("r2",)}
 
 
@@ -137,9 +137,9 @@ def test_feature_names_are_stable():
 
 def test_carry_scans_read_only_needed_columns(spark):
     """Column pruning reaches parquet: only the row scan reads every
-    column; the carry scans (present when users are split) read a subset."""
+    column; the carry scans read a subset."""
     from tests_support import txn_small
-    w = time_window_features(txn_small(spark), hot_rows=0)
+    w = time_window_features(txn_small(spark))
     plan = w._jdf.queryExecution().executedPlan().toString()
     schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema: " in line]
     assert len(schemas) >= 2
@@ -161,32 +161,78 @@ def test_prior_only_history_matches_brute_force(spark):
             want[ids[i]] = (i, float(prev.sum()), float(prev.mean()) if i else 0.0,
                             float(np.std(prev, ddof=1)) if i > 1 else 0.0)
     cols = ["prior_tx_count", "prior_total_amount", "prior_avg_amount", "prior_std_amount"]
-    for hot_rows, bucket in ((0, 3600), (10 ** 9, 86400)):
+    for bucket in (3600, 30 * 86400):
         got = _by_id(time_window_features(df, windows=[], bucket_seconds=bucket, history=False, gap=False,
-                                          receiver_col=None, prior_history=True, hot_rows=hot_rows), cols)
+                                          receiver_col=None, prior_history=True), cols)
         for k, v in want.items():
             g = got[k]
             assert g[0] == v[0] and abs(g[1] - v[1]) < 1e-6 and abs(g[2] - v[2]) < 1e-6, (k, g, v)
             assert abs(g[3] - v[3]) < 1e-6 * max(1.0, v[3]), (k, g, v)
 
 
-def test_column_pruned_selections_for_every_split_setting(spark):
+def test_column_pruned_selections(spark):
     """Selecting a few columns prunes most of the plan; it must still run
-    whether all, some or no users are split (a pruning regression)."""
+    (a pruning regression)."""
     from tests_support import txn_small
     t = txn_small(spark)
-    for hot_rows in (0, 5, 10 ** 6):
-        w = time_window_features(t, hot_rows=hot_rows)
+    for bucket in (60, 30 * 86400):
+        w = time_window_features(t, bucket_seconds=bucket)
         assert w.select("transaction_id").count() == 1000
         assert w.select("amount", "tx_count_1h").count() == 1000
     assert engineer_features(t).select("hour").count() == 1000
 
 
-def test_hot_key_list_is_bounded(spark):
-    from txnscope.operators.windows import hot_keys
-    rows = [(f"t{i}", f"u{i % 50}") for i in range(5000)] + [(f"h{i}", "whale") for i in range(3000)]
-    df = spark.createDataFrame(rows, "transaction_id string, user_id string")
-    assert hot_keys(df, "user_id", hot_rows=1000, max_hot=10) == ["whale"]
-    many = hot_keys(df, "user_id", hot_rows=10, max_hot=5)
-    assert len(many) == 5 and many[0] == "whale"
-    assert hot_keys(df, "user_id", hot_rows=10 ** 6) == []
+def test_sums_of_mixed_magnitudes_are_exact(spark):
+    """A large amount that enters and leaves a window leaves nothing."""
+    rng = np.random.default_rng(4)
+    base = pd.Timestamp("2024-01-01")
+    values = [0.1, 9_999_999.99, 0.2, 0.3, 1e15, 1e-6, 123.456789]
+    rows = [(f"T{i:04d}", f"u{i % 2}", str(base + pd.Timedelta(minutes=int(rng.integers(0, 3000)))),
+             values[int(rng.integers(0, len(values)))], "r", False, False, False) for i in range(400)]
+    df = make_txn(spark, rows)
+    got = _by_id(time_window_features(df, history=False, receiver_col=None), ["tx_count_1h", "tx_amount_1h", "tx_count_24h", "tx_amount_24h"])
+    pdf = df.toPandas().sort_values(["user_id", "timestamp", "transaction_id"])
+    empty = 0
+    for _, g in pdf.groupby("user_id"):
+        ts = g["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+        am, ids = [Fraction(repr(float(x))) for x in g["amount"]], g["transaction_id"].to_numpy()
+        for i in range(len(g)):
+            for k, w in ((0, 3600), (2, 86400)):
+                live = [am[j] for j in range(i) if ts[j] >= ts[i] - w * 1_000_000]
+                n, a = got[ids[i]][k:k + 2]
+                assert n == len(live) and a == float(sum(live))
+                empty += n == 0 and a == 0.0
+    assert empty > 10
+
+
+def test_numbers_that_are_none(spark):
+    rows = [(f"t{i}", "u", f"2024-01-01 10:0{i}:00", a, "r", False, False, False)
+            for i, a in enumerate([1.0, float("nan"), float("inf"), -float("inf"), 1e30, None, 2.0])]
+    out = _by_id(time_window_features(make_txn(spark, rows)), ["tx_count_1h", "tx_amount_1h", "user_total_amount", "user_tx_number"])
+    assert out["t6"] == (6, 1.0, 3.0, 7)
+
+
+def test_one_user_of_one_day_is_spread_over_tasks(spark):
+    """90 % of the rows belong to one user and one day."""
+    df = spark.range(5000).selectExpr(
+        "cast(id as string) as transaction_id", "if(id % 10 < 9, 'hot', concat('u', id)) as user_id",
+        "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, (id * 7919) % 86400) as timestamp", "1.5D as amount", "'r' as receiver")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # so few rows would else share one task
+    try:
+        out = time_window_features(df, bucket_seconds=3600).withColumn("p", F.spark_partition_id()).filter("user_id = 'hot'")
+        per = [r["count"] for r in out.groupBy("p").count().collect()]
+    finally:
+        spark.conf.set(coalesce, "true")
+    assert len(per) >= 5 and max(per) < 0.5 * 4500
+
+
+def test_no_job_runs_while_the_plan_is_built(spark):
+    from tests_support import txn_small
+    t = txn_small(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "")
+    engineer_features(t)
+    time_window_features(t, distinct_of="receiver")
+    assert len(tracker.getJobIdsForGroup("plan-only")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

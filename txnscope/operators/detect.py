@@ -55,9 +55,10 @@ def detect_velocity_attack(df: DataFrame, min_count: int = 8, window_s: int = 45
 
 def detect_unusual_amount(df: DataFrame, min_amount: float = 20000.0) -> DataFrame:
     """Q3: a very large amount to a receiver the user never paid before."""
-    w = time_window_features(df, windows=[], history=False, gap=False)
-    return (w.filter((F.col("amount") >= min_amount) & (F.col("receiver_tx_count") == 0))
-             .select(*_OUT, "receiver").withColumn("detector", F.lit("unusual_amount")))
+    first = df.groupBy("user_id", "receiver").agg(
+        F.min_by(F.struct(*_OUT), F.struct(F.col("timestamp"), F.col("transaction_id"))).alias("first"))
+    return (first.select("first.*", "receiver").filter(F.col("amount") >= min_amount)
+                 .withColumn("detector", F.lit("unusual_amount")))
 
 
 def detect_mule(df: DataFrame, min_senders: int = 5, window_s: int = 48 * 3600,
@@ -83,7 +84,7 @@ def detect_mule(df: DataFrame, min_senders: int = 5, window_s: int = 48 * 3600,
                          F.col("amount").cast("double").alias("amount_out"),
                          "transaction_id", "is_fraud")
     flow = incoming.unionByName(outgoing).filter(F.col("account").isNotNull())
-    w = time_window_features(flow, windows=[("w", window_s)], bucket_seconds=window_s,
+    w = time_window_features(flow, windows=[("w", window_s)],
                              user_col="account", id_col="_eid", amount_col="amount_out",
                              history=False, gap=False, receiver_col=None,
                              sums={"inflow": "amount_in", "outflow": "amount_out"},

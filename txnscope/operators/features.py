@@ -9,7 +9,8 @@ from txnscope.functions.amount import amount_columns
 from txnscope.functions.calendar import calendar_columns
 from txnscope.functions.common import flag, log1p
 from txnscope.functions.flags import device_columns, interaction_columns
-from txnscope.operators.windows import DEFAULT_WINDOWS, time_window_features
+from txnscope.operators.windows import DEFAULT_BUCKET, DEFAULT_WINDOWS, time_window_features
+from txnscope.session import checkpoint_dir
 from txnscope.schema import FEATURE_NAMES, ID_COLUMNS, LABEL, feature_type
 
 
@@ -31,30 +32,20 @@ def derived_history_columns() -> list:
     ]
 
 
-def materialize_if_derived(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` into the shared checkpoint folder when its plan
-    already shuffles (e.g. a join view): the feature job reads its input
-    three times (rows, history carries, receiver carries) and would
-    otherwise recompute the join for each. Plain file scans are returned
-    as they are (re-reading pruned columns is cheaper than a copy)."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(k in plan for k in ("Join ", "Aggregate ", "Window ", "Repartition")):
-        from txnscope.session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df
-
-
 def engineer_features(df: DataFrame, windows=DEFAULT_WINDOWS,
-                      bucket_seconds: int = 86400, materialize: bool = True) -> DataFrame:
+                      bucket_seconds: int = DEFAULT_BUCKET, checkpoint_input: bool = False) -> DataFrame:
     """raw transactions -> raw columns + the 43 features.
 
     One shuffle of the rows (by user and time bucket, see
     ``time_window_features``); the point features are projections computed
-    after the shuffle so they do not travel through it.
+    after the shuffle so they do not travel through it. The input is read
+    three times (rows, history carries, receiver carries); with
+    ``checkpoint_input`` it is first written to the shared checkpoint
+    folder, which pays if it is itself the result of a shuffle.
     """
-    if materialize:
-        df = materialize_if_derived(df)
+    if checkpoint_input:
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     w = time_window_features(df, windows=windows, bucket_seconds=bucket_seconds)
     w = w.select("*", *calendar_columns("timestamp"), *amount_columns("amount"),
                  *device_columns(), *derived_history_columns())

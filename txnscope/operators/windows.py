@@ -14,30 +14,32 @@ Plan
 ----
 A plain ``Window.partitionBy(user)`` puts every row of a user in one task and
 a sliding RANGE frame re-aggregates its whole buffer per row, so a user with
-a third of the data would be one quadratic task. Instead:
-
-1. Rows are keyed by ``(user, bucket)`` with ``bucket = floor(ts / B)`` for
-   hot users (more than ``hot_rows`` rows; a bounded list of the largest
-   users, at most ``max_hot``) and ``bucket = 0`` for every other user.
-2. History from earlier buckets arrives as one *carry* row per
-   (user, bucket) and per (user, receiver, bucket), built from a map-side
-   combined ``groupBy`` and a window over the (small) bucket-level table.
-3. Sliding windows become running sums of entry (+1, +amount) and exit
-   (-1, -amount at ``ts + w``) events. Rows of the previous ``max(w)`` are
-   copied into the next bucket(s) as context so every frame is complete.
-4. The union of rows, context, exits and carries is hash-partitioned once by
-   ``(user, bucket)``; all frames are running (``unboundedPreceding``) frames,
-   which Spark evaluates incrementally, O(rows).
-
-Only step 4 moves the full rows; the carries are aggregates and the context
-and exit events are five narrow columns. Users kept whole get neither
-carries nor context copies, so the common case costs one exchange and two
-sorts.
+a third of the data would be one quadratic task. Instead, for every user and
+at every size of the data alike:
+
+1. A row is an *entry* event (+1, +amount) at its own time and, per window,
+   an *exit* event (-1, -amount) at ``ts + w``. A window's value is the
+   running sum of all events before the row.
+2. Events are keyed by ``(user, bucket)`` with ``bucket = floor(time / B)``,
+   each by its own time: one user's day is spread over many tasks, and no
+   row is copied into a neighbouring bucket.
+3. What earlier buckets add up to (event sums, history, previous row) comes
+   as one *carry* row per (user, bucket) and per (user, receiver, bucket),
+   from a map-side combined ``groupBy`` and a window over its result.
+4. Events and carries are hash-partitioned once by ``(user, bucket)``; all
+   frames are running (``unboundedPreceding``) frames, O(rows).
+
+Amounts of the sliding windows are added up as ``decimal(38, 12)``, which is
+exact, so what entered and left again leaves nothing behind: the sum of an
+empty window is 0, and no sum of positive amounts is negative. NaN, infinite
+and absurd amounts (1e26 and more) count as NULL.
+
+Only step 4 moves the full rows; nothing is collected and no job runs while
+the plan is built.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,47 +47,29 @@ from pyspark.sql import functions as F
 
 US = 1_000_000
 DEFAULT_WINDOWS: tuple[tuple[str, int], ...] = (("1h", 3600), ("24h", 86400))
-
-
-DEFAULT_HOT_ROWS = 1_000_000
-DEFAULT_MAX_HOT = 10_000
-_FAR = 1 << 62
+DEFAULT_BUCKET = 6 * 3600
+EXACT = "decimal(38,12)"
 
 
 def _w(name: str) -> str:
     return name.replace(" ", "_")
 
 
-def hot_keys(df: DataFrame, key_col: str, hot_rows: int = DEFAULT_HOT_ROWS,
-             max_hot: int = DEFAULT_MAX_HOT) -> list:
-    """Keys with more than ``hot_rows`` rows, at most the ``max_hot``
-    largest: a map-side-combined count and a top-k, so the list that
-    reaches the driver is bounded by ``max_hot``."""
-    rows = (df.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") > F.lit(int(hot_rows)))
-              .orderBy(F.col("_n").desc(), F.col(key_col)).limit(int(max_hot))
-              .select(key_col).collect())
-    return [r[0] for r in rows]
-
-
-def _mark_hot(base: DataFrame, user_col: str, hot_rows: int, max_hot: int,
-              out: str = "_hot") -> tuple[DataFrame, bool]:
-    """Add boolean ``out``: the user is split by time bucket. Returns the
-    frame and whether any user is hot (if none, callers skip the carry
-    branches entirely)."""
-    if hot_rows <= 0:
-        return base.withColumn(out, F.lit(True)), True
-    hot = hot_keys(base, user_col, hot_rows, max_hot)
-    if not hot:
-        return base.withColumn(out, F.lit(False)), False
-    # a bounded set of keys: a JVM hash-set membership test per row
-    return base.withColumn(out, F.coalesce(F.col(user_col).isin(hot), F.lit(False))), True
+def finite(c: Column) -> Column:
+    """The number as a double; NULL if it is NaN, infinite or too large for
+    an exact sum."""
+    d = c.cast("double")
+    return F.when(~F.isnan(d) & (F.abs(d) < F.lit(1e26)), d)
+
+
+def _bucket(us: str, B: int) -> Column:
+    return F.expr(f"({us} - pmod({us}, {B}L)) div {B}L")
 
 
 def time_window_features(
     df: DataFrame,
     windows: Sequence[tuple[str, int]] = DEFAULT_WINDOWS,
-    bucket_seconds: int = 86400,
+    bucket_seconds: int = DEFAULT_BUCKET,
     *,
     user_col: str = "user_id",
     ts_col: str = "timestamp",
@@ -98,15 +82,12 @@ def time_window_features(
     sums: dict | None = None,
     distinct_of: str | None = None,
     first_seen: bool = False,
-    hot_rows: int = DEFAULT_HOT_ROWS,
-    max_hot: int = DEFAULT_MAX_HOT,
     prior_history: bool = False,
 ) -> DataFrame:
     """Add V (per window), H and R columns to ``df``; see module docstring.
 
-    ``windows`` is a list of (suffix, seconds). ``bucket_seconds`` is the
-    time bucket that bounds one task's share of a busy user; context rows
-    cost ``max(w) / bucket_seconds`` copies of five narrow columns.
+    ``windows`` is a list of (suffix, seconds). ``bucket_seconds`` bounds one
+    task's share of a busy user; the result doesn't depend on it.
     ``running`` maps an output name to ``(column, include_current)``: the
     user's running sum of that column over earlier rows (and the current
     one if ``include_current``), carried across buckets like H.
@@ -121,35 +102,24 @@ def time_window_features(
     ``prior_history`` adds the leak-free variant of H over earlier rows only:
     ``prior_tx_count``, ``prior_total_amount``, ``prior_avg_amount``,
     ``prior_std_amount`` (0 where there is no earlier row or only one).
-
-    Only *hot* users are split by time bucket: users with more than
-    ``hot_rows`` rows (at most the ``max_hot`` largest, a bounded key list).
-    Every other user keeps one bucket, so no context copies or carries are
-    made for it, and with no hot user the carry branches are not planned.
-    ``hot_rows=0`` splits every user; the result is the same either way.
     """
     running = dict(running or {})
+    sums = dict(sums or {})
     B = int(bucket_seconds) * US
     wins = [(_w(n), int(s) * US) for n, s in windows]
-    wmax = max([s for _, s in wins], default=0)
-    n_ctx = math.ceil(wmax / B) if wmax else 0
     payload_cols = df.columns
 
-    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base = df.withColumn("_us", us)
-    base, any_hot = _mark_hot(base, user_col, hot_rows, max_hot)
-    base = base.withColumn("_b", F.when(F.col("_hot"), F.expr(f"(_us - pmod(_us, {B}L)) div {B}L"))
-                                  .otherwise(F.lit(0).cast("long")))
+    def col(expr) -> Column:
+        return F.col(expr) if isinstance(expr, str) else expr
+
+    base = df.withColumn("_us", F.unix_micros(F.col(ts_col).cast("timestamp")))
     for i, (name, (expr, _)) in enumerate(running.items()):
-        base = base.withColumn(f"_rv{i}", (F.col(expr) if isinstance(expr, str) else expr).cast("double"))
+        base = base.withColumn(f"_rv{i}", col(expr).cast("double"))
     rv = [f"_rv{i}" for i in range(len(running))]
-
-    # ---- 1. event stream: data rows, context copies, exits -------------------
-    amt0 = F.coalesce(F.col(amount_col).cast("double"), F.lit(0.0))
-    sums = dict(sums or {})
+    zero = F.lit(0).cast(EXACT)
+    amt0 = F.coalesce(finite(F.col(amount_col)).cast(EXACT), zero)
     for k, (name, expr) in enumerate(sums.items()):
-        base = base.withColumn(f"_sv{k}", F.coalesce(
-            (F.col(expr) if isinstance(expr, str) else expr).cast("double"), F.lit(0.0)))
+        base = base.withColumn(f"_sv{k}", F.coalesce(finite(col(expr)).cast(EXACT), zero))
     sv = [f"_sv{k}" for k in range(len(sums))]
     if distinct_of:
         # previous occurrence of the same value for this user (skew-safe lag)
@@ -158,22 +128,8 @@ def time_window_features(
         base = previous_values(keyed.withColumn("_dus", F.col("_us")), ["_dus"], bucket_seconds,
                                user_col="_dk", ts_col=ts_col, id_col=id_col) \
             .withColumnRenamed("prev__dus", "_prev_same").drop("_dk", "_dus")
-    if any_hot and n_ctx > 0:
-        copies = (base
-                  .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_ctx))))
-                  .withColumn("_p", F.col("_b") + F.col("_j"))
-                  .filter((F.col("_j") == 0) |
-                          (F.col("_hot") & (F.col("_us") >= F.col("_p") * F.lit(B) - F.lit(wmax)))))
-    else:
-        # nobody is split: no context copies
-        copies = base.withColumn("_j", F.lit(0)).withColumn("_p", F.col("_b"))
-    # a user kept whole has one unbounded bucket
-    p_start = F.when(F.col("_hot"), F.col("_p") * F.lit(B)).otherwise(F.lit(-_FAR))
-    p_end = F.when(F.col("_hot"), (F.col("_p") + 1) * F.lit(B)).otherwise(F.lit(_FAR))
-
-    def live(s):
-        return F.col("_us") >= p_start - F.lit(s)
 
+    # ---- 1. event stream: entries and exits, each in its own time's bucket ---
     def immediate(s):
         return F.col("_prev_same").isNull() | (F.col("_prev_same") + F.lit(s) < F.col("_us"))
 
@@ -182,10 +138,10 @@ def time_window_features(
 
     fields = []
     for n, _ in wins:
-        fields += [(f"c_{n}", "int"), (f"a_{n}", "double")]
-        fields += [(f"s{k}_{n}", "double") for k in range(len(sv))]
+        fields += [(f"c_{n}", "long"), (f"a_{n}", EXACT)]
+        fields += [(f"s{k}_{n}", EXACT) for k in range(len(sv))]
         if distinct_of:
-            fields.append((f"d_{n}", "int"))
+            fields.append((f"d_{n}", "long"))
 
     def ev(kind: int, at: Column, contrib: dict) -> Column:
         cols = [at.alias("ev_us"), F.lit(kind).alias("kind")]
@@ -195,119 +151,84 @@ def time_window_features(
 
     entry = {}
     for n, s in wins:
-        entry[f"c_{n}"] = F.when(live(s), F.lit(1)).otherwise(F.lit(0))
-        entry[f"a_{n}"] = F.when(live(s), amt0).otherwise(F.lit(0.0))
+        entry[f"c_{n}"] = F.lit(1)
+        entry[f"a_{n}"] = amt0
         for k, c in enumerate(sv):
-            entry[f"s{k}_{n}"] = F.when(live(s), F.col(c)).otherwise(F.lit(0.0))
+            entry[f"s{k}_{n}"] = F.col(c)
         if distinct_of:
-            entry[f"d_{n}"] = F.when(has_v & live(s) & immediate(s), F.lit(1)).otherwise(F.lit(0))
+            entry[f"d_{n}"] = F.when(has_v & immediate(s), F.lit(1)).otherwise(F.lit(0))
     evs = [ev(1, F.col("_us"), entry)]
     for n, s in wins:
-        at = F.col("_us") + F.lit(s)
-        need = live(s) & (at < p_end)
         ex = {f"c_{n}": F.lit(-1), f"a_{n}": -amt0}
         for k, c in enumerate(sv):
             ex[f"s{k}_{n}"] = -F.col(c)
         if distinct_of:
             ex[f"d_{n}"] = F.when(has_v, F.lit(-1)).otherwise(F.lit(0))
             # a value seen again within w counts from (previous + w) on
-            late = F.col("_prev_same") + F.lit(s)
-            evs.append(F.when(has_v & live(s) & ~immediate(s) & (late < p_end),
-                              ev(2, late, {f"d_{n}": F.lit(1)})))
-        evs.append(F.when(need, ev(2, at, ex)))
-    is_data = F.col("_j") == 0
-    events = (copies
+            evs.append(F.when(has_v & ~immediate(s),
+                              ev(2, F.col("_prev_same") + F.lit(s), {f"d_{n}": F.lit(1)})))
+        evs.append(ev(2, F.col("_us") + F.lit(s), ex))
+    is_data = F.col("_e.kind") == 1
+    events = (base
               .withColumn("_e", F.explode(F.filter(F.array(*evs), lambda x: x.isNotNull())))
               .select(
-                  F.col(user_col).alias("_u"), F.col("_p").alias("_b"),
+                  F.col(user_col).alias("_u"), _bucket("_e.ev_us", B).alias("_b"),
                   F.col("_e.ev_us").alias("_t"), F.col("_e.kind").alias("_k"),
                   F.col(id_col).alias("_id"),
                   *[F.col(f"_e.{f}").alias(f"_{f}") for f, _ in fields],
-                  (is_data & (F.col("_e.kind") == 1)).alias("_data"),
-                  F.when(F.col("_e.kind") == 1, F.col("_us")).alias("_last"),
-                  F.when(is_data, F.col(amount_col).cast("double")).alias("_amt"),
-                  (F.when(is_data & (F.col("_e.kind") == 1), F.col(receiver_col))
+                  is_data.alias("_data"),
+                  F.when(is_data, F.col("_us")).alias("_last"),
+                  F.when(is_data, finite(F.col(amount_col))).alias("_amt"),
+                  (F.when(is_data, F.col(receiver_col).cast("string"))
                    if receiver_col else F.lit(None).cast("string")).alias("_r"),
-                  F.when(is_data & (F.col("_e.kind") == 1),
-                         F.struct(*[F.col(c) for c in payload_cols])).alias("_row"),
-                  *[F.when(is_data & (F.col("_e.kind") == 1), F.col(c)).alias(c) for c in rv],
+                  F.when(is_data, F.struct(*[F.col(c) for c in payload_cols])).alias("_row"),
+                  *[F.when(is_data, F.col(c)).alias(c) for c in rv],
               ))
-    efields = [f for f, _ in fields]
 
     # ---- 2. carries from earlier buckets ------------------------------------
-    parts = [events]
-    if any_hot and (history or gap or rv or first_seen or prior_history):
-        bs = base.filter(F.col("_hot")).groupBy(user_col, "_b").agg(
-            F.count(F.lit(1)).alias("n"), F.count(amount_col).alias("cnt"),
-            F.sum(amount_col).alias("s"), F.avg(amount_col).alias("m"),
-            F.var_samp(amount_col).alias("v"), F.max("_us").alias("last"),
-            F.min("_us").alias("first"),
+    nothing = {"_hn": "long", "_hc": "long", "_hs": "double", "_hm": "double", "_hm2": "double", "_rc": "long", "_fs": "long"}
+
+    def with_carry(part: DataFrame, **have) -> DataFrame:
+        """The columns of the stream; those a part doesn't have are NULL."""
+        kinds = dict(events.dtypes) | nothing
+        return part.select(*[(have[c] if c in have else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    parts = [events.select("*", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])]
+    wu = Window.partitionBy("_u").orderBy("_b")
+    prior = wu.rowsBetween(Window.unboundedPreceding, -1)
+    if wins or history or gap or rv or first_seen or prior_history:
+        bs = events.groupBy("_u", "_b").agg(
+            F.count_if("_data").alias("n"), F.count("_amt").alias("cnt"),
+            F.sum("_amt").alias("s"), F.avg("_amt").alias("m"),
+            F.var_samp("_amt").alias("v"), F.max("_last").alias("last"), F.min("_last").alias("first"),
+            *[F.sum(f"_{f}").alias(f"e_{f}") for f, _ in fields],
             *[F.sum(c).alias(f"t{c}") for c in rv])
-        wu = Window.partitionBy(user_col).orderBy("_b")
-        prior = wu.rowsBetween(Window.unboundedPreceding, -1)
         k = F.coalesce(F.first("m", ignorenulls=True).over(
             wu.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0))
         bs = (bs.withColumn("_shift", k)
-                .withColumn("m2", F.when(F.col("cnt") > 1, F.col("v") * (F.col("cnt") - 1))
-                            .otherwise(F.lit(0.0)))
-                .withColumn("dev2", F.when(F.col("cnt") > 0,
-                                           F.col("cnt") * (F.col("m") - F.col("_shift")) ** 2)
-                            .otherwise(F.lit(0.0))))
-        cn = F.sum("cnt").over(prior)
-        cs = F.sum("s").over(prior)
-        carry = (bs.select(
-            F.col(user_col).alias("_u"), F.col("_b"), F.col("_shift"),
-            F.sum("n").over(prior).alias("cn_rows"), cn.alias("cn"), cs.alias("cs"),
-            F.sum("m2").over(prior).alias("cm2_in"), F.sum("dev2").over(prior).alias("cdev"),
-            F.max("last").over(prior).alias("clast"),
-            F.min("first").over(prior).alias("cfirst"),
-            *[F.sum(f"t{c}").over(prior).alias(f"c{c}") for c in rv])
-            .filter(F.col("cn_rows") > 0))
-        cmean = F.try_divide(F.col("cs"), F.col("cn").cast("double"))
-        cm2 = F.greatest(
-            F.col("cm2_in") + F.col("cdev")
-            - F.col("cn") * (cmean - F.col("_shift")) ** 2, F.lit(0.0))
-        parts.append(carry.select(
-            "_u", "_b", F.lit(None).cast("long").alias("_t"), F.lit(0).alias("_k"),
-            F.lit(None).cast("string").alias("_id"),
-            *[F.lit(None).cast(t).alias(f"_{f}") for f, t in fields],
-            F.lit(False).alias("_data"), F.col("clast").alias("_last"),
-            F.lit(None).cast("double").alias("_amt"),
-            F.lit(None).cast("string").alias("_r"),
-            F.lit(None).cast(events.schema["_row"].dataType).alias("_row"),
-            F.col("cn_rows").alias("_hn"), F.col("cn").alias("_hc"),
-            F.col("cs").alias("_hs"), cmean.alias("_hm"), cm2.alias("_hm2"),
-            F.lit(None).cast("long").alias("_rc"),
-            *[F.coalesce(F.col(f"c{c}"), F.lit(0.0)).alias(c) for c in rv],
-            F.col("cfirst").alias("_fs"),
-        ))
-    if receiver_col and any_hot:
-        rb = (base.filter(F.col("_hot")).groupBy(user_col, receiver_col, "_b")
+                .withColumn("m2", F.when(F.col("cnt") > 1, F.col("v") * (F.col("cnt") - 1)).otherwise(F.lit(0.0)))
+                .withColumn("dev", F.when(F.col("cnt") > 0, F.col("cnt") * (F.col("m") - F.col("_shift"))).otherwise(F.lit(0.0)))
+                .withColumn("dev2", F.when(F.col("cnt") > 0, F.col("cnt") * (F.col("m") - F.col("_shift")) ** 2).otherwise(F.lit(0.0))))
+        # the shift is the user's first bucket mean, the same for all its buckets
+        carry = bs.select(
+            "_u", "_b", "n", "_shift",
+            F.sum("n").over(prior).alias("cn_rows"), F.sum("cnt").over(prior).alias("cn"), F.sum("s").over(prior).alias("cs"),
+            F.sum("m2").over(prior).alias("cm2_in"), F.sum("dev").over(prior).alias("cdev1"), F.sum("dev2").over(prior).alias("cdev"),
+            F.max("last").over(prior).alias("clast"), F.min("first").over(prior).alias("cfirst"),
+            *[F.sum(f"e_{f}").over(prior).alias(f"e_{f}") for f, _ in fields],
+            *[F.sum(f"t{c}").over(prior).alias(f"c{c}") for c in rv]).filter("n > 0 and cn_rows > 0")
+        cn = F.col("cn").cast("double")
+        cm2 = F.when(cn > 0, F.greatest(F.col("cm2_in") + F.col("cdev") - F.col("cdev1") ** 2 / cn, F.lit(0.0))).otherwise(F.lit(0.0))
+        parts.append(with_carry(
+            carry, _u=F.col("_u"), _b=F.col("_b"), _k=F.lit(0), _data=F.lit(False), _last=F.col("clast"),
+            _hn=F.col("cn_rows"), _hc=F.col("cn"), _hs=F.col("cs"), _hm=F.try_divide(F.col("cs"), cn), _hm2=cm2, _fs=F.col("cfirst"),
+            **{f"_{f}": F.col(f"e_{f}") for f, _ in fields}, **{c: F.coalesce(F.col(f"c{c}"), F.lit(0.0)) for c in rv}))
+    if receiver_col:
+        rb = (base.groupBy(F.col(user_col).alias("_u"), F.col(receiver_col).cast("string").alias("_r"), _bucket("_us", B).alias("_b"))
                   .agg(F.count(F.lit(1)).alias("n")))
-        wr = (Window.partitionBy(user_col, receiver_col).orderBy("_b")
-              .rowsBetween(Window.unboundedPreceding, -1))
-        rcar = (rb.select(user_col, receiver_col, "_b", F.sum("n").over(wr).alias("rc"))
-                  .filter(F.col("rc") > 0))
-        parts.append(rcar.select(
-            F.col(user_col).alias("_u"), "_b", F.lit(None).cast("long").alias("_t"),
-            F.lit(0).alias("_k"), F.lit(None).cast("string").alias("_id"),
-            *[F.lit(None).cast(t).alias(f"_{f}") for f, t in fields],
-            F.lit(False).alias("_data"), F.lit(None).cast("long").alias("_last"),
-            F.lit(None).cast("double").alias("_amt"),
-            F.col(receiver_col).cast("string").alias("_r"),
-            F.lit(None).cast(events.schema["_row"].dataType).alias("_row"),
-            F.lit(None).cast("long").alias("_hn"), F.lit(None).cast("long").alias("_hc"),
-            F.lit(None).cast("double").alias("_hs"), F.lit(None).cast("double").alias("_hm"),
-            F.lit(None).cast("double").alias("_hm2"), F.col("rc").alias("_rc"),
-            *[F.lit(None).cast("double").alias(c) for c in rv],
-            F.lit(None).cast("long").alias("_fs"),
-        ))
-    events = events.select(
-        "*", F.lit(None).cast("long").alias("_hn"), F.lit(None).cast("long").alias("_hc"),
-        F.lit(None).cast("double").alias("_hs"), F.lit(None).cast("double").alias("_hm"),
-        F.lit(None).cast("double").alias("_hm2"), F.lit(None).cast("long").alias("_rc"),
-        F.lit(None).cast("long").alias("_fs"))
-    parts[0] = events
+        wr = (Window.partitionBy("_u", "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        rcar = rb.select("_u", "_r", "_b", F.sum("n").over(wr).alias("rc")).filter(F.col("rc") > 0)
+        parts.append(with_carry(rcar, _u=F.col("_u"), _b=F.col("_b"), _k=F.lit(0), _data=F.lit(False), _r=F.col("_r"), _rc=F.col("rc")))
     stream = parts[0]
     for p in parts[1:]:
         stream = stream.unionByName(p)
@@ -374,8 +295,8 @@ def time_window_features(
     res = [F.col("_row.*")]
     for n, _ in wins:
         res += [F.coalesce(F.col(f"_vc_{n}"), F.lit(0)).cast("long").alias(f"tx_count_{n}"),
-                F.coalesce(F.col(f"_va_{n}"), F.lit(0.0)).alias(f"tx_amount_{n}")]
-        res += [F.coalesce(F.col(f"_vs{k}_{n}"), F.lit(0.0)).alias(f"{name}_{n}")
+                F.coalesce(F.col(f"_va_{n}").cast("double"), F.lit(0.0)).alias(f"tx_amount_{n}")]
+        res += [F.coalesce(F.col(f"_vs{k}_{n}").cast("double"), F.lit(0.0)).alias(f"{name}_{n}")
                 for k, name in enumerate(sums)]
         if distinct_of:
             res.append(F.coalesce(F.col(f"_vd_{n}"), F.lit(0)).cast("long")
@@ -423,26 +344,21 @@ def time_window_features(
     return out.select(*res)
 
 
-def previous_values(df: DataFrame, cols: list[str], bucket_seconds: int = 86400, *,
+def previous_values(df: DataFrame, cols: list[str], bucket_seconds: int = DEFAULT_BUCKET, *,
                     user_col: str = "user_id", ts_col: str = "timestamp",
-                    id_col: str = "transaction_id", hot_rows: int = DEFAULT_HOT_ROWS,
-                    max_hot: int = DEFAULT_MAX_HOT) -> DataFrame:
+                    id_col: str = "transaction_id") -> DataFrame:
     """``prev_<c>``: value of ``c`` on the user's previous row in
     (timestamp, id) order, NULL on the first row.
 
     Skew-safe like ``time_window_features``: partitions are (user, bucket);
     a bucket's first row takes the last row of the user's latest earlier
-    bucket, found from a per-bucket ``max_by`` and a window over the small
+    bucket, found from a per-bucket ``max_by`` and a window over the
     bucket table, and delivered as a carry row."""
     B = int(bucket_seconds) * US
-    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base, any_hot = _mark_hot(df.withColumn("_pv_us", us), user_col, hot_rows, max_hot, out="_pv_hot")
-    # only hot users are split by time bucket; the others keep one bucket
-    base = base.withColumn("_pv_b", F.when(F.col("_pv_hot"), F.expr(f"(_pv_us - pmod(_pv_us, {B}L)) div {B}L"))
-                                       .otherwise(F.lit(0).cast("long")))
+    base = df.withColumn("_pv_us", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    base = base.withColumn("_pv_b", _bucket("_pv_us", B))
     key = F.struct(F.col("_pv_us"), F.col(id_col))
-    last = base.filter(F.col("_pv_hot")).groupBy(user_col, "_pv_b").agg(
-        *[F.max_by(F.col(c), key).alias(f"_l_{c}") for c in cols])
+    last = base.groupBy(user_col, "_pv_b").agg(*[F.max_by(F.col(c), key).alias(f"_l_{c}") for c in cols])
     wl = Window.partitionBy(user_col).orderBy("_pv_b")
     carry = last.select(user_col, "_pv_b", *[F.lag(f"_l_{c}").over(wl).alias(f"_l_{c}") for c in cols],
                         F.lag("_pv_b").over(wl).isNotNull().alias("_pv_has"))
@@ -453,14 +369,10 @@ def previous_values(df: DataFrame, cols: list[str], bucket_seconds: int = 86400,
         *[F.col(user_col) if c == user_col else F.lit(None).cast(base.schema[c].dataType).alias(c)
           for c in base.columns if c not in ("_pv_b",)],
         "_pv_b", F.lit(0).alias("_pv_k"), *[F.col(f"_l_{c}") for c in cols])
-    carry_rows = carry_rows.select(*rows.columns)
-    # no hot key: every key is one bucket and there is nothing to carry
-    u = (rows.unionByName(carry_rows) if any_hot else rows).repartition(user_col, "_pv_b")
+    u = rows.unionByName(carry_rows.select(*rows.columns)).repartition(user_col, "_pv_b")
     w = Window.partitionBy(user_col, "_pv_b").orderBy(F.col("_pv_k"), F.col("_pv_us"), F.col(id_col))
-    out = u.select("*", *[F.coalesce(F.lag(c).over(w), F.lag(f"_l_{c}").over(w)).alias(f"_p_{c}")
+    # the carry row, if there is one, is the bucket's first
+    out = u.select("*", *[F.when(F.lag("_pv_k").over(w) == 0, F.lag(f"_l_{c}").over(w)).otherwise(F.lag(c).over(w)).alias(f"_p_{c}")
                           for c in cols])
     out = out.filter(F.col("_pv_k") == 1)
-    # previous row inside the bucket -> its value; previous row is the carry
-    # -> the carried value; neither -> NULL
-    res = [F.col(f"_p_{c}").alias(f"prev_{c}") for c in cols]
-    return out.select(*[F.col(c) for c in df.columns], *res)
+    return out.select(*[F.col(c) for c in df.columns], *[F.col(f"_p_{c}").alias(f"prev_{c}") for c in cols])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
+from txnscope.functions.amount import amount_columns
+from txnscope.functions.calendar import calendar_columns
+from txnscope.functions.flags import device_columns
 from txnscope.operators.features import engineer_features, select_features
 from txnscope.plans.catalog import register
 from txnscope.plans.checked import snap_doubles
@@ -24,7 +28,7 @@ register("f1_all_features", features_sql(TXN_CTE),
 from txnscope.operators.windows import time_window_features  # noqa: E402
 from txnscope.plans.sqltext import (LINEITEM_CTE, ORDERS_CTE, checked_feature_select,  # noqa: E402
                                     features_cte)
-from txnscope.schema import FEATURE_NAMES  # noqa: E402
+from txnscope.schema import FEATURE_NAMES, feature_type  # noqa: E402
 from txnscope.sources.tables import lineitem_view, orders_view  # noqa: E402
 
 _GROUPS = {
@@ -38,8 +42,16 @@ _GROUPS = {
 }
 
 
-def _group_query(names):
+# Pure projections of a row: no shuffle.
+_POINT = {"t_calendar": lambda: calendar_columns("timestamp"), "a_amount": lambda: amount_columns("amount"),
+          "d_device_location": device_columns}
+
+
+def _group_query(name, names):
     def build(spark, sf):
+        if name in _POINT:
+            df = txn_view(spark, sf).select("transaction_id", *_POINT[name]())
+            return snap_doubles(df.select("transaction_id", *[F.col(n).cast(feature_type(n)).alias(n) for n in names]))
         return _features(spark, sf).select("transaction_id", *names)
     sql = f"""WITH {features_cte()}
 SELECT transaction_id, {checked_feature_select(names)} FROM feat"""
@@ -47,7 +59,7 @@ SELECT transaction_id, {checked_feature_select(names)} FROM feat"""
 
 
 for _name, _cols in _GROUPS.items():
-    _b, _s = _group_query(_cols)
+    _b, _s = _group_query(_name, _cols)
     register(_name, _s, f"feature group {_name}")(_b)
 
 
@@ -64,7 +76,7 @@ GROUP BY t.transaction_id"""
 @register("v_velocity_orders_ties_30d", _ORD_SQL, "tie fixture: equal customer-day timestamps")
 def v_orders(spark, sf):
     w = time_window_features(orders_view(spark, sf), windows=[("30d", 30 * 86400)],
-                             bucket_seconds=30 * 86400, history=False, gap=False, receiver_col=None)
+                             bucket_seconds=7 * 86400, history=False, gap=False, receiver_col=None)
     return snap_doubles(w.select("transaction_id", "tx_count_30d", "tx_amount_30d"))
 
 
@@ -78,7 +90,7 @@ SELECT transaction_id, user_id, is_fraud, {checked_feature_select(digits=_LI_DIG
 
 @register("f1_lineitem_features", _LI_SQL, "wide scale fixture: lineitem x orders")
 def f1_lineitem(spark, sf):
-    f = select_features(engineer_features(lineitem_view(spark, sf)))
+    f = select_features(engineer_features(lineitem_view(spark, sf), checkpoint_input=True))
     return snap_doubles(f.drop("timestamp"), _LI_DIGITS)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnscope.operators.windows import previous_values
+from txnscope.operators.windows import DEFAULT_BUCKET, previous_values
 
 # The adapter's renames and the columns it drops.
 DEFAULT_RENAMES = {"transaction_date": "timestamp", "merchant": "receiver",
@@ -15,7 +15,7 @@ LOCATION_SOURCE = "country"
 
 def adapt_transactions(df: DataFrame, renames: dict | None = None,
                        location_source: str = LOCATION_SOURCE,
-                       drop: list[str] | None = None, bucket_seconds: int = 86400) -> DataFrame:
+                       drop: list[str] | None = None, bucket_seconds: int = DEFAULT_BUCKET) -> DataFrame:
     """Rename columns, derive ``device_changed`` / ``location_changed`` from
     the previous row of the same user, drop unused columns (absent ones are
     ignored).
