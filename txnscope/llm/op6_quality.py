@@ -69,11 +69,26 @@ def mask(order: int) -> int:
 
 # ---------------------------------------------------------------- training
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_ids that labels call good (quality 1, not toxic; all rows agree)."""
-    return (labels.filter("doc_id is not null").groupBy("doc_id")
-            .agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
-            .filter("q = 1 and x = 0").select("doc_id"))
+def _verdicts(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_ids of label rows that say good (quality 1, not toxic), and of
+    those that don't."""
+    good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
+    return labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id"), labels.filter(~good).select("doc_id")
+
+
+def trusted_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows whose doc_id has labels that all say good, written. Both
+    joins share one shuffle by doc_id, and Spark may drop rows without a
+    good label by a Bloom filter of fixed size before it."""
+    good, bad = _verdicts(labels)
+    spark, conf = rows.sparkSession, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "1b")  # whatever the size of the documents
+    try:
+        found = rows.join(good.hint("merge"), "doc_id", "left_semi").join(bad.hint("merge"), "doc_id", "left_anti")
+        return written(found.withColumn("cal", calibrates("doc_id")), "trusted")
+    finally:
+        spark.conf.set(conf, before)
 
 
 def calibrates(id_col: str):
@@ -291,8 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col:
     without any takes the quantile over all. None if nothing is trusted."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"),
                        F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang")).filter("t is not null and t <> ''")
-    trusted = rows.join(trusted_ids(labels), "doc_id", "left_semi")
-    trusted = written(trusted.withColumn("cal", calibrates("doc_id")), "trusted")
+    trusted = trusted_rows(rows, labels)
     fit_rows, cal_rows = trusted.filter("not cal"), trusted.filter("cal")
     if fit_rows.isEmpty():
         return None
