@@ -144,3 +144,49 @@ def test_global_row_number_with_a_heavy_timestamp(spark):
     assert list(got["row_number"]) == list(range(1, 3001))
     heavy = df.filter("ts = 1000").repartitionByRange(8, "ts", "transaction_id")
     assert heavy.rdd.glom().map(len).filter(lambda k: k > 0).count() > 1
+
+
+def test_numbers_that_are_none_are_null_on_reading(spark, tmp_path):
+    from txnscope.sources.io import read_transactions
+    head = "transaction_id,user_id,timestamp,amount,receiver,device_id,location,device_changed,location_changed,is_fraud,fraud_pattern"
+    rows = [f"t{i},u,2024-01-01 10:00:00,{a},r,d,l,false,false,false," for i, a in enumerate(["NaN", "Infinity", "-Infinity", "12.5", "x"])]
+    (tmp_path / "a.csv").write_text("\n".join([head, *rows]))
+    got = {r.transaction_id: r.amount for r in read_transactions(spark, str(tmp_path / "a.csv")).collect()}
+    assert got == {"t0": None, "t1": None, "t2": None, "t3": 12.5, "t4": None}
+
+
+def test_requests_with_numbers_that_are_none_are_rejected(spark):
+    from txnscope.sources.validate import FEATURE_REQUIRED, validate
+    raw = spark.createDataFrame([("u", float("nan")), ("u", float("inf")), ("u", 5.0), ("u", None)], "user_id string, amount double")
+    raw = raw.selectExpr("*", "now() as timestamp", "'r' as receiver", "'d' as device_id")
+    ok, bad = validate(raw, "raw")
+    assert [r.amount for r in ok.collect()] == [5.0] and bad.count() == 3
+    good = {c: 1.0 for c in FEATURE_REQUIRED}
+    cases = [good, good | {"hour_sin": float("nan")}, good | {"hour": 24.0}, good | {"amount": 2e7}, good | {"amount_sqrt": None}]
+    df = spark.createDataFrame([tuple(c[f] for f in FEATURE_REQUIRED) for c in cases], ", ".join(f"{c} double" for c in FEATURE_REQUIRED))
+    ok, bad = validate(df, "feature")
+    assert ok.count() == 1 and sorted(r.errors[0] for r in bad.collect()) == [
+        "amount: exceeds maximum allowed", "amount_sqrt: required", "hour: must be in [0, 23]", "hour_sin: must be a finite number"]
+    assert validate(df.drop("day_cos"), "feature")[0].count() == 0
+
+
+def test_quantiles_survive_infinite_values(spark):
+    from txnscope.operators.ranking import exact_quantiles
+    inf = float("inf")
+    vals = [inf] * 40 + [-inf] * 30 + [float(i) for i in range(30)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = {r.p: r.q for r in exact_quantiles(df, "v", [0.1, 0.5, 0.9], n_bins=16).collect()}
+    assert got[0.1] == -inf and got[0.9] == inf and got[0.5] == 19.5
+
+
+def test_feature_files_are_read_by_day(spark, tmp_path):
+    from txnscope.operators.features import engineer_features
+    from txnscope.sources.io import read_features, write_features
+    from tests_support import txn_small
+    path = str(tmp_path / "f")
+    write_features(engineer_features(txn_small(spark)), path)
+    df = read_features(spark, path)
+    day = df.select("event_date").first()[0]
+    plan = df.filter(F.col("event_date") == F.lit(day))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert df.count() == 1000

@@ -85,7 +85,7 @@ def describe_by_class(df: DataFrame, value: str, label: str = "is_fraud") -> Dat
     agg = base.groupBy("is_fraud").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
-    q = exact_quantiles(base, "v", [0.25, 0.5, 0.75], by=["is_fraud"])
+    q = exact_quantiles(base, "v", [0.25, 0.5, 0.75], by=["is_fraud"], few_groups=True)
     qw = q.groupBy("is_fraud").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q25"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
@@ -180,7 +180,7 @@ def class_comparison(feat: DataFrame, features=COMPARE_FEATURES, label: str = "i
     means = long.groupBy("feature").agg(
         F.avg(F.when(~F.col("is_fraud"), F.col("v"))).alias("legitimate_mean"),
         F.avg(F.when(F.col("is_fraud"), F.col("v"))).alias("fraud_mean"))
-    med = exact_quantiles(long, "v", [0.5], by=["feature", "is_fraud"])
+    med = exact_quantiles(long, "v", [0.5], by=["feature", "is_fraud"], few_groups=True)
     medw = med.groupBy("feature").agg(
         F.max(F.when(~F.col("is_fraud"), F.col("q"))).alias("legitimate_median"),
         F.max(F.when(F.col("is_fraud"), F.col("q"))).alias("fraud_median"))
@@ -250,6 +250,6 @@ def dataset_statistics(df: DataFrame, label: str = "is_fraud", amount: str = "am
     tot = a.agg(F.sum("n").alias("_t"))  # one row
     a = (a.crossJoin(F.broadcast(tot))
           .withColumn("share", F.col("n").cast("double") / F.col("_t").cast("double")).drop("_t"))
-    med = exact_quantiles(base, "amount", [0.5], by=["is_fraud"]).select(
+    med = exact_quantiles(base, "amount", [0.5], by=["is_fraud"], few_groups=True).select(
         "is_fraud", F.col("q").alias("median_amount"))
     return a.join(med, "is_fraud", "left")

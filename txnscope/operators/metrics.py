@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnscope.functions.common import safe_div
-from txnscope.operators.ranking import DEFAULT_BINS, exclusive_prefix
+from txnscope.operators.ranking import exclusive_prefix
 from txnscope.schema import COST_FALSE_NEGATIVE, COST_FALSE_POSITIVE
 
 
@@ -55,7 +55,7 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5, **kw) -> DataF
 
 
 def score_table(df: DataFrame, label: str = "is_fraud", score: str = "fraud_score",
-                n_bins: int = DEFAULT_BINS) -> DataFrame:
+                n_bins: int | None = None) -> DataFrame:
     """One row per distinct score: pos, neg, and pos/neg strictly below it.
 
     Also carries the totals P and N (a one-row aggregate, cross-joined)."""
@@ -99,13 +99,16 @@ def auc_and_ap(df: DataFrame, **kw) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, **kw) -> DataFrame:
-    """K9: (threshold, fpr, tpr) at every distinct score (score >= t)."""
+    """K9: (threshold, fpr, tpr) at every distinct score (score >= t), and the
+    starting point (0, 0) with a NULL threshold."""
     t = score_table(df, **kw)
     tp = (F.col("P") - F.col("below_pos")).cast("double")
     fp = (F.col("N") - F.col("below_neg")).cast("double")
+    start = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
+                                            F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return t.select(F.col("score").alias("threshold"),
                     safe_div(fp, F.col("N")).alias("fpr"),
-                    safe_div(tp, F.col("P")).alias("tpr"))
+                    safe_div(tp, F.col("P")).alias("tpr")).unionByName(start)
 
 
 def precision_recall_curve(df: DataFrame, **kw) -> DataFrame:

@@ -18,18 +18,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BINS = 1024
+BINS_PER_TASK = 4
 
 
-def quantile_edges(df: DataFrame, key: str, n_bins: int = DEFAULT_BINS,
-                   accuracy: int = 10000) -> list:
+def default_bins(df: DataFrame) -> int:
+    """Bins follow the job's parallelism: a few for each shuffle task."""
+    return max(64, BINS_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def quantile_edges(df: DataFrame, key: str, n_bins: int | None = None) -> list:
     """At most ``n_bins - 1`` distinct inner cut points of ``key``.
 
     The result is a short list (bounded by ``n_bins``), the only thing that
     reaches the driver.
     """
+    n_bins = n_bins or default_bins(df)
     probs = [i / n_bins for i in range(1, n_bins)]
-    row = df.agg(F.percentile_approx(F.col(key), probs, accuracy).alias("q")).first()
+    row = df.agg(F.percentile_approx(F.col(key), probs, 10 * max(n_bins, 1000)).alias("q")).first()
     qs = row["q"] if row and row["q"] is not None else []
     out = []
     for q in qs:
@@ -45,7 +50,11 @@ def add_bins(df: DataFrame, key: str, edges: list, out: str = "_bin") -> DataFra
     if not edges:
         return df.withColumn(out, F.lit(0))
     from pyspark.ml.feature import Bucketizer
-    splits = [float("-inf")] + [float(e) for e in edges] + [float("inf")]
+    # infinite keys belong to the end bins; edges that meet as doubles are one
+    inner = sorted({float(e) for e in edges} - {float("-inf"), float("inf")} - {e for e in map(float, edges) if e != e})
+    if not inner:
+        return df.withColumn(out, F.lit(0))
+    splits = [float("-inf")] + inner + [float("inf")]
     tmp = f"{out}_key"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
     return (b.transform(df.withColumn(tmp, F.col(key).cast("double")))
@@ -53,7 +62,7 @@ def add_bins(df: DataFrame, key: str, edges: list, out: str = "_bin") -> DataFra
 
 
 def exclusive_prefix(df: DataFrame, key: str, values: list[str],
-                     n_bins: int = DEFAULT_BINS, tiebreak: list[str] | None = None,
+                     n_bins: int | None = None, tiebreak: list[str] | None = None,
                      prefix: str = "before_", by: list[str] | None = None) -> DataFrame:
     """Add ``before_<v>`` = sum of ``v`` over rows ordered strictly before.
 
@@ -124,8 +133,8 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],
-                    by: list[str] | None = None, n_bins: int = DEFAULT_BINS,
-                    few_groups: bool = True) -> DataFrame:
+                    by: list[str] | None = None, n_bins: int | None = None,
+                    few_groups: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles (``quantile_cont`` / pandas
     ``quantile``) of ``value`` per group, without collecting a group.
 
@@ -162,4 +171,5 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
                        F.max(F.when(hi_hit, F.col("_v"))).alias("_vhi"),
                        F.first("_h").alias("_h"), F.first("_lo").alias("_lo")))
     frac = F.col("_h") - F.col("_lo").cast("double")
-    return picked.select(*by, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("q"))
+    between = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac
+    return picked.select(*by, "p", F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(between).alias("q"))

@@ -38,6 +38,19 @@ def q1(spark, sf):
     return snap_doubles(Q.detect_sim_swap(txn_view(spark, sf)).drop("timestamp"))
 
 
+_Q1B = f"""{W}, c AS (SELECT * FROM txn WHERE coalesce(device_changed, false) AND coalesce(location_changed, false)
+    AND hour(timestamp) >= 0 AND amount >= 500),
+k AS (SELECT a.transaction_id, count(*) AS burst_count FROM c a JOIN c p ON {_earlier_or_self('p', 'a', 30 * 86400000000)} GROUP BY a.transaction_id)
+SELECT c.transaction_id, c.user_id, {S('c.amount')} AS amount, c.is_fraud, k.burst_count, 'sim_swap' AS detector
+FROM c JOIN k USING (transaction_id) WHERE k.burst_count >= 2"""
+
+
+@register("q1b_sim_swap_30d", _Q1B, "wider parameters, under which the events table has bursts")
+def q1b(spark, sf):
+    hits = Q.detect_sim_swap(txn_view(spark, sf), min_count=2, window_s=30 * 86400, min_amount=500.0, hours=list(range(24)))
+    return snap_doubles(hits.drop("timestamp"))
+
+
 _Q2 = f"""{W}, c AS (SELECT * FROM txn WHERE amount BETWEEN 1000 AND 5000),
 k AS (SELECT a.transaction_id, count(*) AS burst_count, count(DISTINCT p.receiver) AS n_receivers
       FROM c a JOIN c p ON {_earlier_or_self('p', 'a', 2700000000)} GROUP BY a.transaction_id)

@@ -112,3 +112,31 @@ def h_prior(spark, sf):
                              receiver_col=None, prior_history=True)
     return snap_doubles(w.select("transaction_id", "prior_tx_count", "prior_total_amount",
                                  "prior_avg_amount", "prior_std_amount"))
+
+
+# Sums must be exact: 0 where nothing is in the window, never negative.
+# Counted on the values themselves, without the output grid.
+def _violations(t, windows):
+    w = time_window_features(t, windows=windows, history=False, gap=False, receiver_col=None)
+    bad = F.lit(False)
+    for n, _ in windows:
+        bad = bad | (F.col(f"tx_amount_{n}") < 0) | ((F.col(f"tx_count_{n}") == 0) & (F.col(f"tx_amount_{n}") != 0))
+    name = windows[-1][0]
+    return w.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(f"tx_count_{name}") == 0).alias("n_empty"),
+                 F.count_if(bad).alias("n_bad"))
+
+
+def _violations_sql(cte, us):
+    return f"""WITH {cte}, k AS (SELECT transaction_id, row_number() OVER (PARTITION BY user_id ORDER BY us, transaction_id) AS rn,
+  lag(us) OVER (PARTITION BY user_id ORDER BY us, transaction_id) AS prev, us FROM txn)
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE prev IS NULL OR prev < us - {us}) AS n_empty, CAST(0 AS BIGINT) AS n_bad FROM k"""
+
+
+@register("v_exact_sums_lineitem", _violations_sql(LINEITEM_CTE, 86400 * 1000000), "no negative or left-over sums")
+def v_exact_lineitem(spark, sf):
+    return _violations(lineitem_view(spark, sf), [("1h", 3600), ("24h", 86400)])
+
+
+@register("v_exact_sums_orders", _violations_sql(ORDERS_CTE, 30 * 86400 * 1000000), "no negative or left-over sums")
+def v_exact_orders(spark, sf):
+    return _violations(orders_view(spark, sf), [("30d", 30 * 86400)])

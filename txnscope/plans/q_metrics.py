@@ -143,7 +143,8 @@ def k8(spark, sf):
 
 @register("k9_roc_curve", f"""{_SCORES}
 SELECT {S('score')} AS threshold, {S(_div('"N" - below_neg', '"N"'))} AS fpr,
-       {S(_div('"P" - below_pos', '"P"'))} AS tpr FROM c""")
+       {S(_div('"P" - below_pos', '"P"'))} AS tpr FROM c
+UNION ALL SELECT NULL, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)""")
 def k9(spark, sf):
     return snap_doubles(K.roc_curve(txn_view(spark, sf)))
 

@@ -47,7 +47,7 @@ SELECT transaction_id, user_id, is_fraud, {checked_feature_select()} FROM feat""
 def s23(spark, sf):
     path = _scratch(spark, "features")
     write_features(engineer_features(txn_view(spark, sf)), path)
-    back = read_features(spark, path)
+    back = read_features(spark, path).drop("event_date")
     return snap_doubles(back.drop("timestamp"))
 
 
@@ -66,9 +66,7 @@ def s4(spark, sf):
                        "amount", F.col("receiver").alias("merchant"),
                        F.col("device_id").alias("device_type"), F.col("location").alias("country"),
                        "is_fraud", F.lit("x").alias("merchant_category"))
-    a = adapt_transactions(outside, drop=["merchant_category", "country", "not_there"])
-    return a.select("transaction_id", "user_id", "receiver", "device_id", "location",
-                    "device_changed", "location_changed")
+    return adapt_transactions(outside).drop("timestamp", "amount", "is_fraud")
 
 
 def _raw_requests(spark, sf):
@@ -107,6 +105,34 @@ def s6(spark, sf):
     return a.unionByName(r)
 
 
+# Feature requests with planted faults, told by the event's number.
+_S6B = f"""{W}, r AS (SELECT transaction_id, CAST(substr(transaction_id, 2) AS BIGINT) AS e FROM txn)
+SELECT transaction_id, concat_ws(';',
+  CASE WHEN e % 7 = 0 THEN 'amount: must be a finite number' END,
+  CASE WHEN e % 7 <> 0 AND e % 11 = 0 THEN 'amount: must be positive' END,
+  CASE WHEN e % 7 = 0 OR (e % 11 <> 0 AND e % 13 = 0) THEN 'amount: exceeds maximum allowed' END,
+  CASE WHEN e % 3 = 2 THEN 'velocity_spike: must be in [0, 1]' END,
+  CASE WHEN e % 5 = 0 THEN 'tx_count_6h: must be >= 0' END,
+  CASE WHEN e % 4 = 0 THEN 'user_tx_count: must be >= 1' END) AS errors
+FROM r"""
+
+
+@register("s6b_feature_requests", _S6B, "feature requests: presence, ranges and numbers that are none")
+def s6b(spark, sf):
+    from txnscope.functions.calendar import calendar_columns
+    from txnscope.sources.validate import with_feature_defaults
+    t = txn_view(spark, sf)
+    e = F.expr("bigint(substr(transaction_id, 2))")
+    amount = (F.when(e % 7 == 0, F.lit(float("nan"))).when(e % 11 == 0, F.lit(-1.0)).when(e % 13 == 0, F.lit(1e9))
+              .otherwise(F.col("amount")))
+    req = t.select("transaction_id", *calendar_columns("timestamp"), F.log1p("amount").alias("amount_log"),
+                   F.sqrt("amount").alias("amount_sqrt"), (F.col("amount") * F.col("amount")).alias("amount_squared"),
+                   amount.alias("amount"), (e % 3).alias("velocity_spike"), (e % 5 - 1).alias("tx_count_6h"), (e % 4).alias("user_tx_count"))
+    accepted, rejected = validate(with_feature_defaults(req), "feature")
+    return (accepted.select("transaction_id", F.lit("").alias("errors"))
+            .unionByName(rejected.select("transaction_id", F.array_join("errors", ";").alias("errors"))))
+
+
 _PARTIAL = FEATURE_NAMES[:25]
 
 

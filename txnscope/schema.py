@@ -61,23 +61,8 @@ AMOUNT_EDGES = (100.0, 1000.0, 5000.0, 20000.0)
 # Risk levels: score < 0.3 LOW, < 0.7 MEDIUM, else HIGH.
 RISK_LOW, RISK_HIGH = 0.3, 0.7
 DEFAULT_THRESHOLD = 0.5
-SERVICE_THRESHOLD = 0.75
 REASON_SCORE_FLOOR = 0.5
 
-# Reason codes, in output order within their groups.
-REASON_CODES = [
-    "AMOUNT_3X_USER_AVERAGE", "AMOUNT_2X_USER_AVERAGE",
-    "AMOUNT_SIGNIFICANTLY_HIGHER_THAN_USUAL",
-    "VERY_HIGH_TRANSACTION_VELOCITY", "HIGH_TRANSACTION_VELOCITY",
-    "HIGH_AMOUNT_AT_UNUSUAL_HOUR", "TRANSACTION_AT_NIGHT",
-    "DEVICE_AND_LOCATION_CHANGED", "DEVICE_CHANGE_DETECTED",
-    "LOCATION_CHANGE_DETECTED",
-    "LARGE_AMOUNT_TO_NEW_RECEIVER", "SIGNIFICANT_AMOUNT_TO_NEW_RECEIVER",
-    "NEW_RECEIVER",
-    "EXTREMELY_RAPID_SUCCESSIVE_TRANSACTION", "RAPID_SUCCESSIVE_TRANSACTION",
-    "DEVICE_CHANGE_WITH_UNUSUAL_AMOUNT", "HIGH_VELOCITY_WITH_LARGE_AMOUNT",
-]
-
 # Fraud scenario names.
 FRAUD_PATTERNS = ["sim_swap", "velocity_attack", "unusual_amount",
                   "mule_account", "night_transaction"]

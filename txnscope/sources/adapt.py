@@ -11,6 +11,9 @@ from txnscope.operators.windows import DEFAULT_BUCKET, previous_values
 DEFAULT_RENAMES = {"transaction_date": "timestamp", "merchant": "receiver",
                    "device_type": "device_id"}
 LOCATION_SOURCE = "country"
+DEFAULT_DROP = ["transaction_time", "card_type", "card_last_4", "ip_address", "merchant_category", "user_age",
+                "account_age_days", "transaction_count_24h", "avg_transaction_amount", "distance_from_last_transaction",
+                "merchant_reputation_score", "is_weekend", "is_international", "country"]
 
 
 def adapt_transactions(df: DataFrame, renames: dict | None = None,
@@ -34,6 +37,6 @@ def adapt_transactions(df: DataFrame, renames: dict | None = None,
     out = (prev.withColumn("device_changed", changed("device_id"))
                .withColumn("location_changed", changed("location"))
                .drop("prev_device_id", "prev_location"))
-    if drop:
-        out = out.drop(*[c for c in drop if c in out.columns])
+    drop = DEFAULT_DROP if drop is None else drop
+    out = out.drop(*[c for c in drop if c in out.columns])
     return out

@@ -9,12 +9,17 @@ from pyspark.sql import types as T
 from txnscope.schema import FEATURE_NAMES, ID_COLUMNS, LABEL, TRANSACTION_SCHEMA, feature_type
 
 
+SALT = 4
+
+
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
                       schema: T.StructType = TRANSACTION_SCHEMA) -> DataFrame:
     """Raw transactions with a declared schema (never inferred).
 
     CSV timestamps are parsed leniently (``try_to_timestamp``) so a bad value
-    becomes NULL, which ``validate_raw`` then rejects."""
+    becomes NULL, which ``validate_raw`` then rejects. Numbers that are none
+    (text ``NaN`` or ``Infinity``, stored NaN or infinite doubles) become
+    NULL too."""
     if fmt == "csv":
         raw = (spark.read.option("header", True)
                .schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema]))
@@ -28,8 +33,15 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
                 cols.append(F.lower(c).isin("true", "1", "t", "yes").alias(f.name))
             else:
                 cols.append(c.try_cast(f.dataType).alias(f.name))
-        return raw.select(*cols)
-    return spark.read.schema(schema).format(fmt).load(path)
+        return finite_numbers(raw.select(*cols))
+    return finite_numbers(spark.read.schema(schema).format(fmt).load(path))
+
+
+def finite_numbers(df: DataFrame) -> DataFrame:
+    """NaN and infinite doubles as NULL; all else unchanged."""
+    odd = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.select(*[F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.col(c)).alias(c) if c in odd else F.col(c)
+                       for c in df.columns])
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -38,8 +50,11 @@ def write_features(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     later reads prune by day."""
     cols = [c for c in ID_COLUMNS if c in df.columns] + FEATURE_NAMES + \
         ([LABEL] if LABEL in df.columns else [])
-    out = df.select(*cols)
-    w = out.withColumn("event_date", F.to_date("timestamp")).write.mode(mode).format(fmt)
+    out = df.select(*cols).withColumn("event_date", F.to_date("timestamp"))
+    if partition_by_date:
+        # a day's rows meet in SALT tasks, so it has SALT files at most
+        out = out.withColumn("_salt", F.pmod(F.xxhash64("transaction_id"), F.lit(SALT))).repartition("event_date", "_salt").drop("_salt")
+    w = out.write.mode(mode).format(fmt)
     if partition_by_date:
         w = w.partitionBy("event_date")
     if fmt == "csv":
@@ -57,10 +72,11 @@ def features_schema() -> T.StructType:
 
 
 def read_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """S3: feature rows back, typed; partition column dropped."""
+    """S3: feature rows back, typed. ``event_date`` (if the files have it)
+    stays, so that a filter on it prunes days."""
     r = spark.read.format(fmt)
     if fmt == "csv":
         r = r.option("header", True).schema(features_schema())
     df = r.load(path)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in features_schema()
-                       if f.name in df.columns])
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in features_schema() if f.name in df.columns]
+    return df.select(*cols, *[c for c in ("event_date",) if c in df.columns])
