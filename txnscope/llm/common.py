@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -31,6 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now: it
+    goes by the driver's garbage collection, which may be far off."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by ``written`` once nothing reads it any more."""
     path = getattr(df, "_written_path", None)
