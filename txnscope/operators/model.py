@@ -10,6 +10,7 @@ tables broadcast.
 from __future__ import annotations
 
 import json
+import math
 import random
 import uuid
 from dataclasses import dataclass, field
@@ -35,15 +36,16 @@ from txnscope.session import checkpoint_dir
 # learning_rate->stepSize, subsample->subsamplingRate).
 DEFAULT_PARAMS = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8,
                   "featureSubsetStrategy": "0.8"}
-# Random-search grid (value lists per parameter).
+# The random-search grid (min_child_weight and gamma under
+# Spark ML's names; its trees have no L1 and L2 penalties).
 PARAM_GRID = {
     "maxIter": [100, 200, 300, 500],
-    "maxDepth": [3, 4, 5, 6, 7],
-    "stepSize": [0.01, 0.05, 0.1, 0.2],
-    "subsamplingRate": [0.6, 0.7, 0.8, 0.9],
-    "featureSubsetStrategy": ["0.6", "0.7", "0.8", "0.9"],
-    "minWeightFractionPerNode": [0.0, 0.001, 0.005],
-    "minInfoGain": [0.0, 0.1, 0.2],
+    "maxDepth": [3, 5, 7, 10, 15],
+    "stepSize": [0.01, 0.05, 0.1, 0.2, 0.3],
+    "subsamplingRate": [0.6, 0.7, 0.8, 0.9, 1.0],
+    "featureSubsetStrategy": ["0.6", "0.7", "0.8", "0.9", "1.0"],
+    "minInstancesPerNode": [1, 3, 5, 7],
+    "minInfoGain": [0.0, 0.1, 0.2, 0.3, 0.4],
 }
 
 
@@ -144,7 +146,7 @@ def evaluate(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD, label: str
 
 
 def cross_validate(df: DataFrame, k: int = 5, params: dict | None = None,
-                   resample_fn=None, label: str = "is_fraud") -> DataFrame:
+                   resample_fn=None, label: str = "is_fraud", weighted: bool = True) -> DataFrame:
     """M3: expanding time folds; train and test precision, recall, F1, ROC
     AUC, AP per fold (long form). Resampling, if any, runs inside each
     training fold."""
@@ -155,7 +157,7 @@ def cross_validate(df: DataFrame, k: int = 5, params: dict | None = None,
         tr, te = fold_frames(folded, i, k)
         if resample_fn is not None:
             tr = resample_fn(tr)
-        model = train(tr, params, label=label)
+        model = train(tr, params, weighted=weighted, label=label)
         for split, part in (("train", tr), ("test", te)):
             m = evaluate(score(model, part), label=label)
             for key in ("precision", "recall", "f1", "roc_auc", "average_precision"):
@@ -170,29 +172,40 @@ def cv_summary(cv: DataFrame) -> DataFrame:
 
 
 def sample_params(n_iter: int, seed: int = 42, grid: dict | None = None) -> list[dict]:
-    rng = random.Random(seed)
+    """``n_iter`` distinct points of the grid (all of it, if it has fewer)."""
     g = grid or PARAM_GRID
-    return [{k: rng.choice(v) for k, v in g.items()} for _ in range(n_iter)]
+    total = math.prod(map(len, g.values()))
+    out = []
+    for point in random.Random(seed).sample(range(total), min(n_iter, total)):
+        params = {}
+        for k, v in g.items():
+            point, at = divmod(point, len(v))
+            params[k] = v[at]
+        out.append(params)
+    return out
 
 
 def tune(df: DataFrame, n_iter: int = 30, k: int = 5, scoring: str = "f1", seed: int = 42,
-         grid: dict | None = None, label: str = "is_fraud") -> tuple[PipelineModel, DataFrame]:
+         grid: dict | None = None, label: str = "is_fraud", strategy: str = "class_weight") -> tuple[PipelineModel, DataFrame]:
     """M2: random search over ``grid`` with expanding time folds, refit the
-    best trial on all rows. Returns (model, trials)."""
+    best trial on all rows. The balance strategy holds in every fit, and
+    resampling sees training rows only. Returns (model, trials)."""
+    from txnscope.operators.splits import resample
     spark = df.sparkSession
+    weighted = strategy == "class_weight"
     folded = time_series_folds(df, k).persist()
     trials = []
     for t, params in enumerate(sample_params(n_iter, seed, grid)):
         scores = []
         for i in range(k):
             tr, te = fold_frames(folded, i, k)
-            m = evaluate(score(train(tr, params, label=label), te), label=label)
+            m = evaluate(score(train(resample(tr, strategy, seed), params, weighted=weighted, label=label), te), label=label)
             scores.append(float(m[scoring] or 0.0))
         trials.append((t, json.dumps(params, sort_keys=True), float(np.mean(scores)), float(np.std(scores))))
     folded.unpersist()
     tdf = spark.createDataFrame(trials, "trial int, params string, mean_score double, std_score double")
     best = max(trials, key=lambda r: (r[2], -r[0]))
-    model = train(df, json.loads(best[1]), label=label)
+    model = train(resample(df, strategy, seed), json.loads(best[1]), weighted=weighted, label=label)
     return model, tdf
 
 
@@ -361,11 +374,13 @@ def score_detailed(bundle: ModelBundle, features_df: DataFrame, top_n: int = 5)
 def train_and_evaluate(features_df: DataFrame, test_size: float = 0.2, validation_share: float = 0.1,
                    strategy: str = "class_weight", params: dict | None = None, tune_trials: int = 0,
                    k: int = 5, threshold_metric: str = "f1", path: str | None = None,
-                   seed: int = 42) -> dict:
+                   seed: int = 42, cross_validation: bool = True) -> dict:
     """Time split -> validation block from the end of train ->
-    resample (train only) -> tune or train -> evaluate at 0.5 -> pick the
-    threshold on the validation block (the reference picks it on test; pass
-    ``validation_share=0`` for that) -> evaluate -> importance -> save."""
+    cross-validation -> tune or train (resampling in training rows only) ->
+    evaluate at 0.5 -> pick the threshold on the validation block (the
+    reference picks it on test; pass ``validation_share=0`` for that) ->
+    evaluate -> importance, attribution -> save, with the parameters used
+    and the balance strategy."""
     from txnscope.operators.splits import resample, time_split
     sp = time_split(features_df, test_size).persist()
     train_part = sp.filter(F.col("split") == "train").drop("split", "pos")
@@ -376,12 +391,17 @@ def train_and_evaluate(features_df: DataFrame, test_size: float = 0.2, validatio
         val = vs.filter(F.col("split") == "test").drop("split", "pos")
     else:
         fit_rows, val = train_part, test
-    fit_rows = resample(fit_rows, strategy, seed)
     weighted = strategy == "class_weight"
     if tune_trials:
-        model, trials = tune(fit_rows, tune_trials, k, seed=seed)
+        model, trials = tune(fit_rows, tune_trials, k, seed=seed, strategy=strategy)
+        best_row = top_trials(trials, 1).first()
+        used = json.loads(best_row["params"])
     else:
-        model, trials = train(fit_rows, params, weighted=weighted), None
+        model, trials = train(resample(fit_rows, strategy, seed), params, weighted=weighted), None
+        used = {**DEFAULT_PARAMS, **(params or {})}
+    cv = None
+    if cross_validation:
+        cv = cv_summary(cross_validate(fit_rows, k, used, resample_fn=lambda t: resample(t, strategy, seed), weighted=weighted))
     sweep = K.threshold_sweep(score(model, val))
     best = K.best_threshold(sweep, threshold_metric).first()
     thr = float(best["threshold"]) if best else DEFAULT_THRESHOLD
@@ -389,11 +409,11 @@ def train_and_evaluate(features_df: DataFrame, test_size: float = 0.2, validatio
     at_half = evaluate(scored_test, DEFAULT_THRESHOLD)
     at_best = evaluate(scored_test, thr)
     sizes = K.split_summary(sp).collect()  # two rows
-    meta = {"threshold_metric": threshold_metric, "metrics_at_0_5": at_half, "metrics_at_best": at_best,
+    meta = {"best_params": used, "balance_strategy": strategy, "threshold_metric": threshold_metric, "metrics_at_0_5": at_half, "metrics_at_best": at_best,
             "splits": {r["split"]: {"n": r["n"], "fraud_rate": r["fraud_rate"]} for r in sizes}}
     bundle = ModelBundle(model, thr, meta)
     if path:
         save_model(bundle, path)
     sp.unpersist()
-    return {"bundle": bundle, "trials": trials, "sweep": sweep, "importance": feature_importance(model),
-            "test_scores": scored_test}
+    return {"bundle": bundle, "trials": trials, "cross_validation": cv, "sweep": sweep, "importance": feature_importance(model),
+            "attribution": attribution_importance(model, test), "test_scores": scored_test}
