@@ -26,7 +26,10 @@ def _y(label="is_fraud"):
 
 
 def _seeded(seed: int, id_col: str):
-    return F.xxhash64(F.lit(int(seed)), F.col(id_col))
+    """48 bits of a digest that any SQL engine has, so that the choice can be
+    made again elsewhere; ties go by id."""
+    digest = F.md5(F.concat(F.lit(f"{int(seed)}:"), F.col(id_col).cast("string")))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
 def time_position(df: DataFrame, ts: str = "timestamp", id_col: str = "transaction_id") -> DataFrame:

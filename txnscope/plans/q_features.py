@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from txnscope.functions.amount import amount_columns
 from txnscope.functions.calendar import calendar_columns
 from txnscope.functions.flags import device_columns
-from txnscope.operators.features import engineer_features, select_features
+from txnscope.operators.features import engineer_features, feature_names, select_features
 from txnscope.plans.catalog import register
 from txnscope.plans.checked import snap_doubles
 from txnscope.plans.sqltext import TXN_CTE, features_sql
@@ -140,3 +140,12 @@ def v_exact_lineitem(spark, sf):
 @register("v_exact_sums_orders", _violations_sql(ORDERS_CTE, 30 * 86400 * 1000000), "no negative or left-over sums")
 def v_exact_orders(spark, sf):
     return _violations(orders_view(spark, sf), [("30d", 30 * 86400)])
+
+
+# The operator's names against the columns that the feature job makes.
+@register("f2_feature_names", f"WITH {TXN_CTE} SELECT n AS n_rows, 43 AS n_names, 43 AS n_made FROM (SELECT count(*) AS n FROM txn)")
+def f2(spark, sf):
+    made = engineer_features(txn_view(spark, sf))
+    names = feature_names()
+    return made.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", F.lit(len(names)).alias("n_names"), F.lit(sum(n in made.columns for n in names)).alias("n_made"))

@@ -228,17 +228,30 @@ def k15(spark, sf):
     return snap_doubles(K.split_summary(L.time_split(txn_view(spark, sf), 0.2)))
 
 
-@register("l2_stratified_split")
+_HASHED = f"""{W}, h AS (SELECT *, {Y} AS cls, CAST('0x' || substr(md5('42:' || transaction_id), 1, 12) AS BIGINT) AS hash FROM txn),
+r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY hash, transaction_id) AS rk, count(*) OVER (PARTITION BY cls) AS nc FROM h)"""
+
+
+@register("l2_stratified_split", f"""{_HASHED}
+SELECT transaction_id, is_fraud, CASE WHEN rk <= round(nc * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM r""")
 def l2(spark, sf):
     return L.stratified_split(txn_view(spark, sf), 0.2, 42).select("transaction_id", "is_fraud", "split")
 
 
-@register("l4_undersample")
+_L4 = f"""{_HASHED} SELECT transaction_id, is_fraud FROM r WHERE rk <= (SELECT min(nc) FROM r)"""
+
+
+@register("l4_undersample", _L4)
 def l4(spark, sf):
     return L.undersample(txn_view(spark, sf), 42).select("transaction_id", "is_fraud")
 
 
-@register("l8_sample_per_class")
+@register("l6_resample", _L4, "the dispatch by strategy name")
+def l6(spark, sf):
+    return L.resample(txn_view(spark, sf), "undersample", 42).select("transaction_id", "is_fraud")
+
+
+@register("l8_sample_per_class", f"""{_HASHED} SELECT transaction_id, is_fraud, fraud_score FROM r WHERE rk <= 5""")
 def l8(spark, sf):
     return L.sample_rows(txn_view(spark, sf), 5, 42, per_class=True).select(
         "transaction_id", "is_fraud", "fraud_score")
