@@ -243,3 +243,53 @@ def test_decontamination_in_several_blocks(spark, docs_of, words, monkeypatch):
     df = docs_of([(i, f"start {t} end") for i, t in items] + [(50, "clean text")])
     assert {(r.doc_id, r.item_id) for r in op5_decontam.contaminated(df, bench).collect()} == {(i, i) for i in range(6)}
     assert [r.doc_id for r in op5_decontam.decontaminated(df, bench).collect()] == [50]
+
+
+def edited_leaks(words):
+    """(items, documents): every item only as edited copies."""
+    rng = random.Random(3)
+    items, rows = [], []
+    for phase in range(6):  # every sixth word replaced, in every phase
+        w = words(40, 8000 + phase)
+        items.append(w)
+        rows.append([f"p{phase}x{k}" if k % 6 == phase else x for k, x in enumerate(w)])
+    w = words(8, 8100)  # one word in the middle
+    items.append(w)
+    rows.append([*w[:3], "other", *w[4:]])
+    w = words(40, 8101)  # a word inserted after every second one, and after every one
+    items += [w]
+    rows += [[y for k, x in enumerate(w) for y in ([x, f"i{k}"] if k % 2 else [x])], [y for k, x in enumerate(w) for y in (x, f"j{k}")]]
+    w = words(39, 8102)  # every third word deleted
+    items.append(w)
+    rows.append([x for k, x in enumerate(w) if k % 3])
+    for n in range(40):
+        w = words(rng.randint(3, 30), 8200 + n)
+        items.append(w)
+        for share in (0.1, 0.2, 0.3, 0.4):
+            out = []
+            for k, x in enumerate(w):
+                out += rng.choice([[], [f"r{n}x{k}"], [x, f"r{n}x{k}"]]) if rng.random() < share else [x]
+            rows.append(out)
+    frequent = ["and", "of", "the"]
+    rows = [words(20, 9000 + i) + rng.choices(frequent, k=20) + r + rng.choices(frequent, k=5) for i, r in enumerate(rows)]
+    return [" ".join(w) for w in items], [" ".join(r) for r in rows]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_edited_leaks_against_brute_force(spark, docs_of, words, threshold):
+    items, texts = edited_leaks(words)
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b = item.split(), t.split()
+            if 2 * len(set(a) & set(b)) and smith_waterman(a, b) >= threshold * 2 * len(a):
+                want.add((d, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = docs_of(list(enumerate(texts)))
+    assert len(want) > 40
+    assert {(r.doc_id, r.item_id) for r in op5_decontam.contaminated(df, bench, threshold).collect()} == want
+    if threshold == 0.5:
+        assert {(i, i) for i in range(8)} <= want
+        assert {r.doc_id for r in op5_decontam.decontaminated(df, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+        twice = docs_of([(1, f"{items[0]} {items[0]}")])
+        assert [(r.start_word, r.end_word) for r in op5_decontam.contaminated(twice, bench).orderBy("start_word").collect()] == [(0, 40), (40, 80)]

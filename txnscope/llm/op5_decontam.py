@@ -1,13 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: Smith-Waterman wherever words in common allow it.
 
-1. Count, over all documents, how many hold each word trigram of the
-   benchmark.
-2. Every run of ``SEGMENT`` consecutive trigrams of a test item gives its
-   rarest one as a seed, however common it is, so a leak that a third of the
-   documents share is sought like any other.
-3. Where the text is read, seed hits join passages to items; around each hit
-   diagonal the passage and the item are aligned (match +2, other -1), and
-   the score is put in proportion to the item's own.
+The score of an alignment is 2 matches - edits, so one that reaches
+``threshold`` of the item's own score matches that share of its words.
+
+1. Some match is among the item's rarest words, as many as may be missing and
+   one more: items with none of them in the text are left out.
+2. Places of the item whose word the text has count +2, others -1; so do
+   places of the text whose word the item has. The best run of places bounds
+   the score from both sides, and the text is cut where no run goes on.
+3. What remains is aligned (match +2, other -1).
+
+All three are bounds, so the result is that of aligning every document with
+every item, at any threshold; there are no seeds that edits can break.
 
 Documents never move: the benchmark side is what tasks get. It is used in
 blocks of ``BLOCK_WORDS`` words, so what a task holds is bounded; a larger
@@ -23,10 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnscope.llm.common import WordHashes, shingle_hashes, signed
+from txnscope.llm.common import WordHashes
 
-N = 3
-SEGMENT = 3
+MIN_WORDS = 3
 THRESHOLD = 0.5
 MATCH, OTHER, GAP = 2, -1, 1
 BLOCK_WORDS = 500_000
@@ -69,70 +72,99 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - length, end
 
 
-def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Which of x are in ``ordered`` (sorted, not empty)."""
-    at = np.searchsorted(ordered, x)
-    at[at == len(ordered)] = 0
-    return ordered[at] == x
+def rises(shared: np.ndarray) -> np.ndarray:
+    """Before and after each place: the best run of places that ends there, 2
+    for a shared place and -1 for any other. An alignment scores no more than
+    the run it spans, and loses nothing where it is cut at a 0."""
+    c = np.zeros(len(shared) + 1, np.int64)
+    np.cumsum(np.where(shared, MATCH, OTHER), out=c[1:])
+    return c - np.minimum.accumulate(c)
 
 
 class Items:
-    """One block of test items: word hashes, and the place of each seed."""
+    """One block of test items as numbers in the block's vocabulary."""
 
-    def __init__(self, rows: list[tuple[int, list[int]]]):
+    def __init__(self, rows: list[tuple[int, list[int]]], threshold: float):
+        rows = [r for r in rows if len(r[1]) >= MIN_WORDS]
         self.ids = [r[0] for r in rows]
-        self.words = [np.array(r[1], np.uint64) for r in rows]
-        self.at: dict[int, list[tuple[int, int]]] = {}
-        self.keys = np.empty(0, np.uint64)
-
-    def trigrams(self):
-        """(trigram, item number, place) of all items of at least N words."""
-        for k, w in enumerate(self.words):
-            if len(w) >= N:
-                for q, g in enumerate(shingle_hashes(w, N).tolist()):
-                    yield g, k, q
-
-    def set_seeds(self, frequency: dict[int, int]) -> None:
-        runs: dict[tuple[int, int], tuple] = {}
-        for g, k, q in self.trigrams():
-            mine = (frequency.get(g, 0), q, g)
-            if mine < runs.get((k, q // SEGMENT), (1 << 62,)):
-                runs[k, q // SEGMENT] = mine
-        for (k, _), (_, q, g) in runs.items():
-            self.at.setdefault(g, []).append((k, q))
-        self.keys = np.array(sorted(self.at), np.uint64)
-
-    def find(self, text_words: np.ndarray, threshold: float) -> list[tuple]:
-        """(item id, score, start, end) of the aligned passages."""
-        if len(text_words) < N or not len(self.keys):
+        self.size = np.array([len(r[1]) for r in rows], np.int64)
+        self.need = threshold * MATCH * self.size - 1e-9
+        flat = np.array([w for r in rows for w in r[1]], np.uint64)
+        self.vocabulary, code = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(rows)), self.size)
+        # each item is ended by a word that no text has
+        self.start = np.cumsum(self.size + 1) - self.size - 1
+        self.codes = np.full(len(flat) + len(rows), len(self.vocabulary), np.int64)
+        self.codes[np.arange(len(flat)) + owner] = code
+        # the rarest words of each item, of which a text must have one
+        by = np.lexsort((code, np.bincount(code, minlength=len(self.vocabulary))[code], owner))
+        rank = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        least = np.maximum(1, np.ceil(self.need / MATCH)).astype(np.int64)
+        one = np.unique(np.stack([code[by], owner])[:, rank <= (self.size - least)[owner]], axis=1)
+        self.item = one[1]
+        self.first = np.searchsorted(one[0], np.arange(len(self.vocabulary) + 1))
+
+    def words(self, k: int) -> np.ndarray:
+        return self.codes[self.start[k]:self.start[k] + self.size[k]]
+
+    def candidates(self, there: np.ndarray) -> np.ndarray:
+        """The items that a text with the words ``there`` may hold."""
+        n = self.first[there + 1] - self.first[there]
+        items = np.unique(self.item[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[there], n)])
+        if not len(items):
+            return items
+        n = self.size[items] + 1
+        ends = np.cumsum(n)
+        x = np.arange(ends[-1]) - np.repeat(ends - n - self.start[items], n)
+        present = np.zeros(len(self.vocabulary) + 1, bool)
+        present[there] = True
+        c = np.cumsum(np.where(present[self.codes[x]], MATCH, OTHER))
+        c -= np.repeat(np.arange(len(items)) * MATCH * int(n.max()), n)  # each item starts below all before it
+        best = np.maximum.reduceat(c - np.minimum.accumulate(np.minimum(c, 0)), ends - n)
+        # the first place of an item may itself be the lowest
+        return items[best + MATCH >= self.need[items]]
+
+    def find(self, text_words: np.ndarray) -> list[tuple]:
+        """(item id, score, start, end) of the aligned passages; those of one
+        item don't overlap."""
+        if not len(text_words) or not len(self.ids):
             return []
-        grams = shingle_hashes(text_words, N)
-        spots: dict[int, list[int]] = {}
-        for p in np.flatnonzero(member(grams, self.keys)).tolist():
-            for k, q in self.at[int(grams[p])]:
-                spots.setdefault(k, []).append(p - q)
+        code = np.searchsorted(self.vocabulary, text_words)
+        code[code == len(self.vocabulary)] = 0
+        known = self.vocabulary[code] == text_words
+        code[~known] = len(self.vocabulary) + 1  # in no item
+        there = np.zeros(len(self.vocabulary) + 2, bool)
+        there[code] = True
         out = []
-        for k, diagonals in spots.items():
-            item = self.words[k]
-            pad = max(8, len(item) // 4)
-            spans: list[list[int]] = []
-            for d in sorted(diagonals):
-                lo, hi = max(0, d - pad), min(len(text_words), d + len(item) + pad)
-                if spans and lo <= spans[-1][2]:  # hits on near diagonals are one passage
-                    spans[-1][1], spans[-1][2] = hi, d
-                else:
-                    spans.append([lo, hi, d])
-            for lo, hi, _ in spans:
-                # no alignment scores more than its matches do
-                if MATCH * np.isin(item, text_words[lo:hi]).sum() < threshold * MATCH * len(item):
+        for k in self.candidates(np.flatnonzero(there[:-2])).tolist():
+            out += self.passages(k, code)
+        return out
+
+    def passages(self, k: int, code: np.ndarray) -> list[tuple]:
+        """The best passage of item k in a text, and those beside it."""
+        w, need = self.words(k), self.need[k]
+        own = np.zeros(len(self.vocabulary) + 2, bool)
+        own[w] = True
+        out, spans = [], [(0, len(code))]
+        while spans:
+            lo, hi = spans.pop()
+            rise = rises(own[code[lo:hi]])
+            if rise.max() < need:
+                continue
+            zeros = np.append(np.flatnonzero(rise == 0), len(rise))
+            for j in np.flatnonzero(np.maximum.reduceat(rise, zeros[:-1]) >= need).tolist():
+                s, e = lo + int(zeros[j]), min(hi, lo + int(zeros[j + 1]))
+                part = code[s:e]
+                if rises(np.isin(w, part)).max() < need:
                     continue
-                score, s, e = align(item, text_words[lo:hi])
-                if score >= threshold:
-                    out.append((self.ids[k], score, lo + s, lo + e))
+                score, a, b = align(w, part)
+                if b > a and score * MATCH * len(w) >= need:
+                    out.append((self.ids[k], score, s + a, s + b))
+                    spans += [(s, s + a), (s + b, e)]
         return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[Items]:
+def item_blocks(benchmark: DataFrame, threshold: float, id_col: str = "item_id", text_col: str = "text") -> list[Items]:
     """The benchmark in blocks of at most BLOCK_WORDS words (or one item)."""
     hashes = WordHashes()
     blocks: list[list] = [[]]
@@ -145,36 +177,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[Items]
             size = 0
         blocks[-1].append((r["i"], w))
         size += len(w)
-    return [Items(b) for b in blocks]
-
-
-def seeded(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-           doc_text_col: str = "text") -> list[Items]:
-    """The benchmark with seeds by their frequency in all of ``docs``."""
-    blocks = item_blocks(benchmark, id_col, text_col)
-    for block in blocks:
-        wanted = np.unique(np.array([g for g, _, _ in block.trigrams()], np.uint64))
-        if not len(wanted):
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-        def count(batches, shared=shared):
-            hashes, total = WordHashes(), np.zeros(len(shared.value), np.int64)
-            for pdf in batches:
-                for t in pdf["t"]:
-                    w = hashes.of(words(t))
-                    if len(w) >= N:
-                        g = np.unique(shingle_hashes(w, N))
-                        g = g[member(g, shared.value)]
-                        total[np.searchsorted(shared.value, g)] += 1
-            hit = np.flatnonzero(total)
-            yield pd.DataFrame({"g": signed(shared.value[hit]), "n": total[hit]})
-
-        counts = docs.select(F.col(doc_text_col).alias("t")).mapInPandas(count, "g long, n long")
-        # one row per trigram of a bounded block
-        rows = counts.groupBy("g").agg(F.sum("n").alias("n")).collect()
-        block.set_seeds({int(np.int64(r["g"]).view(np.uint64)): r["n"] for r in rows})
-    return blocks
+    return [Items(b, threshold) for b in blocks]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
@@ -183,20 +186,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     document that aligns with a test item at ``threshold`` of the item's own
     score or more (words as runs of letters and digits, from 0).
 
-    Null and empty texts hold none; items of fewer than 3 words have no
-    trigram and are not sought; repeated items with one id count once.
+    Null and empty texts hold none; items of fewer than 3 words are not
+    sought; repeated items with one id count once.
     Repeated rows each give their rows; other columns are ignored. An empty
     table on either side gives no rows.
     """
     found = None
-    for block in seeded(docs, benchmark, doc_text_col=text_col):
+    for block in item_blocks(benchmark, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def scan(batches, shared=shared):
             hashes = WordHashes()
             for pdf in batches:
                 rows = [(d, *hit) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["t"], strict=True)
-                        for hit in shared.value.find(hashes.of(words(t)), threshold)]
+                        for hit in shared.value.find(hashes.of(words(t)))]
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
                 yield out.astype({"doc_id": "Int64"})
 
@@ -209,13 +212,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without an aligned passage, unchanged."""
     out = docs
-    for block in seeded(docs, benchmark, doc_text_col=text_col):
+    for block in item_blocks(benchmark, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches, shared=shared):
             hashes = WordHashes()
             for pdf in batches:
-                yield pdf[[not shared.value.find(hashes.of(words(t)), threshold) for t in pdf[text_col]]]
+                yield pdf[[not shared.value.find(hashes.of(words(t))) for t in pdf[text_col]]]
 
         out = out.mapInPandas(keep, docs.schema)
     return out
