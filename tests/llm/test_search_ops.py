@@ -179,6 +179,62 @@ def test_passages_beyond_the_star(spark, docs_of, words, monkeypatch):
     assert all(a >= 100 and a // 10 == b // 10 for a, b in got)
 
 
+def best_similarity(x, y, t):
+    """The best Jaccard similarity of all pairs of spans of t places or more,
+    from a token they share to a token they share, for texts of distinct tokens."""
+    place, mate = {b: j for j, b in enumerate(y)}, {a: i for i, a in enumerate(x)}
+    mate = np.array([mate.get(b, -1) for b in y])
+    m = np.zeros((len(x) + 1, len(y) + 1), int)
+    for i, a in enumerate(x):
+        if a in place:
+            m[i + 1, place[a] + 1] = 1
+    m = m.cumsum(0).cumsum(1)
+    u, v = (q + z for q, z in zip(np.triu_indices(len(y) + 1 - t), (0, t), strict=True))
+    best = 0.0
+    for s in range(len(x) + 1 - t):
+        for e in range(s + t, len(x) + 1):
+            ends = [place.get(x[s], -1), place.get(x[e - 1], -1)]
+            ok = (u <= min(ends)) & (max(ends) < v) & (np.minimum(mate[u], mate[v - 1]) >= s) & (np.maximum(mate[u], mate[v - 1]) < e)
+            both = m[e, v] - m[s, v] - m[e, u] + m[s, u]
+            best = max(best, float((both / (e - s + v - u - both))[ok].max(initial=0)))
+    return best
+
+
+def tokens(w):
+    return op4_substrings.tokens_of(" ".join(w), op4_substrings.WordHashes())
+
+
+@pytest.mark.parametrize("inserted", [1, 4, 6, 8, 12, 20])
+def test_passages_with_one_place_edited(words, inserted):
+    t, hit, want = 46, 0, 0
+    for n in (52, 64, 80, 98):
+        p = words(n, 600 + n)
+        for at in (n // 4, n // 2):
+            for drop in (0, inserted):  # inserted, or in the place of others
+                q = p[:at] + words(inserted, 700 + inserted) + p[at + drop:]
+                x, y = tokens(words(8, 1) + p + words(8, 2)), tokens(words(8, 3) + q + words(8, 4))
+                assert len(set(x.tolist())) == len(x) and len(set(y.tolist())) == len(y)
+                for a, b in ((x, y), (y, x)):
+                    best = best_similarity(a.tolist(), b.tolist(), t)
+                    got = op4_substrings.passages(a, b, t, 0.8)
+                    if best >= 0.81:
+                        assert got, (n, at, drop, inserted, best)
+                        want += 1
+                    assert best >= 0.8 or not got
+                    for s, e, u, v, sim in got:
+                        assert e - s >= t and v - u >= t and sim >= 0.8
+                        assert sim == op4_substrings.jaccard(a[s:e], b[u:v])
+    assert want
+
+
+def test_passages_of_lines_side_by_side(words):
+    """Shared lines that stand apart in the other text don't hide a passage."""
+    a, b, c = words(60, 801), words(60, 802), words(30, 803)
+    x = tokens(words(20, 1) + a + b + c + words(20, 2))
+    y = tokens(words(30, 3) + b + words(90, 4) + c + words(70, 5) + a + words(10, 6))
+    assert [q[:2] for q in sorted(op4_substrings.passages(x, y, 46, 0.8))] == [(20, 76), (80, 136)]
+
+
 def test_cut_spans():
     assert op4_substrings.cut_spans("a b\n c d", [(1, 3)]) == "a d"
     assert op4_substrings.cut_spans(" a b", [(0, 2)]) == " "
