@@ -227,3 +227,24 @@ def test_pipeline(spark, words, tmp_path):
     assert all(sub[i] == quality[i] for i in sub if i not in (321, 322, 310))
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} == set(dec) and all(r.length <= 2048 for r in out)
+
+
+def test_stages_with_null_and_repeated_ids(spark, docs_of, words, tmp_path):
+    """Rows are told apart by more than their ids."""
+    import corpus_pipeline
+    text = [" ".join(words(100, 40 + i)) for i in range(6)]
+    near = [" ".join("changed" if k == 7 else w for k, w in enumerate(t.split())) for t in text]
+    rows = [(1, text[0]), (None, near[0]), (None, text[1]), (None, text[2]), (None, near[2]), (2, text[3]), (3, near[3]), (3, text[4]),
+            (4, text[5]), (4, text[5]), (5, ""), (5, ""), (None, None), (None, None)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs_of(rows).repartition(3), str(tmp_path)).collect()]
+    one = [r for r in got if r in ((None, text[2]), (None, near[2]))]
+    assert len(one) == 1
+    want = [(1, text[0]), (None, text[1]), *one, (2, text[3]), (3, text[4]), (4, text[5]), (5, ""), (None, None), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+    passage = " ".join(words(80, 50))
+    a, b, c, d = (" ".join(words(60, 60 + i)) for i in range(4))
+    rows = [(1, f"{a} {passage}"), (2, f"{b} {passage}"), (2, text[0]), (None, f"{c} {passage} {d}"), (None, text[1])]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.substring_dedup(spark, docs_of(rows).repartition(3), str(tmp_path)).collect()]
+    want = [(1, f"{a} {passage}"), (2, f"{b} "), (2, text[0]), (None, f"{c} {d}"), (None, text[1])]
+    assert sorted(got, key=str) == sorted(want, key=str)
