@@ -47,24 +47,27 @@ class BytePairIds:
     The file's vocabulary is run by tiktoken, about four times as fast with
     the same ids (ids rise with merge rank in these files; a probe text
     checks it). tiktoken overflows its stack on huge runs of white space, so
-    texts with such a run go to the ``tokenizers`` library itself.
+    texts with such a run go to the ``tokenizers`` library itself, and so do
+    texts that hold the string of a special token, which is one id there
+    (``plain``: ordinary text).
     """
 
-    LONG_SPACE = re.compile(r"\s{500}")
     PROBE = "It's 1,234 tokens\n\n  of \u00e9t\u00e9 \u65e5\u672c\u8a9e; don't <|x|>\tstop \U0001f600 "
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", [])}
+        slow = [r"\s{500}"] + ([] if plain else [re.escape(t) for t in sorted(special) if t])
+        self.needs_slow = re.compile("|".join(slow))
         byte = {c: b for b, c in enumerate(byte_letters())}
-        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         if self.enc.encode_ordinary(self.PROBE) != self.slow(self.PROBE):
             raise ValueError(f"{path} is not a byte-level BPE in rank order")
 
@@ -72,7 +75,7 @@ class BytePairIds:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
-        ids = self.slow(text) if self.LONG_SPACE.search(text) else self.enc.encode_ordinary(text)
+        ids = self.slow(text) if self.needs_slow.search(text) else self.enc.encode_ordinary(text)
         return np.array(ids, "<u4")
 
 

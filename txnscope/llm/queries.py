@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txnscope.llm import op1_warc, op2_neardup, op3_licenses, op4_substrings, op5_decontam, op6_quality, op7_packing, op8_ann, op9_langid, op10_sharding
+from txnscope.llm import op11_topk, op12_align, op13_search
 from txnscope.llm.catalog import LlmQuery
 from txnscope.llm.common import table
 
@@ -80,6 +81,49 @@ def op8_nearest(spark, sf_dir):
     return op8_ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_top(spark, sf_dir):
+    return op11_topk.search(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
+
+
+def op12_pairs(spark, sf_dir):
+    return op12_align.align(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked(spark, sf_dir):
+    return op13_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n, ws FROM w WHERE len(ws) > 0),
+g AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+t AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nn) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+      FROM t, g GROUP BY term),
+i AS (SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+m AS (SELECT r, doc_id, 75 + (25 * n * nn) // ll AS m FROM d, g),
+s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM i JOIN t USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY item_id, r),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM k WHERE n <= 20
+"""
+
+
 QUERIES = [
     LlmQuery("op1_warc", op1_warc_round_trip, OP1_SQL),
     LlmQuery("op2_neardup", op2_near_duplicates, OP2_SQL),
@@ -91,4 +135,7 @@ QUERIES = [
     LlmQuery("op8_ann", op8_nearest),
     LlmQuery("op9_langid", op9_language),
     LlmQuery("op10_sharding", op10_shard_bytes),
+    LlmQuery("op11_topk", op11_top, OP11_SQL),
+    LlmQuery("op12_align", op12_pairs),
+    LlmQuery("op13_search", op13_ranked, OP13_SQL),
 ]
