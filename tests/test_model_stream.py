@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, SF_MID
+from conftest import SF_SMALL, SF_MID, make_txn
 from txnscope.operators import metrics as K
 from txnscope.operators import model as M
 from txnscope.operators.features import engineer_features, select_features
@@ -67,12 +67,77 @@ def test_save_load_roundtrip(spark, signal):
     assert a == b
 
 
-def test_stream_equals_batch(spark):
-    t = txn_view(spark, SF_SMALL).select(*[f.name for f in TRANSACTION_SCHEMA])
-    src = f"{checkpoint_dir(spark)}/stream-src-test"
-    assert write_in_time_order(t, src, chunk_days=3) > 1
-    feats, late = run_feature_stream(spark, src, f"{checkpoint_dir(spark)}/stream-out-test")
+def _raw(spark):
+    return txn_view(spark, SF_SMALL).select(*[f.name for f in TRANSACTION_SCHEMA])
+
+
+def _same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _checked(feats):
+    return snap_doubles(select_features(feats).drop("timestamp"))
+
+
+@pytest.mark.parametrize("chunk_days,files,per_trigger", [(3, 1, 3), (60, 4, 1)])
+def test_stream_equals_batch(spark, chunk_days, files, per_trigger):
+    """In time order, and as one chunk of four files in no order."""
+    src = f"{checkpoint_dir(spark)}/stream-src-{files}"
+    write_in_time_order(_raw(spark), src, chunk_days, files)
+    feats, late = run_feature_stream(spark, src, f"{checkpoint_dir(spark)}/stream-out-{files}", per_trigger)
     assert late.count() == 0
-    batch = snap_doubles(select_features(engineer_features(txn_view(spark, SF_SMALL))).drop("timestamp"))
-    stream = snap_doubles(select_features(feats).drop("timestamp"))
-    assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
+    assert _same(_checked(feats), _checked(engineer_features(txn_view(spark, SF_SMALL))))
+
+
+def test_stream_goes_on_after_a_restart(spark):
+    """Two runs over a growing folder, the second with older rows too: those
+    behind the watermark are late, all others as if seen at once."""
+    src, out = f"{checkpoint_dir(spark)}/grow-src", f"{checkpoint_dir(spark)}/grow-out"
+    raw = _raw(spark)
+    cut = F.to_timestamp(F.lit("2024-01-16"))
+    raw.filter(F.col("timestamp") < cut).repartition(2).write.parquet(f"{src}/chunk=1")
+    run_feature_stream(spark, src, out, 2, delay="3 days", close=False)
+    again = raw.filter("timestamp < timestamp'2024-01-02'")  # repeated long after
+    raw.filter(F.col("timestamp") >= cut).unionByName(again).repartition(2).write.parquet(f"{src}/chunk=2")
+    feats, late = run_feature_stream(spark, src, out, 2, delay="32 days")
+    assert sorted(r[0] for r in late.select("transaction_id").collect()) == sorted(r[0] for r in again.select("transaction_id").collect())
+    assert _same(_checked(feats), _checked(engineer_features(txn_view(spark, SF_SMALL))))
+
+
+def test_only_rows_behind_the_watermark_are_late(spark):
+    def row(i, user, at, amount, receiver="r"):
+        return (i, user, at, amount, receiver, False, False, False)
+    src, out = f"{checkpoint_dir(spark)}/late-src", f"{checkpoint_dir(spark)}/late-out"
+    files = [
+        [row("c", "u", "2024-01-01 12:00:00", 3.0), row("n", None, "2024-01-01 12:00:00", None)],
+        [row("a", "u", "2024-01-01 11:00:00", 1.0), row("b2", "u", "2024-01-01 11:30:00", None), row("b1", "u", "2024-01-01 11:30:00", 2.0)],
+        [row("d", "u", "2024-01-01 13:30:00.000001", 1e15, "s")],
+        [row("e", "u", "2024-01-01 12:30:00", 0.1, None), row("x", "u", "2024-01-01 12:29:59.999", 9.0), row("z", "u", None, 1.0)],
+    ]
+    for n, rows in enumerate(files):
+        make_txn(spark, rows).select(*[f.name for f in TRANSACTION_SCHEMA]).coalesce(1).write.parquet(f"{src}/chunk={n}")
+    feats, late = run_feature_stream(spark, src, out, 1, delay="1 hour")
+    assert {r[0] for r in late.select("transaction_id").collect()} == {"x", "z"}
+    rows = [r for f in files for r in f if r[0] not in ("x", "z")]
+    assert _same(_checked(feats), _checked(engineer_features(make_txn(spark, rows))))
+
+
+def test_profile_stream_equals_batch_and_survives_retries(spark):
+    from txnscope.operators.point import user_profile
+    from txnscope.streaming.features import compact_profile, read_profile, run_profile_stream
+    src, out = f"{checkpoint_dir(spark)}/profile-src", f"{checkpoint_dir(spark)}/profile-out"
+    raw = _raw(spark)
+    write_in_time_order(raw.filter("timestamp < timestamp'2024-01-20'"), src, 7)
+    run_profile_stream(spark, src, out)
+    first = compact_profile(spark, out)
+    assert _same(snap_doubles(read_profile(spark, out)), snap_doubles(user_profile(raw.filter("timestamp < timestamp'2024-01-20'"))))
+    raw.filter("timestamp >= timestamp'2024-01-20'").write.parquet(f"{src}/chunk=99")
+    run_profile_stream(spark, src, out)
+    want = snap_doubles(user_profile(raw))
+    assert _same(snap_doubles(read_profile(spark, out)), want)
+    # a batch that is tried again writes the same folder, a compaction the same snapshot
+    last = spark.read.parquet(f"{out}/changes").agg(F.max("batch_id")).first()[0]
+    batch = spark.createDataFrame(spark.read.parquet(f"{out}/changes/batch_id={last}").collect(), spark.read.parquet(f"{out}/changes/batch_id={last}").schema)
+    batch.write.mode("overwrite").parquet(f"{out}/changes/batch_id={last}")
+    assert compact_profile(spark, out) == compact_profile(spark, out) == last > first
+    assert _same(snap_doubles(read_profile(spark, out)), want)

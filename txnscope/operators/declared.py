@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from txnscope.functions.common import flag
 from txnscope.operators.ranking import exclusive_prefix
-from txnscope.operators.windows import DEFAULT_BUCKET, time_window_features
+from txnscope.operators.windows import time_window_features
 
 X_WINDOWS = (("1h", 3600), ("6h", 6 * 3600), ("24h", 86400), ("7d", 7 * 86400))
 
 
-def declared_columns(df: DataFrame, bucket_seconds: int = DEFAULT_BUCKET) -> DataFrame:
+def declared_columns(df: DataFrame, n_slices: int | None = None) -> DataFrame:
     yes = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)).cast("double")
     w = time_window_features(
-        df, windows=X_WINDOWS, bucket_seconds=bucket_seconds,
+        df, windows=X_WINDOWS, n_slices=n_slices,
         running={"device_change_count": (yes("device_changed"), True),
                  "location_change_count": (yes("location_changed"), True),
                  "_fraud_prior": (yes("is_fraud"), False)},

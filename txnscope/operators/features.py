@@ -9,7 +9,7 @@ from txnscope.functions.amount import amount_columns
 from txnscope.functions.calendar import calendar_columns
 from txnscope.functions.common import flag, log1p
 from txnscope.functions.flags import device_columns, interaction_columns
-from txnscope.operators.windows import DEFAULT_BUCKET, DEFAULT_WINDOWS, time_window_features
+from txnscope.operators.windows import DEFAULT_WINDOWS, time_window_features
 from txnscope.session import checkpoint_dir
 from txnscope.schema import FEATURE_NAMES, ID_COLUMNS, LABEL, feature_type
 
@@ -33,20 +33,20 @@ def derived_history_columns() -> list:
 
 
 def engineer_features(df: DataFrame, windows=DEFAULT_WINDOWS,
-                      bucket_seconds: int = DEFAULT_BUCKET, checkpoint_input: bool = False) -> DataFrame:
+                      n_slices: int | None = None, checkpoint_input: bool = False) -> DataFrame:
     """raw transactions -> raw columns + the 43 features.
 
-    One shuffle of the rows (by user and time bucket, see
+    One shuffle of the rows (by user, and by time slice for busy users, see
     ``time_window_features``); the point features are projections computed
     after the shuffle so they do not travel through it. The input is read
-    three times (rows, history carries, receiver carries); with
-    ``checkpoint_input`` it is first written to the shared checkpoint
-    folder, which pays if it is itself the result of a shuffle.
+    twice (a sample of the keys, the rows) and its busy users' rows again for
+    their carries; with ``checkpoint_input`` it is first written to the shared
+    checkpoint folder, which pays if it is itself the result of a shuffle.
     """
     if checkpoint_input:
         checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
-    w = time_window_features(df, windows=windows, bucket_seconds=bucket_seconds)
+    w = time_window_features(df, windows=windows, n_slices=n_slices)
     w = w.select("*", *calendar_columns("timestamp"), *amount_columns("amount"),
                  *device_columns(), *derived_history_columns())
     return w.select("*", *interaction_columns("amount"))

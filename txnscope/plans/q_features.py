@@ -76,7 +76,7 @@ GROUP BY t.transaction_id"""
 @register("v_velocity_orders_ties_30d", _ORD_SQL, "tie fixture: equal customer-day timestamps")
 def v_orders(spark, sf):
     w = time_window_features(orders_view(spark, sf), windows=[("30d", 30 * 86400)],
-                             bucket_seconds=7 * 86400, history=False, gap=False, receiver_col=None)
+                             history=False, gap=False, receiver_col=None)
     return snap_doubles(w.select("transaction_id", "tx_count_30d", "tx_amount_30d"))
 
 

@@ -196,12 +196,15 @@ def b1(spark, sf):
     return snap_doubles(build_point_features(_raw_requests(spark, sf)).drop("user_id"))
 
 
-@register("b2_user_profile", f"""{W}, c AS (SELECT user_id, device_id, location, count(*) OVER (PARTITION BY user_id, device_id) AS cd,
+PROFILE_SQL = f"""{W}, c AS (SELECT user_id, device_id, location, count(*) OVER (PARTITION BY user_id, device_id) AS cd,
     count(*) OVER (PARTITION BY user_id, location) AS cl FROM txn)
 SELECT t.user_id, count(*) AS n_tx, {S('avg(amount)')} AS avg_amount, {S('stddev_samp(amount)')} AS std_amount,
   (SELECT device_id FROM c WHERE c.user_id = t.user_id ORDER BY cd DESC, device_id LIMIT 1) AS usual_device_id,
   (SELECT location FROM c WHERE c.user_id = t.user_id ORDER BY cl DESC, location LIMIT 1) AS usual_location
-FROM txn t GROUP BY t.user_id""")
+FROM txn t GROUP BY t.user_id"""
+
+
+@register("b2_user_profile", PROFILE_SQL)
 def b2(spark, sf):
     return snap_doubles(user_profile(txn_view(spark, sf)))
 

@@ -1,57 +1,61 @@
 """The feature and scoring jobs as Structured Streaming queries.
 
-G1 keeps one state per user (running count/sum/M2, last row, the rows of
-the last ``max(w)`` and per-receiver counts) in ``applyInPandasWithState``;
-each micro-batch's rows of a user are handled with vectorised NumPy
-(sorted, ``searchsorted`` for window bounds, prefix sums), so results equal
-the batch job when rows arrive in time order. Rows at or before a user's
-last seen (timestamp, id) are *late*: they pass through with ``late = true``
-and no features, and do not touch the state (G4 routes them to a side
-output). The point features are then added by the same Spark expressions as
-the batch job.
+Rows may come in any order within a declared delay. A watermark follows the
+newest event time at that distance; a user's rows are buffered until it has
+passed them and are then released in (timestamp, id) order, so the features
+equal the batch job's. Only rows that come behind the watermark, or without a
+timestamp, are *late*: they pass through with ``late = true`` and no features
+and touch no state (G4 routes them to a side output).
+
+State of a user (``transformWithStateInPandas``): buffered rows (list state,
+one Arrow block per micro-batch), the released rows of the last ``max(w)``,
+running history, and one map entry per receiver, of which only those in the
+released rows are read and written. One event-time timer stands at the oldest
+buffered row. Windows and sums come from the batch job's array functions
+(``operators.segments``): exact sums, no row loop. The point features are then
+added by the same Spark expressions as in the batch job.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-import warnings
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from txnscope.functions.amount import amount_columns
 from txnscope.functions.calendar import calendar_columns
 from txnscope.functions.flags import device_columns, interaction_columns
+from txnscope.operators import segments as sg
 from txnscope.operators.features import derived_history_columns
+from txnscope.operators.windows import EXACT, codes, finite, sorted_rows
 from txnscope.schema import TRANSACTION_SCHEMA
 from txnscope.session import checkpoint_dir
 
-# pandas warns about concatenating empty state frames inside the Arrow
-# serializer; harmless here
-warnings.filterwarnings("ignore", category=FutureWarning, message=".*concatenation with empty.*")
-
 US = 1_000_000
 WINDOWS = (("1h", 3600), ("24h", 86400))
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How far behind the newest row a row may come when a folder is replayed.
+REPLAY_DELAY = "32 days"
+LIVE_DELAY = "10 minutes"
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("cnt", T.LongType()),
-    T.StructField("s", T.DoubleType()), T.StructField("mean", T.DoubleType()),
-    T.StructField("m2", T.DoubleType()), T.StructField("last_us", T.LongType()),
-    T.StructField("last_id", T.StringType()),
-    T.StructField("recent", T.StringType()),      # JSON [[us, amount], ...] within max(w)
-    T.StructField("receivers", T.StringType()),   # JSON {receiver: count}
-])
-
+HISTORY = "n long, cnt long, total decimal(38,12), mean double, m2 double, last_us long"
 _HIST = [("tx_count_1h", T.LongType()), ("tx_amount_1h", T.DoubleType()),
          ("tx_count_24h", T.LongType()), ("tx_amount_24h", T.DoubleType()),
          ("time_since_last_tx", T.DoubleType()), ("user_tx_number", T.LongType()),
          ("user_total_amount", T.DoubleType()), ("user_avg_amount", T.DoubleType()),
          ("user_std_amount", T.DoubleType()), ("receiver_tx_count", T.LongType())]
+_AMOUNT = pa.decimal128(38, 12)
+# time in microseconds, amount as a double and as an exact decimal; pandas state
+# functions lose columns whose names begin with an underscore
+_US, _X, _A = "event_us", "event_amount", "event_units"
 
 
 def _out_schema(raw: T.StructType) -> T.StructType:
@@ -59,96 +63,150 @@ def _out_schema(raw: T.StructType) -> T.StructType:
                         + [T.StructField("late", T.BooleanType())])
 
 
-def _user_batch(key, pdfs, state, windows=WINDOWS):
-    """Per user and micro-batch: vectorised window features + state update."""
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    us = (pdf["timestamp"].astype("datetime64[us]").astype("int64")).to_numpy()
-    pdf = pdf.assign(_us=us).sort_values(["_us", "transaction_id"], kind="mergesort").reset_index(drop=True)
-    if state.exists:
-        n0, cnt0, s0, mean0, m20, last_us, last_id, recent, recv = state.get
-        recent = json.loads(recent)
-        recv = json.loads(recv)
-    else:
-        n0, cnt0, s0, mean0, m20, last_us, last_id, recent, recv = 0, 0, 0.0, 0.0, 0.0, None, None, [], {}
-    us = pdf["_us"].to_numpy()
-    ids = pdf["transaction_id"].astype(str).to_numpy()
-    if last_us is not None:
-        late = (us < last_us) | ((us == last_us) & (ids <= last_id))
-    else:
-        late = np.zeros(len(pdf), dtype=bool)
-    out_late = pdf[late].drop(columns="_us")
-    cur = pdf[~late].reset_index(drop=True)
-    res = []
-    if len(cur):
-        cu = cur["_us"].to_numpy()
-        amt = cur["amount"].astype("float64").to_numpy()
-        a0 = np.nan_to_num(amt, nan=0.0)
-        r_us = np.array([r[0] for r in recent], dtype=np.int64)
-        r_amt = np.array([r[1] for r in recent], dtype=np.float64)
-        all_us = np.concatenate([r_us, cu])
-        all_amt = np.concatenate([r_amt, a0])
-        csum = np.concatenate([[0.0], np.cumsum(all_amt)])
-        pos = np.arange(len(r_us), len(all_us))           # position of each new row
-        feats = {}
-        for name, s in windows:
-            lo = np.searchsorted(all_us, cu - s * US, side="left")
-            feats[f"tx_count_{name}"] = (pos - lo).astype(np.int64)
-            feats[f"tx_amount_{name}"] = csum[pos] - csum[lo]
-        prev = np.concatenate([[last_us if last_us is not None else cu[0]], cu[:-1]])
-        gap = ((cu - prev) // (60 * US)).astype(np.float64)
-        feats["time_since_last_tx"] = gap
-        k = np.arange(1, len(cur) + 1)
-        ok = ~np.isnan(amt)
-        cnt = cnt0 + np.cumsum(ok)
-        ssum = s0 + np.cumsum(np.where(ok, amt, 0.0))
-        shift = mean0 if cnt0 > 0 else (amt[ok][0] if ok.any() else 0.0)
-        d = np.where(ok, amt - shift, 0.0)
-        s1 = cnt0 * (mean0 - shift) + np.cumsum(d)
-        s2 = (m20 + cnt0 * (mean0 - shift) ** 2) + np.cumsum(d * d)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            var = np.where(cnt > 1, (s2 - s1 * s1 / cnt) / (cnt - 1), 0.0)
-            mean = np.where(cnt > 0, ssum / cnt, np.nan)
-        feats["user_tx_number"] = (n0 + k).astype(np.int64)
-        feats["user_total_amount"] = ssum
-        feats["user_avg_amount"] = mean
-        feats["user_std_amount"] = np.sqrt(np.maximum(var, 0.0))
-        rc = np.zeros(len(cur), dtype=np.int64)
-        seen = dict(recv)
-        for i, r in enumerate(cur["receiver"].astype(object).to_numpy()):
-            key_r = "\u0000" if r is None else str(r)
-            rc[i] = seen.get(key_r, 0)
-            seen[key_r] = int(rc[i]) + 1
-        feats["receiver_tx_count"] = rc
-        out = cur.drop(columns="_us").assign(**feats, late=False)
-        res.append(out)
-        # state update
-        tot_cnt = int(cnt[-1])
-        new_mean = float(ssum[-1] / tot_cnt) if tot_cnt else 0.0
-        new_m2 = float(max(s2[-1] - s1[-1] ** 2 / tot_cnt, 0.0)) if tot_cnt else 0.0
-        wmax = max(s for _, s in windows) * US
-        keep = all_us >= cu[-1] - wmax
-        state.update((int(n0 + len(cur)), tot_cnt, float(ssum[-1]), new_mean, new_m2, int(cu[-1]),
-                      str(ids[~late][-1]), json.dumps([[int(u), float(a)] for u, a in
-                                                       zip(all_us[keep], all_amt[keep])]),
-                      json.dumps(seen)))
-    if len(out_late):
-        res.append(out_late.assign(**{n: None for n, _ in _HIST}, late=True))
-    for r in res:
-        yield r
-
-
-def stream_window_features(stream: DataFrame, windows=WINDOWS) -> DataFrame:
-    """G1 core: the stateful per-user pass (V, H, R columns + ``late``)."""
-    def fn(key, pdfs, state):
-        yield from _user_batch(key, pdfs, state, windows)
-    return stream.groupBy("user_id").applyInPandasWithState(
-        fn, _out_schema(stream.schema), STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_features(stream: DataFrame) -> DataFrame:
-    """G1: the 43 features per arriving row (late rows keep ``late = true``
+def _block(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+def _decimals(column: pd.Series) -> pa.Array:
+    return pa.array([x if isinstance(x, Decimal) else None for x in column], _AMOUNT)
+
+
+class UserFeatures(StatefulProcessor):
+    """One user's buffer and history; see the module docstring."""
+
+    def __init__(self, columns: list[str], windows=WINDOWS):
+        self.columns, self.windows = columns, windows
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.buffer = handle.getListState("buffer", T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.due = handle.getValueState("due", T.StructType([T.StructField("ms", T.LongType())]))
+        self.recent = handle.getValueState("recent", T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.history = handle.getValueState("history", HISTORY)
+        self.paid = handle.getMapState("paid", "known boolean, receiver string", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        pdf = pd.concat(list(rows), ignore_index=True)
+        late = (pdf[_US].isna() | (pdf[_US] < passed)).to_numpy(bool)
+        keep = pdf[~late]
+        if len(keep):
+            us = keep[_US].to_numpy(np.int64)
+            # the row as it is, but for what pandas can't hold: time and amount as numbers
+            data = {c: pa.Array.from_pandas(keep[c]) for c in self.columns}
+            table = pa.table({**data, _US: us, _X: pa.Array.from_pandas(keep[_X].astype(float)), _A: _decimals(keep[_A])})
+            self.buffer.appendValue((_block(table),))
+            self.wait(int(us.min()) // 1000)
+        if late.any():
+            yield pdf.loc[late, self.columns].assign(**{n: None for n, _ in _HIST}, late=True)
+
+    def wait(self, ms: int) -> None:
+        """One timer, at the oldest buffered row."""
+        due = self.due.get()[0] if self.due.exists() else None
+        if due is None or ms < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
+        blocks = [_table(b) for (b,) in self.buffer.get()]
+        rows = pa.concat_tables(blocks, promote_options="permissive")
+        us = rows[_US].to_numpy()
+        rest, ready = np.flatnonzero(us >= passed), np.flatnonzero(us < passed)
+        self.buffer.clear()
+        if len(rest):
+            self.buffer.appendValue((_block(rows.take(pa.array(rest))),))
+            # strictly after the watermark's own millisecond, so that it can't fire in vain
+            self.wait(max(int(us[rest].min()) // 1000, passed // 1000 + 1))
+        if len(ready):
+            order = ready[sorted_rows(np.zeros(len(ready), np.int64), us[ready], rows["transaction_id"], ready)]
+            yield self.released(rows.take(pa.array(order)).combine_chunks())
+
+    def released(self, table: pa.Table) -> pd.DataFrame:
+        """The features of the user's next rows, in order; updates the state."""
+        n0, cnt0, total0, mean0, m20, last = self.history.get() if self.history.exists() else (0, 0, Decimal(0), 0.0, 0.0, None)
+        us, n = table[_US].to_numpy(), len(table)
+        amounts, x = table[_A].combine_chunks(), table[_X].to_numpy()
+        amounts = amounts.chunk(0) if isinstance(amounts, pa.ChunkedArray) else amounts
+        past = _table(self.recent.get()[0]) if self.recent.exists() else pa.table({"us": pa.array([], pa.int64()), "a": pa.array([], _AMOUNT)})
+        m = len(past)
+        all_us = np.concatenate([past["us"].to_numpy(), us])
+        all_amounts = pa.concat_arrays([*past["a"].chunks, amounts])
+        rows = sg.Rows(np.zeros(m + n, np.int64), all_us)
+        sums = sg.prefix(np.concatenate([np.ones((m + n, 1), np.int64), sg.limbs(all_amounts)], 1))
+        out = {}
+        for name, s in self.windows:
+            content = sg.since(rows, sums, rows.window_start(s * US))[m:]
+            out[f"tx_count_{name}"], out[f"tx_amount_{name}"] = content[:, 0], sg.doubles(content[:, 1:])
+        prev = np.append(us[0] if last is None else last, us[:-1])
+        out["time_since_last_tx"] = ((us - prev) // (60 * US)).astype(float)
+        own = sg.Rows(np.zeros(n, np.int64), us)
+        cnt, mean, m2 = sg.moments(own, x, np.array([cnt0]), np.array([mean0]), np.array([m20]))
+        base = sg.limbs(pa.array([total0], _AMOUNT))
+        total = sg.prefix(sg.limbs(amounts))[1:] + base
+        out["user_tx_number"] = n0 + np.arange(1, n + 1)
+        out["user_total_amount"] = np.where(cnt > 0, sg.doubles(total), np.nan)
+        out["user_avg_amount"] = np.where(cnt > 0, out["user_total_amount"] / np.maximum(cnt, 1), np.nan)
+        out["user_std_amount"] = np.sqrt(np.where(cnt > 1, np.maximum(m2, 0), 0) / np.maximum(cnt - 1, 1))
+        out["receiver_tx_count"] = self.receivers(own, table["receiver"])
+        # state
+        keep = np.flatnonzero(all_us >= us[-1] - max(s for _, s in self.windows) * US)
+        self.recent.update((_block(pa.table({"us": all_us[keep], "a": all_amounts.take(pa.array(keep))})),))
+        units = sum(int(v) << (32 * i) for i, v in enumerate(total[-1]))
+        self.history.update((n0 + n, int(cnt[-1]), Decimal(units).scaleb(-12), float(mean[-1]), float(m2[-1]), int(us[-1])))
+        return table.select(self.columns).to_pandas().assign(**out, late=False)
+
+    def receivers(self, own: sg.Rows, receiver: pa.ChunkedArray) -> np.ndarray:
+        value = codes(receiver)
+        count = sg.earlier_equal(own, value)[0]
+        names, first = np.unique(value, return_index=True)
+        before = np.zeros(len(names), np.int64)
+        for i, at in enumerate(first):  # once per receiver of these rows
+            name = receiver[int(at)].as_py()
+            entry = (name is not None, name or "")
+            known = self.paid.getValue(entry) if self.paid.containsKey(entry) else None
+            before[i] = known[0] if known else 0
+            self.paid.updateValue(entry, (int(before[i] + (value == names[i]).sum()),))
+        return count + before[np.searchsorted(names, value)]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_window_features(stream: DataFrame, windows=WINDOWS, delay: str = LIVE_DELAY, beats: DataFrame | None = None) -> DataFrame:
+    """G1 core: the stateful per-user pass (V, H, R columns + ``late``).
+
+    ``delay``: how far behind the newest row a row may come. ``beats``: a
+    stream with a column ``timestamp`` that says how far time has gone where
+    no rows come; a watermark without rows stands still otherwise."""
+    columns = stream.columns
+    timed = stream.withColumn("_beat", F.lit(False))
+    if beats is not None:
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "timestamp" else F.col("timestamp") for f in stream.schema.fields]
+        timed = timed.unionByName(beats.select(*empty, F.lit(True).alias("_beat")))
+    # late rows must reach the side output: the watermark is that of a copy of the column
+    timed = timed.withColumn("_et", F.col("timestamp").cast("timestamp")).withWatermark("_et", delay)
+    timed = timed.filter(~F.col("_beat") | F.col("_et").isNull())  # after the watermark has seen the beats
+    x = finite(F.col("amount"))
+    timed = timed.select(*columns, F.unix_micros(F.col("timestamp").cast("timestamp")).alias(_US), x.alias(_X), x.cast(EXACT).alias(_A))
+    return timed.groupBy("user_id").transformWithStateInPandas(
+        UserFeatures(columns, windows), _out_schema(stream.schema), "Append", "EventTime")
+
+
+def stream_features(stream: DataFrame, delay: str = LIVE_DELAY, beats: DataFrame | None = None) -> DataFrame:
+    """G1: the 43 features per released row (late rows keep ``late = true``
     and NULL features)."""
-    w = stream_window_features(stream)
+    w = stream_window_features(stream, delay=delay, beats=beats)
     w = w.select("*", *calendar_columns("timestamp"), *amount_columns("amount"),
                  *device_columns(), *derived_history_columns())
     return w.select("*", *interaction_columns("amount"))
@@ -165,14 +223,6 @@ def stream_score(features: DataFrame, model, threshold: float = 0.5) -> DataFram
                     P.reason_codes(s).alias("reason_codes"))
 
 
-def stream_profile(stream: DataFrame) -> DataFrame:
-    """Running user profile (count, mean, std of amount); run it with
-    output mode 'update' (or 'complete' for a small sink)."""
-    return stream.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_tx"), F.avg("amount").alias("avg_amount"),
-        F.stddev_samp("amount").alias("std_amount"))
-
-
 def route_late(batch: DataFrame, batch_id: int, main_path: str, late_path: str) -> None:
     """One micro-batch -> on-time rows to the main sink, late rows to
     the side output. Each batch overwrites its own ``batch_id=`` folder, so
@@ -185,30 +235,133 @@ def route_late(batch: DataFrame, batch_id: int, main_path: str, late_path: str)
     batch.unpersist()
 
 
+def drain(spark: SparkSession, source_dir: str, base: str, build, sink, max_files_per_trigger: int = 1,
+          raw_schema: T.StructType = TRANSACTION_SCHEMA, delay: str = REPLAY_DELAY, close: bool = True) -> None:
+    """Run ``build(rows, beats)`` over a folder of raw parquet files until it
+    is drained, every micro-batch through ``sink(batch, batch_id)``; the
+    checkpoint is in ``base``, so a second call goes on with new files.
+
+    With ``close`` a beat just behind the newest row then moves the watermark
+    past all of them: none stays in the buffer. Rows that are appended later
+    are on time if they are newer than that."""
+    beats_dir = f"{base}/_beats"
+    beat = T.StructType([T.StructField("timestamp", T.TimestampType())])
+    spark.createDataFrame([], beat).write.mode("append").parquet(beats_dir)
+
+    def run():
+        src = (spark.readStream.schema(raw_schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+        beats = spark.readStream.schema(beat).parquet(beats_dir)
+        held = spark.conf.get(STORE)
+        spark.conf.set(STORE, ROCKS)  # list, map and timer state need it; a query keeps what it started with
+        try:
+            q = (build(src.select(*[f.name for f in raw_schema]), beats).writeStream.foreachBatch(sink)
+                 .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+        finally:
+            spark.conf.set(STORE, held)
+        q.awaitTermination()
+
+    run()
+    if close:
+        newest = spark.read.schema(raw_schema).parquet(source_dir).agg(F.max("timestamp").cast("timestamp").alias("t"))
+        last = newest.filter("t is not null").select((F.col("t") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 MILLISECOND")).alias("timestamp"))
+        last.write.mode("append").parquet(beats_dir)
+        run()
+
+
 def run_feature_stream(spark: SparkSession, source_dir: str, out_dir: str | None = None,
-                       max_files_per_trigger: int = 1, raw_schema: T.StructType = TRANSACTION_SCHEMA):
-    """Run G1+G4 over a directory of raw parquet files until it is drained;
-    returns (features, late rows) read back from the sinks."""
+                       max_files_per_trigger: int = 1, raw_schema: T.StructType = TRANSACTION_SCHEMA,
+                       delay: str = REPLAY_DELAY, close: bool = True):
+    """Run G1+G4 over a directory of raw parquet files until it is drained
+    (see ``drain``); returns (features, late rows) read back from the sinks."""
     base = out_dir or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    main, late, ck = f"{base}/features", f"{base}/late", f"{base}/_checkpoint"
+    main, late = f"{base}/features", f"{base}/late"
+    drain(spark, source_dir, base, lambda rows, beats: stream_features(rows, delay, beats), lambda b, i: route_late(b, i, main, late),
+          max_files_per_trigger, raw_schema, delay, close)
+    return spark.read.parquet(main).drop("batch_id"), spark.read.parquet(late).drop("batch_id")
+
+
+def stream_profile(stream: DataFrame) -> DataFrame:
+    """The user profile's running parts, one row per (user_id, what,
+    value): the user's amounts (what = '') and how often each device and
+    location was used. Run it in update mode; a row is what is true from its
+    micro-batch on."""
+    part = lambda what, value: F.struct(F.lit(what).alias("what"), value.cast("string").alias("value"))
+    parts = F.array(part("", F.lit("")), part("device_id", F.col("device_id")), part("location", F.col("location")))
+    return (stream.select("user_id", "amount", F.explode(parts).alias("p")).groupBy("user_id", "p.what", "p.value")
+            .agg(F.count(F.lit(1)).alias("n_tx"), F.avg("amount").alias("avg_amount"), F.stddev_samp("amount").alias("std_amount")))
+
+
+def run_profile_stream(spark: SparkSession, source_dir: str, out_dir: str, max_files_per_trigger: int = 1,
+                       raw_schema: T.StructType = TRANSACTION_SCHEMA) -> None:
+    """G3 over a directory of raw parquet files until it is drained: each
+    micro-batch writes the rows it changed to a folder of its own, which a
+    retry overwrites. See ``read_profile`` and ``compact_profile``."""
     src = (spark.readStream.schema(raw_schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(source_dir))
-    src = src.select(*[f.name for f in raw_schema])  # drop chunk folder columns
-    q = (stream_features(src).writeStream
-         .foreachBatch(lambda b, eid: route_late(b, eid, main, late))
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+           .parquet(source_dir).select(*[f.name for f in raw_schema]))
+    q = (stream_profile(src).writeStream.outputMode("update")
+         .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out_dir}/changes/batch_id={i}"))
+         .option("checkpointLocation", f"{out_dir}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(main).drop("batch_id"), spark.read.parquet(late).drop("batch_id")
 
 
-def write_in_time_order(df: DataFrame, path: str, chunk_days: int = 7) -> int:
+def _versions(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Each key's last version: the newest snapshot and the changes after it."""
+    schema = "user_id string, what string, value string, n_tx long, avg_amount double, std_amount double"
+    changes = spark.read.schema(schema + ", batch_id long").parquet(f"{out_dir}/changes")
+    upto = _snapshot(spark, out_dir)
+    if upto is not None:
+        old = spark.read.schema(schema).parquet(f"{out_dir}/snapshots/upto={upto}").withColumn("batch_id", F.lit(upto).cast("long"))
+        changes = changes.filter(F.col("batch_id") > upto).unionByName(old)
+    last = changes.groupBy("user_id", "what", "value").agg(
+        F.max_by(F.struct("n_tx", "avg_amount", "std_amount"), "batch_id").alias("v"), F.max("batch_id").alias("batch_id"))
+    return last.select("user_id", "what", "value", "v.*", "batch_id")
+
+
+def _snapshot(spark: SparkSession, out_dir: str) -> int | None:
+    """The batch up to which the newest finished snapshot goes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/snapshots")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    done = [s.getPath() for s in fs.listStatus(path)]
+    done = [int(p.getName().split("=")[1]) for p in done
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=None)
+
+
+def compact_profile(spark: SparkSession, out_dir: str) -> int | None:
+    """Write the last versions as a snapshot, which readers take from then
+    on in place of all older changes; returns the batch it goes up to."""
+    last = _versions(spark, out_dir)
+    upto = last.agg(F.max("batch_id")).first()[0]
+    if upto is not None and upto != _snapshot(spark, out_dir):
+        last.drop("batch_id").write.mode("overwrite").parquet(f"{out_dir}/snapshots/upto={upto}")
+    return upto
+
+
+def read_profile(spark: SparkSession, out_dir: str) -> DataFrame:
+    """G3's snapshot in the form of B2: per user the count, mean and sample
+    standard deviation of amount, and the most used device and location
+    (ties: the smallest value)."""
+    last = _versions(spark, out_dir)
+    usual = lambda what: F.min_by(F.when(F.col("what") == what, F.col("value")), F.when(
+        F.col("what") == what, F.struct(-F.col("n_tx"), F.col("value")))).alias(f"usual_{what}")
+    own = lambda c: F.max(F.when(F.col("what") == "", F.col(c))).alias(c)
+    return last.groupBy("user_id").agg(own("n_tx"), own("avg_amount"), own("std_amount"), usual("device_id"), usual("location"))
+
+
+def write_in_time_order(df: DataFrame, path: str, chunk_days: int = 7, files: int = 1) -> int:
     """Write ``df`` as a file stream source: one folder per ``chunk_days``
     of event time, written oldest first so the file source reads them in
-    time order. Returns the number of chunks."""
+    that order; within a chunk the rows are dealt to ``files`` files in no
+    order. Returns the number of chunks."""
     day = F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / F.lit(86400 * chunk_days))
     keyed = df.withColumn("_chunk", day.cast("long"))
     chunks = [r["_chunk"] for r in keyed.select("_chunk").distinct().orderBy("_chunk").collect()]
     # the chunk list is bounded by the time span / chunk length
     for c in chunks:
-        keyed.filter(F.col("_chunk") == c).drop("_chunk").write.mode("overwrite").parquet(f"{path}/chunk={c:012d}")
+        part = keyed.filter(F.col("_chunk") == c).drop("_chunk")
+        if files > 1:
+            part = part.repartition(files, "transaction_id")
+        part.write.mode("overwrite").parquet(f"{path}/chunk={c:012d}")
     return len(chunks)
