@@ -48,6 +48,43 @@ def test_attributions_add_up_to_margin(spark, signal):
     assert np.allclose(j["s"], j["m"], atol=1e-9)
 
 
+def test_shapley_values_equal_the_sum_over_all_subsets(spark, signal):
+    """Against the definition: every subset of the features on a tree, unknown
+    features following the training rows; small trees, all features at once."""
+    import itertools
+    import math
+    model = M.train(signal, {"maxIter": 3, "maxDepth": 3, "stepSize": 0.5})
+    nodes, weights = M.tree_tables(model)
+    names = M.FEATURE_NAMES
+    rows = M._prep(signal.orderBy("transaction_id").limit(12)).select(*names).toPandas().astype(float).to_numpy()
+
+    def value(t, node, x, known):
+        n = t.loc[node]
+        if n.leftChild < 0:
+            return n.prediction
+        left, right = int(n.leftChild), int(n.rightChild)
+        if n.featureIndex in known:
+            return value(t, left if x[int(n.featureIndex)] <= n.thr[0] else right, x, known)
+        return (t.loc[left].rows * value(t, left, x, known) + t.loc[right].rows * value(t, right, x, known)) / n.rows
+
+    got, base = M.shapley_values(M.leaves(nodes, weights), rows)
+    want, want_base = np.zeros_like(rows), 0.0
+    for tree, table in nodes.groupby("treeID"):
+        t = table.set_index("id")
+        used = sorted({int(f) for f, c in zip(t.featureIndex, t.leftChild) if c >= 0})
+        assert len(used) > 2
+        want_base += weights[tree] * value(t, 0, rows[0], ())
+        for r, x in enumerate(rows):
+            of = {s: value(t, 0, x, s) for k in range(len(used) + 1) for s in itertools.combinations(used, k)}
+            for i in used:
+                rest = [f for f in used if f != i]
+                for k in range(len(rest) + 1):
+                    w = math.factorial(k) * math.factorial(len(used) - 1 - k) / math.factorial(len(used))
+                    for s in itertools.combinations(rest, k):
+                        want[r, i] += weights[tree] * w * (of[tuple(sorted((*s, i)))] - of[s])
+    assert np.allclose(got, want, atol=1e-12) and abs(base - want_base) < 1e-12
+
+
 def test_importance_tables(spark, signal):
     model = M.train(signal, QUICK)
     imp = M.feature_importance(model, spark)

@@ -1,6 +1,7 @@
 """Validation, adapter, splits, resampling, point features, detectors."""
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, make_txn
@@ -66,6 +67,42 @@ def test_time_split_and_folds(spark):
         assert mx[i][1] < mx[i + 1][0]
 
 
+def test_selected_keys_against_a_sort(spark):
+    """Heavy ties, hot groups, ranks at both ends and outside."""
+    from txnscope.operators.ranking import select_keys
+    rng = np.random.default_rng(5)
+    rows = [("x" if i % 10 else "y", int(rng.integers(0, 40)) if i % 3 else 7, f"k{int(rng.integers(0, 10**9)):09d}{i}") for i in range(3000)]
+    rows += [(None, 1, "only")]
+    df = spark.createDataFrame(rows, "g string, v long, id string")
+    ranks = lambda n: F.array(F.lit(0), F.lit(1), F.floor(n * 0.5), F.lit(1500), n, n + 1)
+    for n_bins in (1, 7, 300):
+        got = {(r.g, r["rank"], r.key.v, r.key.id) for r in select_keys(df, ["v", "id"], ranks, ["g"], n_bins).collect()}
+        want = set()
+        for g in ("x", "y", None):
+            keys = sorted((v, i) for a, v, i in rows if a == g)
+            want |= {(g, k, *keys[k - 1]) for k in (1, len(keys) // 2, 1500, len(keys)) if 1 <= k <= len(keys)}
+        assert got == want
+        one = select_keys(df, ["v", "id"], lambda n: F.array(F.lit(2000)), n_bins=n_bins).collect()
+        assert [tuple(r.key) for r in one] == [sorted((v, i) for _, v, i in rows)[1999]]
+
+
+def test_splits_move_no_rows_and_run_no_job(spark):
+    t = txn_view(spark, SF_MID)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("split-plan", "")
+    made = [L.time_split(t, 0.2, position=False), L.time_series_folds(t, 5, position=False), L.stratified_split(t, 0.2, 7), L.undersample(t, 7)]
+    assert len(tracker.getJobIdsForGroup("split-plan")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        chain = plan[:plan.index("FileScan")]  # from the result down to the scan of the rows
+        assert "Join" in chain and "Exchange" not in chain and "Sort" not in chain and "Window" not in chain
+    a = L.time_split(t, 0.2).select("transaction_id", "split")
+    assert a.exceptAll(made[0].select("transaction_id", "split")).count() == 0
+    small = L.time_series_folds(t.limit(4), 5, position=False)
+    assert small.filter("test_fold is not null").count() == 0 and L.time_split(t.limit(1), 0.5, position=False).first()["split"] == "test"
+
+
 def test_undersample_and_stratified(spark):
     t = txn_view(spark, SF_MID)
     u = L.undersample(t, 7)
@@ -190,3 +227,39 @@ def test_feature_files_are_read_by_day(spark, tmp_path):
     plan = df.filter(F.col("event_date") == F.lit(day))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert df.count() == 1000
+
+
+def test_files_of_a_day_follow_its_rows(spark, tmp_path):
+    import glob
+    from tests_support import txn_small
+    from txnscope.operators.features import engineer_features
+    from txnscope.sources.io import read_features, write_features
+    f = engineer_features(txn_small(spark))
+    busy = f.withColumn("timestamp", F.when(F.col("transaction_id") < "T000000600", F.to_timestamp(F.lit("2024-01-05"))).otherwise(F.col("timestamp")))
+    path = str(tmp_path / "f")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # so few rows would else share one task
+    try:
+        write_features(busy, path, file_rows=50)
+    finally:
+        spark.conf.set(coalesce, "true")
+    files = {d.split("=")[1]: len(glob.glob(f"{d}/*.parquet")) for d in glob.glob(f"{path}/event_date=*")}
+    assert files.pop("2024-01-05") >= 5 and set(files.values()) == {1}
+    assert read_features(spark, path).count() == f.count()
+
+
+def test_feature_summary_against_pandas(spark):
+    from txnscope.operators.explore import feature_summary
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 2)), int(rng.integers(-3, 100)), float(rng.normal()) if i % 7 else None, float(rng.integers(0, 5)) + 1e7,
+             [0.0, -0.0, float("nan"), 62.0, 63.0, 0.5][i % 6], None) for i in range(2000)]
+    names = ["flag", "whole", "real", "far", "odd", "none"]
+    df = spark.createDataFrame(rows, "flag int, whole long, real double, far double, odd double, none double").repartition(7)
+    got = {r.feature: r for r in feature_summary(df, names).collect()}
+    pdf = df.toPandas().astype(float)
+    for c in ("flag", "whole", "real", "far"):
+        x = pdf[c]
+        assert got[c].n_unique == x.nunique() and got[c].missing == x.isna().sum()
+        assert abs(got[c].mean - x.mean()) < 1e-9 * max(1, abs(x.mean())) and abs(got[c]["std"] - x.std()) < 1e-6
+    assert got["odd"].n_unique == 5 and got["none"].n_unique == 0 and got["none"].missing == 2000 and got["none"].mean is None
+    assert [(r.feature, r.n_unique, r.missing) for r in feature_summary(df.limit(0), ["flag"]).collect()] == [("flag", 0, 0)]

@@ -8,6 +8,8 @@ Many-feature summaries put every feature into a single aggregate and
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,18 +209,58 @@ def interaction_lift(feat: DataFrame, features=INTERACTIONS, label: str = "is_fr
                        F.col("n").alias("count"))
 
 
-def feature_summary(feat: DataFrame, features=FEATURE_NAMES, approx_distinct: bool = False) -> DataFrame:
-    """Type, missing, distinct, mean, std per feature (one aggregate)."""
-    dcount = F.approx_count_distinct if approx_distinct else F.count_distinct
-    types = dict(feat.dtypes)
-    aggs = []
-    for f in features:
-        c = F.col(f)
-        aggs += [F.count_if(c.isNull()).alias(f"m_{f}"), dcount(c).alias(f"d_{f}"),
-                 F.avg(c.cast("double")).alias(f"a_{f}"), F.stddev_samp(c.cast("double")).alias(f"s_{f}")]
-    wide = feat.agg(*aggs)
-    stack = ", ".join(f"'{f}', '{types[f]}', `m_{f}`, `d_{f}`, `a_{f}`, `s_{f}`" for f in features)
-    return wide.selectExpr(f"stack({len(features)}, {stack}) AS (feature, dtype, missing, n_unique, mean, std)")
+#: Values below this are counted by a bitmap.
+BITMAP = 63
+
+
+def feature_summary(feat: DataFrame, features=FEATURE_NAMES) -> DataFrame:
+    """Type, missing, distinct, mean, std per feature, in two levels.
+
+    Every task reduces its rows, batch by batch, to one row per feature
+    (counts, moments, and the small whole numbers, such as flags, hours and
+    most counts, as a bitmap) and one row for each other distinct value. Only
+    these are shuffled, so the distinct counts are exact without a row per
+    feature and row. -0.0 is 0.0 and all NaN are one value."""
+    names, types, n = list(features), dict(feat.dtypes), len(features)
+
+    def reduced(column) -> tuple:
+        x = column.drop_null().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+        mean = float(x.mean()) if len(x) else 0.0
+        moments = len(x), column.null_count, len(x) * mean, float(((x - mean) ** 2).sum() + len(x) * mean * mean)
+        value = np.unique(x)
+        whole = (value >= 0) & (value < BITMAP) & (value == np.floor(value))
+        bits = np.bitwise_or.reduce(np.int64(1) << value[whole].astype(np.int64), initial=np.int64(0))
+        return value[~whole], int(bits), *moments
+
+    def run(batches):
+        for batch in batches:
+            rest, *stats = zip(*(reduced(batch.column(i)) for i in range(n)))
+            more = sum(map(len, rest))
+            index = np.concatenate([np.arange(n), np.repeat(np.arange(n), list(map(len, rest)))]).astype(np.int32)
+            value = pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(np.concatenate(rest))])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(index), value, *(pa.concat_arrays([pa.array(c, t), pa.nulls(more, t)]) for c, t in zip(stats, kinds))],
+                names=["i", "value", "bits", "n", "missing", "s", "q"])
+
+    # doubles hold the features' integers exactly up to 2^53
+    parts = feat.select(*[F.col(f).cast("double").alias(f) for f in names]).mapInArrow(
+        run, "i int, value double, bits long, n long, missing long, s double, q double")
+    values = parts.groupBy("i", "value").agg(F.bit_or("bits").alias("bits"), *[F.sum(c).alias(c) for c in ("n", "missing", "s", "q")])
+    own = F.col("value").isNull()  # the feature's own row
+    all_ = values.groupBy("i").agg(
+        (F.count("value") + F.sum(F.when(own, F.bit_count("bits")).otherwise(0))).alias("n_unique"),
+        *[F.sum(F.when(own, F.col(c))).alias(c) for c in ("n", "missing", "s", "q")])
+    var = F.when(F.col("n") > 1, F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1))
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("i") + 1)
+    seen = all_.select(pick(names).alias("feature"), pick([types[f] for f in names]).alias("dtype"), "missing", "n_unique",
+                       F.try_divide(F.col("s"), F.col("n")).alias("mean"), F.sqrt(var).alias("std"))
+    if not names:
+        return seen
+    # a table without rows has no batches: every feature still has its row
+    listed = feat.sparkSession.createDataFrame([(f, types[f]) for f in names], "feature string, dtype string")
+    return listed.join(F.broadcast(seen.drop("dtype")), "feature", "left").select(
+        "feature", "dtype", F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "mean", "std")
 
 
 def drift_check(feat: DataFrame, split_ts, ts: str = "timestamp", tolerance: float = 0.10,

@@ -2,9 +2,9 @@
 attributions and model-backed scoring with Spark ML.
 
 Training is distributed by Spark ML; the only driver-side loops are over
-trials and folds (a handful of fits), never over rows. Attributions walk
-each tree's decision path inside ``mapInPandas`` with the (bounded) tree
-tables broadcast.
+trials and folds (a handful of fits), never over rows. Attributions are
+Shapley values, computed inside ``mapInPandas`` with the (bounded) leaves of
+the trees broadcast.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def cross_validate(df: DataFrame, k: int = 5, params: dict | None = None,
     AUC, AP per fold (long form). Resampling, if any, runs inside each
     training fold."""
     spark = df.sparkSession
-    folded = time_series_folds(df, k).persist()
+    folded = time_series_folds(df, k, position=False).persist()
     rows = []
     for i in range(k):
         tr, te = fold_frames(folded, i, k)
@@ -193,7 +193,7 @@ def tune(df: DataFrame, n_iter: int = 30, k: int = 5, scoring: str = "f1", seed:
     from txnscope.operators.splits import resample
     spark = df.sparkSession
     weighted = strategy == "class_weight"
-    folded = time_series_folds(df, k).persist()
+    folded = time_series_folds(df, k, position=False).persist()
     trials = []
     for t, params in enumerate(sample_params(n_iter, seed, grid)):
         scores = []
@@ -215,7 +215,7 @@ def top_trials(trials: DataFrame, n: int = 5) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-# path attributions
+# Shapley values
 
 def tree_tables(model: PipelineModel) -> tuple[pd.DataFrame, list[float]]:
     """Node table of every tree (bounded by trees x 2^(depth+1)) and the
@@ -226,58 +226,99 @@ def tree_tables(model: PipelineModel) -> tuple[pd.DataFrame, list[float]]:
     gbt.save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild",
-        "nodeData.rightChild", "nodeData.split.featureIndex",
+        "nodeData.rightChild", "nodeData.split.featureIndex", F.col("nodeData.rawCount").alias("rows"),
         F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr")).toPandas()
     weights = list(gbt.treeWeights)
     return nodes, weights
 
 
+@dataclass
+class Leaf:
+    """A tree's leaf: the intervals (low, high] that its path allows for each
+    feature on it, the share of the training rows that stay on the path at
+    that feature's splits, and the leaf's (weighted) value."""
+    value: float
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+
+
+def leaves(nodes: pd.DataFrame, weights: list[float]) -> list[Leaf]:
+    """The leaves of all trees."""
+    out = []
+    for tree, table in nodes.groupby("treeID"):
+        node = table.set_index("id")
+        left, right, feature, rows, value = (node[c].to_dict() for c in ("leftChild", "rightChild", "featureIndex", "rows", "prediction"))
+        threshold = {i: float(t[0]) if len(t) else math.nan for i, t in node["thr"].items()}
+        todo = [(0, {})]
+        while todo:
+            at, path = todo.pop()
+            if left[at] < 0:
+                names = sorted(path)
+                bounds = np.array([path[f] for f in names]).reshape(-1, 3)
+                out.append(Leaf(weights[tree] * value[at], np.array(names, np.int64), bounds[:, 0], bounds[:, 1], bounds[:, 2]))
+                continue
+            low, high, share = path.get(feature[at], (-math.inf, math.inf, 1.0))
+            t = threshold[at]
+            for child, bound in ((left[at], (low, min(high, t))), (right[at], (max(low, t), high))):
+                todo.append((child, {**path, feature[at]: (*bound, share * rows[child] / rows[at])}))
+    return out
+
+
+def leaf_shapley(share: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Shapley values of the features of one path for a leaf of value 1.
+
+    ``inside`` (rows x features): whether a row keeps to the path at all of a
+    feature's splits. A coalition S of known features gives the leaf the
+    product of ``inside`` over S and of ``share`` over the rest, so the sums
+    over coalitions of a size are the coefficients of the product of
+    (share + inside t) over the other features."""
+    n, m = inside.shape
+    known = inside.astype(float)
+    size = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
+    out = np.empty((n, m))
+    for i in range(m):
+        poly = np.zeros((n, m))
+        poly[:, 0] = 1.0
+        for j in range(m):
+            if j != i:
+                poly[:, 1:] = share[j] * poly[:, 1:] + known[:, j:j + 1] * poly[:, :-1]
+                poly[:, 0] *= share[j]
+        out[:, i] = (poly @ size) * (known[:, i] - share[i])
+    return out
+
+
+def shapley_values(trees: list[Leaf], x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shapley values of every row and feature, and the base value: what the
+    trees give when no feature is known (the mean over their training rows'
+    paths). Rows with the same pattern on a path share one computation."""
+    out, base = np.zeros(x.shape), 0.0
+    for leaf in trees:
+        base += leaf.value * float(np.prod(leaf.share))
+        if not len(leaf.features):
+            continue
+        v = x[:, leaf.features]
+        inside = (v > leaf.low) & (v <= leaf.high)
+        pattern = inside @ (1 << np.arange(len(leaf.features)))
+        seen, first, which = np.unique(pattern, return_index=True, return_inverse=True)
+        out[:, leaf.features] += leaf.value * leaf_shapley(leaf.share, inside[first])[which]
+    return out, base
+
+
 def attributions(model: PipelineModel, df: DataFrame, features=FEATURE_NAMES,
                  id_col: str = "transaction_id") -> DataFrame:
-    """M7 core: per row, the contribution of each feature to the model's
-    raw margin (decision-path attribution: every split moves the node value
-    from parent to child and that change is credited to the split feature).
-    Contributions plus ``base`` equal the margin. Long form:
-    (id, feature, contribution) plus one ('__base__') row per id."""
-    nodes, weights = tree_tables(model)
-    spark = df.sparkSession
-    trees = []
-    for t, w in enumerate(weights):
-        nd = nodes[nodes.treeID == t].set_index("id").sort_index()
-        n = int(nd.index.max()) + 1
-        arr = {c: np.full(n, -1.0) for c in ("pred", "left", "right", "feat", "thr")}
-        arr["pred"][nd.index] = nd["prediction"].to_numpy()
-        arr["left"][nd.index] = nd["leftChild"].to_numpy()
-        arr["right"][nd.index] = nd["rightChild"].to_numpy()
-        arr["feat"][nd.index] = nd["featureIndex"].to_numpy()
-        arr["thr"][nd.index] = [float(x[0]) if len(x) else np.nan for x in nd["thr"]]
-        trees.append((w, arr))
-    bc = spark.sparkContext.broadcast(trees)  # bounded by model size
+    """M7 core: per row, the Shapley value of each feature for the model's raw
+    margin, where unknown features follow the training rows down the trees.
+    Values plus ``__base__`` equal the margin. Long form: (id, feature,
+    contribution) plus one ('__base__') row per id. The trees (bounded by the
+    model's size) are broadcast; rows are handled in Arrow batches."""
+    bc = df.sparkSession.sparkContext.broadcast(leaves(*tree_tables(model)))
     fnames = list(features)
 
     def run(batches):
-        tr = bc.value
         for pdf in batches:
-            x = pdf[fnames].astype("float64").fillna(0.0).to_numpy()
-            contrib = np.zeros_like(x)
-            base = np.zeros(len(x))
-            for w, a in tr:
-                node = np.zeros(len(x), dtype=np.int64)
-                base += w * a["pred"][0]
-                while True:
-                    left = a["left"][node]
-                    leaf = left < 0
-                    if leaf.all():
-                        break
-                    f = a["feat"][node].astype(np.int64)
-                    thr = a["thr"][node]
-                    xv = x[np.arange(len(x)), np.where(leaf, 0, f)]
-                    child = np.where(xv <= thr, left, a["right"][node]).astype(np.int64)
-                    child = np.where(leaf, node, child)
-                    delta = w * (a["pred"][child] - a["pred"][node])
-                    rows = np.nonzero(~leaf)[0]
-                    np.add.at(contrib, (rows, f[rows]), delta[rows])
-                    node = child
+            contrib, base = shapley_values(bc.value, pdf[fnames].astype("float64").fillna(0.0).to_numpy())
             out = pd.DataFrame(contrib, columns=fnames)
             out.insert(0, "__base__", base)
             out.insert(0, id_col, pdf[id_col].to_numpy())
@@ -382,13 +423,13 @@ def train_and_evaluate(features_df: DataFrame, test_size: float = 0.2, validatio
     evaluate -> importance, attribution -> save, with the parameters used
     and the balance strategy."""
     from txnscope.operators.splits import resample, time_split
-    sp = time_split(features_df, test_size).persist()
-    train_part = sp.filter(F.col("split") == "train").drop("split", "pos")
-    test = sp.filter(F.col("split") == "test").drop("split", "pos")
+    sp = time_split(features_df, test_size, position=False).persist()
+    train_part = sp.filter(F.col("split") == "train").drop("split")
+    test = sp.filter(F.col("split") == "test").drop("split")
     if validation_share > 0:
-        vs = time_split(train_part, validation_share)
-        fit_rows = vs.filter(F.col("split") == "train").drop("split", "pos")
-        val = vs.filter(F.col("split") == "test").drop("split", "pos")
+        vs = time_split(train_part, validation_share, position=False)
+        fit_rows = vs.filter(F.col("split") == "train").drop("split")
+        val = vs.filter(F.col("split") == "test").drop("split")
     else:
         fit_rows, val = train_part, test
     weighted = strategy == "class_weight"

@@ -173,3 +173,59 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
     frac = F.col("_h") - F.col("_lo").cast("double")
     between = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac
     return picked.select(*by, "p", F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(between).alias("q"))
+
+
+#: Sampled keys for each bin of a selection.
+SAMPLE = 32
+
+
+def select_keys(df: DataFrame, order: list[str], ranks, by: list[str] | None = None, n_bins: int | None = None) -> DataFrame:
+    """The keys at given 1-based ranks in ``order`` (ascending; the columns
+    must form a key), per group of ``by``: columns ``by``, ``rank``, ``key``
+    (a struct of ``order``). ``ranks`` maps the column of a group's number of
+    rows to an array of ranks; ranks outside of 1 to n have no row.
+
+    A distributed selection instead of a sort: the quantiles of a bounded,
+    deterministic sample cut the keys into bins, the bins are counted, and only
+    the bins that hold a wanted rank are sorted, each in a task of its own and
+    about an ``n_bins``-th of the rows. Only key columns are read; no job runs
+    while the plan is built. Groups must be few (classes).
+    """
+    by = list(by or [])
+    n_bins = int(n_bins or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*by, F.struct(*order).alias("key"))
+    groups = by or [F.lit(0).alias("_g")]
+    sample = keys.orderBy(F.xxhash64(*by, "key"), *by, "key").limit(SAMPLE * n_bins)
+    cuts = sample.groupBy(*groups).agg(F.array_sort(F.collect_list("key")).alias("_all"))
+    every = F.expr(f"sequence(1, size(_all), {SAMPLE})")
+    cuts = cuts.select(*(by or ["_g"]), F.transform(every, lambda i: F.element_at("_all", i.cast("int"))).alias("_cuts"))
+    step = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
+    cuts = cuts.withColumn("_step", step).withColumn("_cuts", F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / F.col("_step")).cast("int")),
+        lambda i: F.slice("_cuts", i * F.col("_step") + 1, F.col("_step"))))
+    # at most n_bins cuts in all; looked up block by block
+    reached = lambda c: c <= F.col("key")
+    cuts = cuts.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(by or ["_g"])})
+    same = F.lit(True)  # without groups: one row
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    binned = keys.join(F.broadcast(cuts), same, "left")  # a small group may have no cut
+    binned = binned.withColumn("_block", F.size(F.filter("_cuts", lambda b: reached(b[0]))))
+    inside = F.size(F.filter(F.get("_cuts", F.col("_block") - 1), reached))
+    binned = binned.select(*by, "key", F.when(F.col("_block") > 0, (F.col("_block") - 1) * F.col("_step") + inside).otherwise(0).alias("_bin"))
+    counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by)  # one row per bin
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = (counts.withColumn("_before", before).withColumn("_n", F.sum("_c").over(group))
+              .withColumn("_ranks", ranks(F.col("_n"))).withColumn("rank", F.explode("_ranks")).withColumn("rank", F.col("rank").cast("long"))
+              .filter((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_c"))))
+    hit = wanted.groupBy(*by, "_bin").agg(F.collect_set(F.struct("rank", "_before")).alias("_w"))
+    names = [*by, "_bin"]
+    hit = hit.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(names)], "_w")
+    cond = F.lit(True)
+    for i, c in enumerate(names):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_h{i}"))
+    near = binned.join(F.broadcast(hit), cond)  # a row per rank at most
+    near = near.withColumn("_i", F.row_number().over(Window.partitionBy(*names).orderBy("key")))
+    return (near.withColumn("_x", F.explode("_w")).filter(F.col("_i") == F.col("_x.rank") - F.col("_x._before"))
+            .select(*by, F.col("_x.rank").alias("rank"), "key"))

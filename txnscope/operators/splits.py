@@ -1,16 +1,19 @@
 """Time-ordered splits, folds, class weights, resampling, samples.
 
-Global positions come from ``ranking.global_row_number`` (range-partitioned, no
+Cuts at a rank come from ``ranking.select_keys``: the cut key is selected from
+counts of the keys, and the rows are compared with it where they are, so no
+row moves and no job runs while the plan is built. Only positions of all rows
+(``pos``, on request) need ``ranking.global_row_number`` (range-partitioned, no
 single-partition window). Random choices use a seeded hash of the row id,
 never ``rand()``, so results do not depend on partitioning or retries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnscope.operators.ranking import exclusive_prefix, global_row_number
+from txnscope.operators.ranking import global_row_number, select_keys
 
 STRATEGIES = ("none", "class_weight", "undersample")
 
@@ -38,35 +41,42 @@ def time_position(df: DataFrame, ts: str = "timestamp", id_col: str = "transacti
     return global_row_number(k, ["_ts_us", id_col], name="pos").drop("_ts_us")
 
 
+def _key(ts: str, id_col: str):
+    return F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("_ts_us"), F.col(id_col))
+
+
 def time_split(df: DataFrame, test_size: float = 0.2, ts: str = "timestamp",
-               id_col: str = "transaction_id") -> DataFrame:
+               id_col: str = "transaction_id", position: bool = True) -> DataFrame:
     """L1: first ``int(n * (1 - test_size))`` rows in time order are
-    'train', the rest 'test' (column ``split``)."""
+    'train', the rest 'test' (column ``split``). With ``position`` also each
+    row's place in that order (``pos``), which takes a sort of all rows."""
+    if position:
+        df = time_position(df, ts, id_col)
     frac = 1.0 - float(test_size)
-    pos = time_position(df, ts, id_col)
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    j = pos.crossJoin(F.broadcast(n))  # one row
-    cut = F.floor(F.col("_n").cast("double") * F.lit(frac))
-    return j.withColumn("split", F.when(F.col("pos") <= cut, F.lit("train")).otherwise(F.lit("test"))) \
-            .drop("_n")
+    keys = df.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("_ts_us"), id_col)
+    cut = select_keys(keys, ["_ts_us", id_col], lambda n: F.array(F.floor(n.cast("double") * F.lit(frac))))
+    cut = cut.agg(F.max("key").alias("_cut"))  # one row; NULL if no row is for training
+    first = F.col("_cut").isNotNull() & (_key(ts, id_col) <= F.col("_cut"))
+    return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(first, F.lit("train")).otherwise(F.lit("test"))).drop("_cut")
 
 
 def time_series_folds(df: DataFrame, k: int = 5, ts: str = "timestamp",
-                      id_col: str = "transaction_id") -> DataFrame:
+                      id_col: str = "transaction_id", position: bool = True) -> DataFrame:
     """Expanding-window folds. Block size ``n // (k+1)``; the last ``k``
     blocks are the test sets of folds 0..k-1 (column ``test_fold``, NULL for
     rows that are only ever training rows). Fold i trains on every row
-    before its test block."""
-    pos = time_position(df, ts, id_col)
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    j = pos.crossJoin(F.broadcast(n))
-    size = F.floor(F.col("_n") / F.lit(k + 1))
-    start = F.col("_n") - F.lit(k) * size
-    fold = F.when((size > 0) & (F.col("pos") > start),
-                  F.floor((F.col("pos") - 1 - start) / size))
-    return j.withColumn("test_fold", fold.cast("int")).withColumn("_size", size) \
-            .withColumn("fold_start", start + (F.col("test_fold") * F.col("_size"))) \
-            .drop("_n", "_size", "fold_start")
+    before its test block. ``position`` as in ``time_split``."""
+    if position:
+        df = time_position(df, ts, id_col)
+    keys = df.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("_ts_us"), id_col)
+
+    def starts(n):
+        size = F.floor(n / F.lit(k + 1))
+        return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: n - (F.lit(k) - i) * size + 1)).otherwise(F.array().cast("array<long>"))
+    cuts = select_keys(keys, ["_ts_us", id_col], starts).agg(F.array_sort(F.collect_list("key")).alias("_cuts"))  # k keys
+    fold = F.size(F.filter("_cuts", lambda c: c <= F.col("_fold_key"))) - 1
+    return (df.crossJoin(F.broadcast(cuts)).withColumn("_fold_key", _key(ts, id_col))
+            .withColumn("test_fold", F.when(fold >= 0, fold).cast("int")).drop("_cuts", "_fold_key"))
 
 
 def fold_frames(folded: DataFrame, i: int, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -76,18 +86,21 @@ def fold_frames(folded: DataFrame, i: int, k: int = 5) -> tuple[DataFrame, DataF
     return train, test
 
 
+def _class_cuts(df: DataFrame, seed: int, label: str, id_col: str, ranks) -> DataFrame:
+    """``df`` with each row's class, seeded hash, and the (hash, id) key at
+    the rank of its class (``_cut``; NULL if there is none)."""
+    h = df.withColumn("_cls", _y(label)).withColumn("_h", _seeded(seed, id_col))
+    cuts = select_keys(h.select("_cls", "_h", id_col), ["_h", id_col], ranks, by=["_cls"]).select(F.col("_cls").alias("_of"), F.col("key").alias("_cut"))
+    return h.join(F.broadcast(cuts), F.col("_cls") == F.col("_of"), "left").drop("_of")  # two rows
+
+
 def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
                      label: str = "is_fraud", id_col: str = "transaction_id") -> DataFrame:
     """L2: per class, the ``round(n_c * test_size)`` rows with the smallest
     seeded hash are 'test'; class shares are kept."""
-    h = df.withColumn("_cls", _y(label)).withColumn("_h", _seeded(seed, id_col)) \
-          .withColumn("_one", F.lit(1).cast("long"))
-    r = exclusive_prefix(h, "_h", ["_one"], tiebreak=[id_col], prefix="_pre", by=["_cls"])
-    n = h.groupBy("_cls").agg(F.count(F.lit(1)).alias("_nc"))
-    j = r.join(F.broadcast(n), "_cls")  # two rows
-    k = F.round(F.col("_nc").cast("double") * F.lit(float(test_size)))
-    return j.withColumn("split", F.when(F.col("_pre_one") < k, F.lit("test")).otherwise(F.lit("train"))) \
-            .drop("_cls", "_h", "_one", "_pre_one", "_nc")
+    j = _class_cuts(df, seed, label, id_col, lambda n: F.array(F.round(n.cast("double") * F.lit(float(test_size))).cast("long")))
+    test = F.col("_cut").isNotNull() & (F.struct("_h", id_col) <= F.col("_cut"))
+    return j.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("_cls", "_h", "_cut")
 
 
 def class_weight(df: DataFrame, label: str = "is_fraud") -> DataFrame:
@@ -103,14 +116,8 @@ def undersample(df: DataFrame, seed: int = 42, label: str = "is_fraud",
                 id_col: str = "transaction_id") -> DataFrame:
     """L4: keep every minority row and as many majority rows (smallest
     seeded hash first, no replacement) as there are minority rows."""
-    y = _y(label)
-    h = df.withColumn("_cls", y).withColumn("_h", _seeded(seed, id_col)) \
-          .withColumn("_one", F.lit(1).cast("long"))
-    cnt = h.groupBy("_cls").agg(F.count(F.lit(1)).alias("_nc"))
-    minority = cnt.agg(F.min("_nc").alias("_m"))
-    r = exclusive_prefix(h, "_h", ["_one"], tiebreak=[id_col], prefix="_pre", by=["_cls"])
-    j = r.crossJoin(F.broadcast(minority))
-    return j.filter(F.col("_pre_one") < F.col("_m")).drop("_cls", "_h", "_one", "_pre_one", "_m")
+    j = _class_cuts(df, seed, label, id_col, lambda n: F.array(F.min(n).over(Window.partitionBy())))  # a row per bin
+    return j.filter(F.struct("_h", id_col) <= F.col("_cut")).drop("_cls", "_h", "_cut")
 
 
 def resample(df: DataFrame, strategy: str = "class_weight", seed: int = 42, **kw) -> DataFrame:

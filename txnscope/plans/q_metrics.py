@@ -225,7 +225,7 @@ def l3(spark, sf):
 SELECT split, count(*) AS n, count(*) FILTER (WHERE {Y}) AS n_fraud,
   {S(f'CAST(count(*) FILTER (WHERE {Y}) AS DOUBLE) / CAST(count(*) AS DOUBLE)')} AS fraud_rate FROM s GROUP BY split""")
 def k15(spark, sf):
-    return snap_doubles(K.split_summary(L.time_split(txn_view(spark, sf), 0.2)))
+    return snap_doubles(K.split_summary(L.time_split(txn_view(spark, sf), 0.2, position=False)))
 
 
 _HASHED = f"""{W}, h AS (SELECT *, {Y} AS cls, CAST('0x' || substr(md5('42:' || transaction_id), 1, 12) AS BIGINT) AS hash FROM txn),

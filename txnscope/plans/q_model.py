@@ -5,6 +5,7 @@ model is fitted once per session and test-table directory and reused."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from txnscope.functions import scoring as P
@@ -36,9 +37,9 @@ def _ckpt(spark):
 
 
 def _split(spark, sf):
-    sp = time_split(_features(spark, sf), 0.2)
-    return (sp.filter(F.col("split") == "train").drop("split", "pos"),
-            sp.filter(F.col("split") == "test").drop("split", "pos"))
+    sp = time_split(_features(spark, sf), 0.2, position=False)
+    return (sp.filter(F.col("split") == "train").drop("split"),
+            sp.filter(F.col("split") == "test").drop("split"))
 
 
 def _model(spark, sf):
@@ -100,6 +101,16 @@ def m8(spark, sf):
     return M.row_attribution(_model(spark, sf), te, tid)
 
 
+@register("m7_m8_shapley_sums", f"""WITH {TXN_CTE} SELECT count(*) AS n_rows, 44 * count(*) AS n_values, CAST(0 AS BIGINT) AS n_bad FROM txn""",
+          "Shapley values of all rows add up to the model's margin")
+def m78(spark, sf):
+    model, f = _model(spark, sf), _features(spark, sf)
+    parts = M.attributions(model, f).groupBy("transaction_id").agg(F.sum("contribution").alias("s"), F.count("contribution").alias("c"))
+    margins = model.transform(M._prep(f)).select("transaction_id", vector_to_array("rawPrediction")[1].alias("m"))
+    return parts.join(margins, "transaction_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("c").alias("n_values"), F.count_if(F.abs(F.col("s") - F.col("m")) > 1e-9).alias("n_bad"))
+
+
 @register("m3_cross_validate")
 def m3(spark, sf):
     tr, _ = _split(spark, sf)
@@ -150,8 +161,12 @@ def p8(spark, sf):
                    "device_changed", "location_changed", "user_avg_amount", "user_std_amount",
                    "user_tx_number", "tx_count_1h", "tx_count_24h", "tx_amount_1h", "tx_amount_24h",
                    "time_since_last_tx", "receiver_tx_count")
-    scored, _rejected = M.score_raw(M.ModelBundle(_model(spark, sf), 0.75), raw)
-    return scored
+    # the view's amounts are all good: every 50th request loses its receiver or gets a negative amount
+    n = F.expr("try_cast(substring(transaction_id, 2) as bigint)") % 100
+    raw = raw.withColumn("receiver", F.when(n == 0, F.lit(None)).otherwise(F.col("receiver"))) \
+             .withColumn("amount", F.when(n == 50, -F.col("amount")).otherwise(F.col("amount")))
+    scored, rejected = M.score_raw(M.ModelBundle(_model(spark, sf), 0.75), raw)
+    return scored.unionByName(rejected.select("transaction_id", F.array_join("errors", ",").alias("errors")), allowMissingColumns=True)
 
 
 @register("p9_score_detailed")

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from txnscope.schema import FEATURE_NAMES, ID_COLUMNS, LABEL, TRANSACTION_SCHEMA, feature_type
 
 
-SALT = 4
+#: Rows of a day that go to one file.
+FILE_ROWS = 1_000_000
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
@@ -45,15 +46,19 @@ def finite_numbers(df: DataFrame) -> DataFrame:
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                   partition_by_date: bool = True) -> None:
+                   partition_by_date: bool = True, file_rows: int = FILE_ROWS) -> None:
     """Id columns + 43 features + label, partitioned by event date so
-    later reads prune by day."""
+    later reads prune by day. A day has one file for every ``file_rows`` of its
+    own rows, about: a quiet day is a single file, a busy one is dealt to many
+    tasks. The days' counts (a row per day) come from a narrow pass before."""
     cols = [c for c in ID_COLUMNS if c in df.columns] + FEATURE_NAMES + \
         ([LABEL] if LABEL in df.columns else [])
     out = df.select(*cols).withColumn("event_date", F.to_date("timestamp"))
     if partition_by_date:
-        # a day's rows meet in SALT tasks, so it has SALT files at most
-        out = out.withColumn("_salt", F.pmod(F.xxhash64("transaction_id"), F.lit(SALT))).repartition("event_date", "_salt").drop("_salt")
+        days = out.groupBy("event_date").agg(F.ceil(F.count(F.lit(1)) / F.lit(file_rows)).alias("_files")).withColumnRenamed("event_date", "_day")
+        out = out.join(F.broadcast(days), F.col("event_date").eqNullSafe(F.col("_day")))
+        out = out.withColumn("_salt", F.pmod(F.xxhash64("transaction_id"), F.col("_files")))
+        out = out.repartition("event_date", "_salt").drop("_salt", "_files", "_day")
     w = out.write.mode(mode).format(fmt)
     if partition_by_date:
         w = w.partitionBy("event_date")
