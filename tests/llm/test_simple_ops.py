@@ -123,8 +123,7 @@ def test_licenses_stay_native(spark, docs_of):
 def test_packing(spark, docs_of, words):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(op7_packing.default_tokenizer())
-    tok.encode_special_tokens = True
-    rows = [*AWKWARD, (12, " " * 3000), (13, "<|endoftext|>\n\n  it's 've")]
+    rows = [*AWKWARD, (12, " " * 3000), (13, "<|endoftext|>\n\n  it's 've"), (14, "hello <|endoftext|> world")]
     rows += [(100 + i, " ".join(words(5 + 37 * i % 900, i))) for i in range(150)]
     rows.append((999, " ".join(words(9000, 3))))
     df = docs_of(rows, ", piece int, _key long, ids string", (1, 2, "x")).repartition(7)
