@@ -23,6 +23,8 @@ HIST_FEATURES = ["hour", "is_night", "amount_raw", "amount_log", "tx_count_1h",
 COMPARE_FEATURES = ["hour", "amount_raw", "tx_count_1h", "tx_count_24h",
                     "amount_deviation", "time_since_last_tx", "is_night",
                     "is_new_receiver", "device_changed_flag"]
+#: Whole numbers from 0 below this are counted by a bitmap.
+BITMAP = 63
 INTERACTIONS = ["high_amount_at_night", "new_receiver_large_amount",
                 "device_changed_unusual_amount", "high_velocity_large_amount",
                 "night_device_change"]
@@ -216,47 +218,62 @@ BITMAP = 63
 def feature_summary(feat: DataFrame, features=FEATURE_NAMES) -> DataFrame:
     """Type, missing, distinct, mean, std per feature, in two levels.
 
-    Every task reduces its rows, batch by batch, to one row per feature
-    (counts, moments, and the small whole numbers, such as flags, hours and
-    most counts, as a bitmap) and one row for each other distinct value. Only
+    Every task reduces its rows to one row per feature (counts, moments, and
+    the small whole numbers, such as flags, hours and most counts, as a
+    bitmap) and, batch by batch, one row for each other distinct value. Only
     these are shuffled, so the distinct counts are exact without a row per
     feature and row. -0.0 is 0.0 and all NaN are one value."""
     names, types, n = list(features), dict(feat.dtypes), len(features)
 
-    def reduced(column) -> tuple:
-        x = column.drop_null().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-        mean = float(x.mean()) if len(x) else 0.0
-        moments = len(x), column.null_count, len(x) * mean, float(((x - mean) ** 2).sum() + len(x) * mean * mean)
-        value = np.unique(x)
-        whole = (value >= 0) & (value < BITMAP) & (value == np.floor(value))
-        bits = np.bitwise_or.reduce(np.int64(1) << value[whole].astype(np.int64), initial=np.int64(0))
-        return value[~whole], int(bits), *moments
+    def merged(one, two):
+        """Count, mean and squared deviations of both parts together."""
+        k = one[0] + two[0]
+        d = two[1] - one[1]
+        return (k, one[1] + d * two[0] / k, one[2] + two[2] + d * d * one[0] * two[0] / k) if one[0] and two[0] else (one if one[0] else two)
 
     def run(batches):
+        bits, missing, moments = [0] * n, [0] * n, [(0, 0.0, 0.0)] * n
         for batch in batches:
-            rest, *stats = zip(*(reduced(batch.column(i)) for i in range(n)))
-            more = sum(map(len, rest))
-            index = np.concatenate([np.arange(n), np.repeat(np.arange(n), list(map(len, rest)))]).astype(np.int32)
-            value = pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(np.concatenate(rest))])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(index), value, *(pa.concat_arrays([pa.array(c, t), pa.nulls(more, t)]) for c, t in zip(stats, kinds))],
-                names=["i", "value", "bits", "n", "missing", "s", "q"])
+            index, values = [], []
+            for i in range(n):
+                column = batch.column(i)
+                x = column.drop_null().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+                value = np.unique(x)
+                whole = (value >= 0) & (value < BITMAP) & (value == np.floor(value))
+                bits[i] |= int(np.bitwise_or.reduce(np.int64(1) << value[whole].astype(np.int64), initial=np.int64(0)))
+                missing[i] += column.null_count
+                mean = float(x.mean()) if len(x) else 0.0
+                moments[i] = merged(moments[i], (len(x), mean, float(((x - mean) ** 2).sum())))
+                values.append(value[~whole])
+                index.append(np.full(len(values[-1]), i, np.int32))
+            yield frame(np.concatenate(index), pa.array(np.concatenate(values)))
+        yield frame(np.arange(n, dtype=np.int32), pa.nulls(n, pa.float64()), bits, missing, [dict(zip(("n", "mean", "m2"), m)) for m in moments])
+
+    def frame(index, value, *stats):
+        kinds = pa.int64(), pa.int64(), pa.struct([("n", pa.int64()), ("mean", pa.float64()), ("m2", pa.float64())])
+        stats = [pa.array(c, t) for c, t in zip(stats, kinds)] or [pa.nulls(len(index), t) for t in kinds]
+        return pa.RecordBatch.from_arrays([pa.array(index), value, *stats], names=["i", "value", "bits", "missing", "part"])
 
     # doubles hold the features' integers exactly up to 2^53
     parts = feat.select(*[F.col(f).cast("double").alias(f) for f in names]).mapInArrow(
-        run, "i int, value double, bits long, n long, missing long, s double, q double")
-    values = parts.groupBy("i", "value").agg(F.bit_or("bits").alias("bits"), *[F.sum(c).alias(c) for c in ("n", "missing", "s", "q")])
-    own = F.col("value").isNull()  # the feature's own row
+        run, "i int, value double, bits long, missing long, part struct<n: long, mean: double, m2: double>")
+    # a row per value, and one per feature (value NULL) with a part from each task
+    values = parts.groupBy("i", "value").agg(F.bit_or("bits").alias("bits"), F.sum("missing").alias("missing"), F.collect_list("part").alias("parts"))
+    own = F.col("value").isNull()
     all_ = values.groupBy("i").agg(
         (F.count("value") + F.sum(F.when(own, F.bit_count("bits")).otherwise(0))).alias("n_unique"),
-        *[F.sum(F.when(own, F.col(c))).alias(c) for c in ("n", "missing", "s", "q")])
-    var = F.when(F.col("n") > 1, F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1))
+        F.sum("missing").alias("missing"), F.flatten(F.collect_list(F.when(own, F.col("parts")))).alias("parts"))
+
+    def together(a, p):
+        k, d = a["n"] + p["n"], p["mean"] - a["mean"]
+        both = F.struct(k.alias("n"), (a["mean"] + d * p["n"] / k).alias("mean"), (a["m2"] + p["m2"] + d * d * a["n"] * p["n"] / k).alias("m2"))
+        return F.when(p["n"] == 0, a).when(a["n"] == 0, p).otherwise(both)
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    all_ = all_.withColumn("m", F.reduce("parts", zero, together))
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("i") + 1)
     seen = all_.select(pick(names).alias("feature"), pick([types[f] for f in names]).alias("dtype"), "missing", "n_unique",
-                       F.try_divide(F.col("s"), F.col("n")).alias("mean"), F.sqrt(var).alias("std"))
-    if not names:
-        return seen
+                       F.when(F.col("m.n") > 0, F.col("m.mean")).alias("mean"),
+                       F.when(F.col("m.n") > 1, F.sqrt(F.col("m.m2") / (F.col("m.n") - 1))).alias("std"))
     # a table without rows has no batches: every feature still has its row
     listed = feat.sparkSession.createDataFrame([(f, types[f]) for f in names], "feature string, dtype string")
     return listed.join(F.broadcast(seen.drop("dtype")), "feature", "left").select(
