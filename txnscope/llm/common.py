@@ -13,6 +13,7 @@ from txnscope.session import checkpoint_dir
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ONE = np.uint64(1)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -20,13 +21,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the
-    lineage, fixes row identities, and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
+    lineage, fixes row identities, and survives lost executors. ``clean``: the
+    job's shuffle files go as soon as it has ended."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
+    held = spark.conf.get(CLEANUP)
+    if clean:  # nothing reads them again
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, held)
+    out = spark.read.schema(schema).parquet(path)
     out._written_path = path
     return out
 
@@ -56,6 +65,14 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finalizer (splitmix): spreads every input bit over the word."""
     with np.errstate(over="ignore"):

@@ -13,9 +13,12 @@ requested schema has ``payload`` (give ``.schema(...)`` with the wanted
 columns). One record is in memory at a time.
 
 Writing: each task writes files of its own attempt, rolled at
-``fileBytes``; the commit lists the files of the successful attempts in
-``_manifest.json``, which is all that readers look at. A lost executor's
-files are thus never read, and a failed job's files are removed.
+``fileBytes``; the commit lists the files of the successful attempts in a
+manifest of the job's own (``_manifest-*.json``), and the files of all
+manifests are what readers look at: a second write adds to the first, and one
+in mode ``overwrite`` replaces it. Files that no manifest lists (a lost
+executor's, a failed attempt's) are never read; if the job fails, those of its
+finished tasks are removed.
 
 Paths may be on any filesystem that pyarrow opens (local or mounted folders,
 hdfs, s3, gs).
@@ -315,15 +318,23 @@ class WarcReader(DataSourceReader):
                 yield header_value(headers, c)
 
 
+def manifests(fs, root: str) -> list[str]:
+    names = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(i.path for i in names if posixpath.basename(i.path).startswith("_manifest") and i.path.endswith(".json"))
+
+
 def listing(fs, root: str) -> list[tuple[str, int]]:
-    """The files of the manifest if there is one, else all .warc[.gz] files."""
+    """The files of the manifests if there are any, else all .warc[.gz] files."""
     info = fs.get_file_info(root)
     if info.type == pafs.FileType.File:
         return [(root, info.size)]
-    manifest = posixpath.join(root, "_manifest.json")
-    if fs.get_file_info(manifest).type == pafs.FileType.File:
-        with fs.open_input_file(manifest) as f:
-            return [(posixpath.join(root, n), s) for n, s in json.loads(f.read())]
+    known = manifests(fs, root)
+    if known:
+        out = []
+        for path in known:
+            with fs.open_input_file(path) as f:
+                out += [(posixpath.join(root, n), s) for n, s in json.loads(f.read())]
+        return out
     return [(i.path, i.size) for i in fs.get_file_info(pafs.FileSelector(root, recursive=True))
             if i.type == pafs.FileType.File and i.path.endswith((".warc", ".warc.gz"))]
 
@@ -338,8 +349,8 @@ class WarcWriter(DataSourceArrowWriter):
     payload_digest, refers_to, payload (binary), payload_length. Types response and revisit get an HTTP
     block; a revisit keeps the HTTP headers (with the payload's length) and no payload."""
 
-    def __init__(self, options):
-        self.options = dict(options)
+    def __init__(self, options, overwrite: bool = False):
+        self.options, self.overwrite = dict(options), overwrite
 
     def write(self, iterator):
         fs, root = open_fs(self.options["path"])
@@ -388,8 +399,12 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = open_fs(self.options["path"])
         fs.create_dir(root, recursive=True)
         files = [f for m in messages if m is not None for f in m.files]
-        with fs.open_output_stream(posixpath.join(root, "_manifest.json"), compression=None) as out:
+        before = [p for p in manifests(fs, root)] if self.overwrite else []
+        old = [p for p, _ in listing(fs, root)] if before else []
+        with fs.open_output_stream(posixpath.join(root, f"_manifest-{uuid.uuid4().hex}.json"), compression=None) as out:
             out.write(json.dumps(files).encode())
+        for path in [*before, *old]:  # the lists first: what they named is then no longer read
+            fs.delete_file(path)
 
     def abort(self, messages):
         fs, root = open_fs(self.options["path"])
@@ -410,7 +425,7 @@ class WarcSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -450,9 +465,9 @@ def page_records(pages: DataFrame, min_bytes: int = MIN_SHARED) -> DataFrame:
         F.when(~revisit, F.col("payload")).alias("payload"))
 
 
-def write_archive(records: DataFrame, path: str, **options) -> None:
+def write_archive(records: DataFrame, path: str, mode: str = "append", **options) -> None:
     register(records.sparkSession)
-    records.write.format("warc").mode("append").options(path=path, **options).save()
+    records.write.format("warc").mode(mode).options(path=path, **options).save()
 
 
 def read_archive(spark: SparkSession, path: str, columns: str = SCHEMA, **options) -> DataFrame:

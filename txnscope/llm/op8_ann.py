@@ -3,8 +3,9 @@ index with pivot inverted files.
 
 A vector is represented by its ``PREFIX`` nearest pivots in order. For each
 pivot, an inverted file posts the vectors that have it, with its place. A
-query adds up, over the files of its own pivots, the footrule distance of the
-orders (a pivot missing from a prefix counts as standing behind it). The
+query adds up, over the files of its own ``PROBES`` nearest pivots, the footrule
+distance of the orders (a pivot missing from a prefix counts as standing behind
+it). The
 ``RERANK`` share of a block with the smallest distance (``RERANK_LEAST``
 vectors at least) is then ranked by the exact inner product in double
 precision.
@@ -34,8 +35,9 @@ from txnscope.llm.common import written
 
 PIVOTS = 256
 PREFIX = 64
-RERANK = 0.2
-RERANK_LEAST = 1000
+PROBES = 32
+RERANK = 0.25
+RERANK_LEAST = 250
 BLOCK = 8192
 QUERIES = 1024
 
@@ -97,7 +99,7 @@ def best(score: np.ndarray, first_id: np.ndarray, n: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           n_pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, rerank_least: int = RERANK_LEAST,
+           n_pivots: int = PIVOTS, prefix: int = PREFIX, probes: int = PROBES, rerank: float = RERANK, rerank_least: int = RERANK_LEAST,
            block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row whose id is divisible
     by ``every`` the ``k`` nearest other rows found, nearest first, ties to
@@ -144,7 +146,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
                 first = np.array([i[0] for i in ids])
                 index = BlockIndex(vecs, pivots, extra, norm2, kp)
                 q = matrix([a["v"] for a in asked_rows])
-                orders = prefixes(q @ pivots.T, kp)
+                orders = prefixes(q @ pivots.T, min(probes, kp))
                 n_rerank = min(len(vecs), max(rerank_least, math.ceil(rerank * len(vecs))))
                 out = []
                 for a, query, order in zip(asked_rows, q, orders, strict=True):

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 DIM = 16
+PARTS = 64  # of a language's hashes
 SAMPLE_PER_LANG = 1000  # labelled rows per language used for training
 MAX_LANGS = 500
 EPOCHS = 8
@@ -158,12 +159,17 @@ def _counts(batches):
 def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> dict:
     """The model: {langs, table, bias, temperature, reject_below}. Rows that
-    are held out, have no language, or no letter are not learned from."""
+    are held out, have no language, or no letter are not learned from. The
+    sample is the ``sample_per_lang`` distinct texts of a language with the
+    smallest hashes, however often an id or a text is repeated."""
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
             .filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("t").isNotNull())
-            .withColumn("h", F.xxhash64(F.lit(9), "id")))
+            .withColumn("h", F.xxhash64(F.lit(9), "t")))
+    # equal texts are one; each part of a language passes on its smallest hashes
+    part = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h")
     w = Window.partitionBy("lang").orderBy("h")
-    cut = (rows.select("lang", "h").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_per_lang)
+    cut = (rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(part)).filter(F.col("n") <= sample_per_lang)
+           .withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_per_lang)
            .groupBy("lang").agg(F.max("h").alias("cut")))
     cuts = cut.orderBy("lang").limit(MAX_LANGS + 1).collect()  # one row per language
     if len(cuts) > MAX_LANGS:
@@ -174,7 +180,7 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, id_col: str = "
     chosen = F.lit(False)
     for r in cuts:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["cut"]))
-    sample = (rows.filter(chosen).select("lang", "t")
+    sample = (rows.filter(chosen).groupBy("lang", "h").agg(F.first("t").alias("t")).select("lang", "t")
               .mapInPandas(_counts, "lang string, buckets array<int>, counts array<int>"))
 
     def learn(pdf):
