@@ -263,3 +263,54 @@ def test_feature_summary_against_pandas(spark):
         assert abs(got[c].mean - x.mean()) < 1e-9 * max(1, abs(x.mean())) and abs(got[c]["std"] - x.std()) < 1e-6
     assert got["odd"].n_unique == 5 and got["none"].n_unique == 0 and got["none"].missing == 2000 and got["none"].mean is None
     assert [(r.feature, r.n_unique, r.missing) for r in feature_summary(df.limit(0), ["flag"]).collect()] == [("flag", 0, 0)]
+
+
+@pytest.mark.parametrize("kind,n_pivots,block", [("clusters", 12, 40), ("even", None, 2048), ("even", 5, 7)])
+def test_neighbours_against_all_pairs(spark, kind, n_pivots, block):
+    from txnscope.operators.neighbours import nearest_neighbours
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)).round(1)
+    if kind == "clusters":
+        x += rng.integers(0, 6, size=(300, 1)) * 100.0
+    x[:60] = x[0]  # many equal rows
+    x[60, 0] = -0.0
+    df = spark.createDataFrame([(f"r{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>").repartition(4)
+    near, share = nearest_neighbours(df, 5, n_pivots, block)
+    got = {r.id: r.near for r in near.collect()}
+    for i in range(300):
+        d = ((x - x[i]) ** 2).sum(1)
+        want = [f"r{j:04d}" for j in np.lexsort((np.arange(300), d)) if j != i][:5]
+        assert got[f"r{i:04d}"] == want, i
+    assert len(got) == 300 and (share < 0.35 if kind == "clusters" else share <= 1)
+    few = nearest_neighbours(df.filter("id in ('r0061', 'r0062')"), 5)[0].collect()
+    assert sorted((r.id, r.near) for r in few) == [("r0061", ["r0062"]), ("r0062", ["r0061"])]
+    assert nearest_neighbours(df.limit(0), 5)[0].count() == 0
+
+
+def test_smote_reaches_parity_between_neighbours(spark):
+    from txnscope.operators.neighbours import nearest_neighbours
+    rng = np.random.default_rng(8)
+    rows = [(f"t{i:03d}", float(rng.normal()), int(rng.integers(0, 9)), i % 11 == 0 if i else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "transaction_id string, a double, b int, is_fraud boolean")
+    out = L.resample(df, "smote", 5, features=["a", "b"])
+    again = L.resample(df.repartition(7), "smote", 5, features=["a", "b"])
+    got = out.collect()
+    assert sorted(map(str, got)) == sorted(map(str, again.collect()))
+    minority = {r[0]: (r[1], float(r[2])) for r in rows if r[3]}
+    assert sum(bool(r.is_fraud) for r in got) == sum(not r.is_fraud for r in got) == 200 - len(minority)
+    near = {r.id: r.near for r in nearest_neighbours(spark.createDataFrame([(i, list(v)) for i, v in minority.items()], "id string, v array<double>"), 5)[0].collect()}
+    new = [r for r in got if "~" in r.transaction_id]
+    per = {}
+    for r in new:
+        source = r.transaction_id.split("~")[0]
+        per[source] = per.get(source, 0) + 1
+        p, x = np.array(minority[source]), np.array([r.a, r.b])
+        gaps = []
+        for o in near[source]:
+            q = np.array(minority[o])
+            u = (x - p) @ (q - p) / max(((q - p) ** 2).sum(), 1e-300)
+            gaps.append(np.abs(p + u * (q - p) - x).max() if -1e-12 <= u <= 1 else 9)
+        assert min(gaps) < 1e-9
+    assert set(per) == set(minority) and max(per.values()) - min(per.values()) <= 1
+    one = df.filter("transaction_id in ('t001', 't002', 't011')")
+    assert L.resample(one, "smote", features=["a", "b"]).count() == 3

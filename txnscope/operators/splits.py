@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from txnscope.operators.ranking import global_row_number, select_keys
 
-STRATEGIES = ("none", "class_weight", "undersample")
+STRATEGIES = ("none", "class_weight", "undersample", "smote")
 
 
 def _is_true(label="is_fraud"):
@@ -123,17 +123,15 @@ def undersample(df: DataFrame, seed: int = 42, label: str = "is_fraud",
 def resample(df: DataFrame, strategy: str = "class_weight", seed: int = 42, **kw) -> DataFrame:
     """Dispatch. 'class_weight' and 'none' pass rows through (weights
     are applied by the trainer for 'class_weight'); 'undersample' drops
-    majority rows; unknown names raise.
-
-    'smote' is not built: exact k-nearest minority neighbours in 43
-    dimensions need all minority pairs or a capped candidate list, neither
-    of which holds at scale. Use 'class_weight' (the default)."""
+    majority rows; unknown names raise. 'smote' adds
+    minority rows up to parity (``neighbours.smote``)."""
     if strategy in ("none", "class_weight", None):
         return df
     if strategy == "undersample":
         return undersample(df, seed, **kw)
     if strategy == "smote":
-        raise NotImplementedError("smote needs exact minority kNN (all pairs); use class_weight")
+        from txnscope.operators.neighbours import smote
+        return smote(df, seed=seed, **kw)
     raise ValueError(f"unknown resampling strategy: {strategy!r}")
 
 

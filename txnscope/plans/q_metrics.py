@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from txnscope.functions.common import snap_sql as S
 from txnscope.operators import metrics as K
+from txnscope.operators.features import engineer_features, select_features
 from txnscope.plans.catalog import register
 from txnscope.plans.checked import snap_doubles
 from txnscope.plans.sqltext import TXN_CTE
@@ -207,6 +208,23 @@ def l1(spark, sf):
     return L.time_split(txn_view(spark, sf), 0.2).select("transaction_id", "pos", "split")
 
 
+@register("l5_smote_balance", f"""WITH {TXN_CTE}, c AS (SELECT count(*) FILTER (WHERE is_fraud) AS p, count(*) FILTER (WHERE NOT is_fraud) AS n FROM txn)
+SELECT y AS is_fraud, greatest(p, n) AS n_rows, CASE WHEN y THEN p ELSE n END AS n_given, CAST(0 AS BIGINT) AS n_outside
+FROM c, (VALUES (true), (false)) v(y)""", "minority rows up to parity, all between given rows")
+def l5(spark, sf):
+    f = select_features(engineer_features(txn_view(spark, sf)))
+    names = [c for c in f.columns if c not in ("transaction_id", "user_id", "timestamp", "is_fraud")]
+    out = L.resample(f, "smote", 42)
+    # a new row lies within the minority's range in every feature
+    of = f.filter("is_fraud").agg(*[F.min(c).cast("double").alias(f"lo_{c}") for c in names], *[F.max(c).cast("double").alias(f"hi_{c}") for c in names])
+    outside = F.lit(False)
+    for c in names:
+        outside = outside | (F.col(c) < F.col(f"lo_{c}") - 1e-9) | (F.col(c) > F.col(f"hi_{c}") + 1e-9)
+    new = F.col("transaction_id").contains("~")
+    return (out.crossJoin(F.broadcast(of)).groupBy("is_fraud")  # one row
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~new).alias("n_given"), F.count_if(new & outside).alias("n_outside")))
+
+
 @register("l7_time_series_folds", f"""{_POS}, q AS (SELECT *, n // 6 AS sz, n - 5 * (n // 6) AS st FROM p)
 SELECT transaction_id, pos, CAST(coalesce(CASE WHEN sz > 0 AND pos > st THEN floor((pos - 1 - st) / sz) END, -1) AS INTEGER) AS test_fold FROM q""")
 def l7(spark, sf):
