@@ -248,3 +248,19 @@ def test_stages_with_null_and_repeated_ids(spark, docs_of, words, tmp_path):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.substring_dedup(spark, docs_of(rows).repartition(3), str(tmp_path)).collect()]
     want = [(1, f"{a} {passage}"), (2, f"{b} "), (2, text[0]), (None, f"{c} {d}"), (None, text[1])]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_stages_keep_columns_with_clashing_names(spark, docs_of, words, tmp_path):
+    """Extra columns come back as they were, whatever they are called."""
+    import corpus_pipeline
+    w = words(120, 1)
+    rows = [(1, " ".join(w)), (2, " ".join([*words(80, 2), *w[:70], *words(80, 3)])), (3, " ".join(words(90, 4))), (4, " ".join(w))]
+    names = ["_row", "_cut", "_id", "_none", "_tk", "_of", "component_id"]
+    df = docs_of(rows, "".join(f", {c} string" for c in names), [f"v{i}" for i in range(len(names))])
+    near = corpus_pipeline.near_dedup(spark, df, str(tmp_path))
+    cut = corpus_pipeline.substring_dedup(spark, df, str(tmp_path))
+    for out, ids in ((near, [1, 2, 3]), (cut, [1, 2, 3])):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert sorted(r.doc_id for r in got) == ids
+        assert all([r[c] for c in names] == [f"v{i}" for i in range(len(names))] for r in got)

@@ -33,6 +33,19 @@ def test_warc_round_trip(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_warc_second_write_adds_and_overwrite_replaces(spark, tmp_path):
+    records = op1_warc.page_records(pages_of(spark, [(i, "u", f"page {i} " * 30) for i in range(6)]))
+    path = f"{tmp_path}/archive"
+    ids = lambda: sorted(r[0] for r in op1_warc.read_archive(spark, path, "record_id string").collect())
+    all_ids = sorted(r[0] for r in records.select("record_id").collect())
+    op1_warc.write_archive(records.filter("target_uri is not null and record_id <= '" + all_ids[2] + "'"), path)
+    op1_warc.write_archive(records.filter("record_id > '" + all_ids[2] + "'"), path)
+    assert ids() == all_ids
+    op1_warc.write_archive(records.filter("record_id = '" + all_ids[4] + "'"), path, mode="overwrite")
+    assert ids() == [all_ids[4]]
+    assert len([f for f in (tmp_path / "archive").iterdir() if f.name.endswith(".warc.gz")]) == 1
+
+
 def test_warc_empty_table(spark):
     assert op1_warc.warc_round_trip(spark, pages_of(spark, [])).count() == 0
 
@@ -113,6 +126,29 @@ def test_licenses_against_brute_force(spark, docs_of, words):
     assert op3_licenses.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [20, 60, 200])
+def test_long_templates_are_found_anywhere(spark, docs_of, words, size):
+    """A template of so many words, whole or with a tenth of it changed, at
+    every kind of place; and a third of it, which is not enough."""
+    t = sorted(set(words(3 * size, 5)), key=words(3 * size, 5).index)[:size]
+    templates = {"long": [" ".join(t)], "mit": ["released under the mit license"]}
+    rows, want = [], {}
+    for i, at in enumerate([0, 1, 15, 16, 33, 64, 100, 131]):
+        near = [w if k % 10 else f"x{k}" for k, w in enumerate(t)]
+        for j, (part, labels) in enumerate(((t, "long"), (near, "long"), (t[:size // 3], ""))):
+            rows.append((10 * i + j, " ".join([*words(at, i + 50), *part, *words(40, i + 900)])))
+            want[10 * i + j] = labels
+    rows.append((999, "released under the mit license"))
+    got = {r.doc_id: (r.labels, r.score) for r in op3_licenses.scan(docs_of(rows), {"cc by": "cc-by"}, templates).collect()}
+    assert {i: x[0] for i, x in got.items()} == {**want, 999: "mit"}
+    assert all(got[10 * i][1] == 1.0 for i in range(8))
+
+
+def test_phrases_that_overlap_themselves(spark, docs_of):
+    got = op3_licenses.scan(docs_of([(1, "a a a a"), (2, "b a"), (3, "x a b a b a")]), {"a a": "aa", "a b a": "aba"}).collect()
+    assert sorted((r.doc_id, r.n_base, r.first_word, r.last_word) for r in got) == [(1, 3, 0, 2), (2, 0, None, None), (3, 2, 1, 3)]
+
+
 def test_licenses_stay_native(spark, docs_of):
     plan = op3_licenses.scan(docs_of([(1, "all rights reserved")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan

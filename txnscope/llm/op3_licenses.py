@@ -52,7 +52,7 @@ TEMPLATES = {
             "permission is hereby granted free of charge to any person obtaining a copy of this software"],
     "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0"],
 }
-BLOCK = 32
+BLOCK = 32  # words of a block, at least
 MAX_TEMPLATE_WORDS = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -70,6 +70,20 @@ def spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
+def block_words(n: int) -> int:
+    """The length of blocks for a template of n words: with a step of half a
+    block, some block holds a place of the template whole."""
+    return max(BLOCK, 1 << (2 * (n - 1) - 1).bit_length()) if n > 1 else BLOCK
+
+
+def counted(phrase: str) -> str:
+    """A pattern with one match for every place of the phrase, also where
+    places of a phrase that repeats itself overlap."""
+    w = phrase.split()
+    overlaps = any(w[i:] == w[:len(w) - i] for i in range(1, len(w)))
+    return f" (?={phrase} )" if overlaps else f" {phrase}(?= )"
+
+
 def _lits(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -93,6 +107,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, templates: dic
         if not re.fullmatch(r"[0-9a-z]+( [0-9a-z]+)*", p):
             raise ValueError(f"phrase must be lower-case words: {p!r}")
     temps = [(label, sorted(set(t.split()))) for label, texts in sorted(templates.items()) for t in texts]
+    lengths = [block_words(len(t.split())) for _, texts in sorted(templates.items()) for t in texts]
     vocab = sorted({w for _, ws in temps for w in ws})
     if len(vocab) > MAX_TEMPLATE_WORDS or sum(len(ws) for _, ws in temps) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words to broadcast")
@@ -104,7 +119,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, templates: dic
     counts, firsts, lasts, labels = [], [], [], []
     for p, label in phrases.items():
         has = F.contains(s, F.lit(f" {p} "))
-        counts.append(F.when(has, F.regexp_count(s, F.lit(f" {p}(?= )"))).otherwise(F.lit(0)))
+        counts.append(F.when(has, F.regexp_count(s, F.lit(counted(p)))).otherwise(F.lit(0)))
         firsts.append(F.when(has, spaces(F.substring(s, F.lit(1), F.instr(s, f" {p} "))) - 1))
         lasts.append(F.when(has, F.col("n_words") - spaces(F.substring_index(s, f" {p} ", -1)) - len(p.split())))
         labels.append(F.when(has, F.lit(label)))
@@ -129,34 +144,43 @@ def scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, templates: dic
     index = index.join(F.broadcast(freq), "w", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sets = index.groupBy("t", "label", "t_size", "need").agg(
         F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ordered"))
-    prefix = (sets.select("t", "label", "t_size", "need", "ordered", F.posexplode("ordered").alias("t_pos", "e"))
+    prefixes = (sets.select("t", "label", "t_size", "need", "ordered", F.posexplode("ordered").alias("t_pos", "e"))
               .filter("t_pos <= t_size - need")
               .select("t", "label", "t_size", "need", F.col("ordered.w").alias("t_words"), "t_pos", F.col("e.w").alias("w")))
     order = sets.select(F.explode("ordered").alias("e")).select("e.n", "e.w").distinct()
     # the whole order as one bounded row: rank = position
     order = order.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda e: e["w"]).alias("_order"))
 
-    half = BLOCK // 2
     words = F.split(F.trim("_s"), " ")
-    blocks = (base.filter("_s is not null").select("_row", words.alias("_w"))
-              .select("_row", "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - 1 - half, F.lit(0)), F.lit(half))).alias("start"))
-              .select("_row", "start", F.array_distinct(F.slice("_w", F.col("start") + 1, F.lit(BLOCK))).alias("_b")))
-    blocks = blocks.crossJoin(F.broadcast(order))  # one row
-    blocks = (blocks.select("_row", "start", F.array_intersect("_order", "_b").alias("_b"))  # in global order
-              .filter(F.size("_b") >= min(need)))
-    seeds = blocks.select("_row", "start", "_b", F.posexplode("_b").alias("b_pos", "w"))
-    bound = 1 + F.least(F.col("t_size") - F.col("t_pos") - 1, F.size("_b") - F.col("b_pos") - 1)
-    # the words before both positions may match too: with both sides in the
-    # same order the first shared word is a seed of its own, so bounding by
-    # what follows loses no pair
-    hits = (seeds.join(F.broadcast(prefix), "w")
-            .filter((F.size("_b") >= F.col("need")) & (bound >= F.col("need")))
-            .select("_row", "start", "label", "need", "t_size",
-                    F.size(F.array_intersect("_b", "t_words")).alias("shared"))
-            .filter("shared >= need")
-            .groupBy("_row", "start", "label").agg(F.max(F.col("shared") / F.col("t_size")).alias("containment")))
+    texts = base.filter("_s is not null").select("_row", words.alias("_w"))
+
+    def hits_of(length: int) -> DataFrame:
+        """The templates of one block length against all blocks of it."""
+        mine = [i for i, n in enumerate(lengths) if n == length]
+        prefix, half = prefixes.filter(F.col("t").isin(mine)), length // 2
+        blocks = (texts.select("_row", "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - 1 - half, F.lit(0)), F.lit(half))).alias("start"))
+                  .select("_row", "start", F.array_distinct(F.slice("_w", F.col("start") + 1, F.lit(length))).alias("_b")))
+        blocks = blocks.crossJoin(F.broadcast(order))  # one row
+        blocks = (blocks.select("_row", "start", F.array_intersect("_order", "_b").alias("_b"))  # in global order
+                  .filter(F.size("_b") >= min(need[i] for i in mine)))
+        seeds = blocks.select("_row", "start", "_b", F.posexplode("_b").alias("b_pos", "w"))
+        bound = 1 + F.least(F.col("t_size") - F.col("t_pos") - 1, F.size("_b") - F.col("b_pos") - 1)
+        # the words before both positions may match too: with both sides in the
+        # same order the first shared word is a seed of its own, so bounding by
+        # what follows loses no pair
+        return (seeds.join(F.broadcast(prefix), "w")
+                .filter((F.size("_b") >= F.col("need")) & (bound >= F.col("need")))
+                .select("_row", "start", "label", "need", "t_size",
+                        F.size(F.array_intersect("_b", "t_words")).alias("shared"))
+                .filter("shared >= need")
+                .groupBy("_row", "start", F.lit(length).alias("length"), "label").agg(F.max(F.col("shared") / F.col("t_size")).alias("containment")))
+
+    first, *others = sorted(set(lengths))
+    hits = hits_of(first)
+    for n in others:
+        hits = hits.unionByName(hits_of(n))
     # at most one entry per label and block
-    per_block = (hits.groupBy("_row", "start").agg(F.collect_list(F.struct("label", "containment")).alias("m"))
+    per_block = (hits.groupBy("_row", "start", "length").agg(F.collect_list(F.struct("label", "containment")).alias("m"))
                  .withColumn("top", F.array_max("m.containment"))
                  .select("_row", "start", F.explode("m").alias("m"), "top"))
     per_label = per_block.groupBy("_row", F.col("m.label").alias("label")).agg(
