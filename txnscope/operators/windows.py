@@ -190,6 +190,8 @@ def _carries(busy: DataFrame, wins, chans, n_sums, user_col, id_col, receiver_co
                 .join(renamed, user.eqNullSafe(F.col("_u")) & (F.col(distinct_of) == F.col("_v")) & (s == F.col("_s")), "left")
                 .withColumn("_prev", F.coalesce("_prev", "_l")).drop("_u", "_v", "_s", "_l"))
     if wins:
+        # one parameter: with two, a filter would pass the index as the second
+        until = lambda t: (lambda c: c["us"] <= t)
         changes, timed = [], busy.filter("_w_us is not null")
         for i, (_, width) in enumerate(wins):
             def change(where, when, count, values, sign, i=i):
@@ -197,12 +199,12 @@ def _carries(busy: DataFrame, wins, chans, n_sums, user_col, id_col, receiver_co
                                 values.cast("long").alias("d"), F.lit(sign).alias("sign"))
             end = F.col(f"_end{i}")
             timed = timed.withColumn(f"_end{i}", F.col("_w_us") + F.lit(width))
-            timed = _with_slice(timed, f"_ends{i}", lambda c, end=end: c["us"] <= end)
+            timed = _with_slice(timed, f"_ends{i}", until(end))
             again = F.lit(False)
             if distinct_of:
                 back = F.col(f"_back{i}")
                 timed = timed.withColumn(f"_back{i}", F.col("_prev") + F.lit(width))
-                timed = _with_slice(timed, f"_backs{i}", lambda c, back=back: c["us"] <= back)
+                timed = _with_slice(timed, f"_backs{i}", until(back))
                 again = has_value & F.col("_prev").isNotNull() & (back >= F.col("_w_us"))
                 changes.append(F.when(again, change(F.col(f"_backs{i}"), back, 0, F.lit(1), 0)))
             changes.append(change(s, F.col("_w_us"), 1, F.when(has_value & ~again, 1).otherwise(0), 1))
