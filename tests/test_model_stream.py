@@ -85,6 +85,30 @@ def test_shapley_values_equal_the_sum_over_all_subsets(spark, signal):
     assert np.allclose(got, want, atol=1e-12) and abs(base - want_base) < 1e-12
 
 
+def test_shapley_values_come_from_tables_of_patterns(monkeypatch):
+    """Batches look their values up; paths of many features, which have no
+    table, give the same values by their patterns."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 12))
+    trees = [M.Leaf(0.7, np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0))]
+    for m in (1, 3, 6, 8, 10):
+        low = np.where(rng.random(m) < 0.5, -np.inf, -0.5)
+        trees.append(M.Leaf(rng.normal(), np.sort(rng.choice(12, m, replace=False)), low, low + np.where(np.isinf(low), 0, 1.2) + (low == -np.inf), rng.random(m)))
+        trees[-1].high[np.isinf(trees[-1].high)] = 0.4
+    want, base = np.zeros(x.shape), 0.0
+    for leaf in trees:
+        base += leaf.value * np.prod(leaf.share)
+        v = x[:, leaf.features]
+        if len(leaf.features):
+            want[:, leaf.features] += leaf.value * M.leaf_shapley(leaf.share, (v > leaf.low) & (v <= leaf.high))
+    tables = M.pattern_tables(trees)
+    assert [t is None for t in tables] == [True, False, False, False, False, True]
+    calls, real = [], M.leaf_shapley
+    monkeypatch.setattr(M, "leaf_shapley", lambda *a: calls.append(1) or real(*a))
+    got, got_base = M.shapley_values(trees, x, tables)
+    assert len(calls) == 1 and np.allclose(got, want, atol=1e-12) and abs(base - got_base) < 1e-12
+
+
 def test_importance_tables(spark, signal):
     model = M.train(signal, QUICK)
     imp = M.feature_importance(model, spark)
