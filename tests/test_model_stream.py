@@ -109,6 +109,15 @@ def test_shapley_values_come_from_tables_of_patterns(monkeypatch):
     assert len(calls) == 1 and np.allclose(got, want, atol=1e-12) and abs(base - got_base) < 1e-12
 
 
+def test_forest_keeps_the_rows_nodes(spark, signal):
+    """Without walking the trees again; they are the same trees."""
+    rf = M.train_random_forest(signal, num_trees=5, max_depth=4).stages[-1]
+    assert rf.getCacheNodeIds()
+    data = M._label(M._prep(signal))
+    again = M.RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=5, maxDepth=4, seed=42).fit(M.assembler().transform(data))
+    assert rf.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:]
+
+
 def test_importance_tables(spark, signal):
     model = M.train(signal, QUICK)
     imp = M.feature_importance(model, spark)
