@@ -287,6 +287,30 @@ def test_neighbours_against_all_pairs(spark, kind, n_pivots, block):
     assert nearest_neighbours(df.limit(0), 5)[0].count() == 0
 
 
+def test_neighbours_meet_in_blocks_and_rounds(spark, monkeypatch):
+    """No cell has blocks of its own if it is small, and no round sends a row
+    to more than ``ROUND`` blocks, however many cells there are."""
+    from txnscope.operators import neighbours as N
+    pivots = np.arange(40.0)[:, None]
+    blocks, n = N.deal({c: 3 for c in range(39)} | {39: 95}, pivots, 30)
+    assert n == 4 + 4 and blocks[39] == (4, 4)
+    assert all(sum(b == (i, 1) for b in blocks.values()) <= 10 for i in range(4)) and len(blocks) == 40
+    x = np.random.default_rng(5).normal(size=(400, 6))
+    df = spark.createDataFrame([(f"r{i}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    sent, real, made = [], N._round, []
+
+    def rounds(base, r, rounds, *args):
+        groups = real(base, r, rounds, *args)
+        sent.append((r, rounds))
+        made.append(groups.applyInPandas(lambda a, b: N.pd.DataFrame({"asked": [len(a)], "there": [len(b)]}), "asked long, there long").agg(
+            F.sum("asked"), F.sum("there")).first())
+        return groups
+    monkeypatch.setattr(N, "_round", rounds)
+    near, _ = N.nearest_neighbours(df, 5, 20, 25)
+    assert near.count() == 400 and len(sent) == sent[0][1] >= 4
+    assert all(a <= N.ROUND * 400 and t <= 2 * N.ROUND * 400 for a, t in made)  # blocks are half full at least, about
+
+
 def test_smote_reaches_parity_between_neighbours(spark):
     from txnscope.operators.neighbours import nearest_neighbours
     rng = np.random.default_rng(8)
