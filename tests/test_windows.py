@@ -238,3 +238,20 @@ def test_no_job_runs_while_the_plan_is_built(spark):
     time_window_features(t, distinct_of="receiver")
     assert len(tracker.getJobIdsForGroup("plan-only")) == 0
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_groups_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """The groups follow the rows' count, not only the shuffle partitions, and
+    so do the slices of a busy user; the results are the same."""
+    from txnscope.operators import windows as W
+    rows = [(f"t{i:05d}", "hot" if i % 2 else f"u{i % 40}", f"2024-01-01 {i // 250 % 24:02d}:{i // 5 % 60:02d}:{i % 60:02d}", float(i % 97), f"r{i % 7}", False, False, False)
+            for i in range(4000)]
+    df = make_txn(spark, rows).persist()
+    cols = ["tx_count_1h", "tx_amount_1h", "user_tx_number", "user_total_amount", "receiver_tx_count"]
+    want = _by_id(time_window_features(df), cols)
+    monkeypatch.setattr(W, "GROUP_ROWS", 100)
+    assert _by_id(time_window_features(df), cols) == want
+    keys = df.selectExpr("user_id AS u", "unix_micros(timestamp) AS us", "transaction_id AS id")
+    assert W.group_count(keys, 8).first()["_w_g"] == 40
+    assert len(sum(W.busy_cuts(keys, 8, W.group_count(keys, 8)).filter("_cu = 'hot'").first()["_cuts"], [])) >= 8
+    df.unpersist()

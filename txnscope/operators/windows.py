@@ -56,6 +56,11 @@ DEFAULT_BUCKET = 6 * 3600
 EXACT = "decimal(38,12)"
 #: Sampled keys for each slice; a user with fewer is not cut.
 SAMPLE = 32
+#: Rows that a group holds, about: its Python task keeps all of them at once.
+GROUP_ROWS = 1 << 17
+#: Sampled keys, for all slices, where the rows' count says how many there are;
+#: and for a slice at least.
+KEYS, FEW_KEYS = 1 << 13, 4
 CARRY, ROW, EVENT, RECEIVER, VALUE = range(5)
 
 
@@ -74,15 +79,26 @@ def _bucket(us: str, B: int) -> Column:
     return F.expr(f"({us} - pmod({us}, {B}L)) div {B}L")
 
 
-def busy_cuts(keys: DataFrame, n_slices: int) -> DataFrame:
+def group_count(keys: DataFrame, n_slices: int) -> DataFrame:
+    """One row: how many groups (``_w_g``) hold the rows, at least ``n_slices``."""
+    return keys.agg(F.greatest(F.lit(n_slices).cast("long"), F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("long")).alias("_w_g"))
+
+
+def busy_cuts(keys: DataFrame, n_slices: int, wanted: DataFrame | None = None) -> DataFrame:
     """``(u, us, id)`` -> ``(_cu, _cuts)``: for users with more than an
     ``n_slices``-th of all rows, about, the keys at which their slices begin,
-    in blocks. At most ``n_slices`` cuts in all."""
-    sample = keys.orderBy(F.xxhash64("u", "us", "id"), "u", "us", "id").limit(SAMPLE * n_slices)
+    in blocks. At most ``n_slices`` cuts in all, or as many as ``wanted`` (one
+    row, ``_w_g``) says, as far as the sample goes."""
+    n = SAMPLE * n_slices if wanted is None else max(KEYS, SAMPLE * n_slices)
+    sample = keys.orderBy(F.xxhash64("u", "us", "id"), "u", "us", "id").limit(n)
+    if wanted is None:
+        sample = sample.withColumn("_each", F.lit(SAMPLE).cast("long"))
+    else:
+        sample = sample.crossJoin(F.broadcast(wanted)).withColumn("_each", F.greatest(F.lit(FEW_KEYS).cast("long"), F.floor(F.lit(n) / F.col("_w_g")).cast("long"))).drop("_w_g")
     mine = Window.partitionBy("u")
     cut = (sample.withColumn("_n", F.row_number().over(mine.orderBy("us", "id")))
            .withColumn("_all", F.count(F.lit(1)).over(mine))
-           .filter((F.col("_all") >= SAMPLE) & (F.col("_n") % SAMPLE == 1) & (F.col("_n") > 1)))
+           .filter((F.col("_all") >= F.col("_each")) & (F.col("_n") % F.col("_each") == 1) & (F.col("_n") > 1)))
     cuts = cut.groupBy(F.col("u").alias("_cu")).agg(F.array_sort(F.collect_list(F.struct("us", "id"))).alias("_all"))
     step = F.ceil(F.sqrt(F.size("_all"))).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / step).cast("int")), lambda i: F.slice("_all", i * step + 1, step))
@@ -119,7 +135,9 @@ def time_window_features(
     """Add V (per window), H and R columns to ``df``; see module docstring.
 
     ``windows`` is a list of (suffix, seconds). ``n_slices`` (default: the
-    session's shuffle partitions) bounds a task's share of a busy user.
+    session's shuffle partitions, and more if a group would hold more than
+    about ``GROUP_ROWS`` rows, by a count in the plan) bounds a group's share
+    of all rows and of a busy user.
     ``running`` maps an output name to ``(column, include_current)``: the
     user's running sum of that column over earlier rows (and the current
     one if ``include_current``). ``sums`` maps a name to a column summed like
@@ -135,7 +153,7 @@ def time_window_features(
     """
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_slices = n_slices or partitions
+    fixed, n_slices = n_slices, n_slices or partitions
     wins = [(_w(n), int(s) * US) for n, s in windows]
     running, sums = dict(running or {}), dict(sums or {})
 
@@ -149,8 +167,9 @@ def time_window_features(
     base = df.select("*", F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_w_us"),
                      finite(F.col(amount_col)).alias("_w_x"),
                      *[finite(e).cast(EXACT).alias(c) for e, c in zip(exprs, chans)])
-    cuts = busy_cuts(df.select(F.col(user_col).alias("u"), F.unix_micros(F.col(ts_col).cast("timestamp")).alias("us"),
-                               F.col(id_col).alias("id")), n_slices)
+    keys = df.select(F.col(user_col).alias("u"), F.unix_micros(F.col(ts_col).cast("timestamp")).alias("us"), F.col(id_col).alias("id"))
+    wanted = None if fixed else group_count(keys, n_slices)
+    cuts = busy_cuts(keys, n_slices, wanted)
     base = base.withColumn("_key", F.struct(F.col("_w_us").alias("us"), F.col(id_col).alias("id")))
     same_user = base[user_col].eqNullSafe(cuts["_cu"])
     rows, busy = (_with_slice(base.join(F.broadcast(cuts), same_user, how), "_w_s", lambda c: c <= F.col("_key")).drop("_cu", "_key")
@@ -163,8 +182,11 @@ def time_window_features(
     stream = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in extra.items()])
     for p in parts:
         stream = stream.unionByName(p.select(*[(F.col(c) if c in p.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()]))
-    groups = max(n_slices, partitions)
-    stream = stream.withColumn("_w_p", F.pmod(F.xxhash64(user_col, "_w_s"), F.lit(groups))).repartition("_w_p")
+    if wanted is None:
+        stream = stream.withColumn("_w_g", F.lit(max(n_slices, partitions)))
+    else:
+        stream = stream.crossJoin(F.broadcast(wanted))  # one row
+    stream = stream.withColumn("_w_p", F.pmod(F.xxhash64(user_col, "_w_s"), F.col("_w_g"))).drop("_w_g").repartition("_w_p")
 
     spec = _Spec(wins, df.columns, user_col, id_col, receiver_col, distinct_of, list(sums), [(n, i) for n, (_, i) in running.items()],
                  history, gap, first_seen, prior_history)
