@@ -1,6 +1,7 @@
 """Model on a planted signal, attribution additivity, stream = batch."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -211,3 +212,110 @@ def test_profile_stream_equals_batch_and_survives_retries(spark):
     batch.write.mode("overwrite").parquet(f"{out}/changes/batch_id={last}")
     assert compact_profile(spark, out) == compact_profile(spark, out) == last > first
     assert _same(snap_doubles(read_profile(spark, out)), want)
+
+
+class _State:
+    """Value, list and map state in memory, and the timers of one key."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _List(_State):
+    def get(self):
+        return iter(self.value or [])
+
+    def appendValue(self, value):
+        self.value = [*(self.value or []), value]
+
+
+class _Map(_State):
+    def containsKey(self, key):
+        return key in (self.value or {})
+
+    def getValue(self, key):
+        return self.value[key]
+
+    def updateValue(self, key, value):
+        self.value = {**(self.value or {}), key: value}
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+        self.getValueState, self.getListState, self.getMapState = (lambda *_: _State()), (lambda *_: _List()), (lambda *_: _Map())
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def _stream_group(batches, columns):
+    """One group's output over micro-batches of (rows, watermark in ms)."""
+    from txnscope.streaming.features import UserFeatures
+    p = UserFeatures(columns)
+    p.init(handle := _Handle())
+    out = []
+    for rows, ms in batches:
+        if len(rows):
+            out += list(p.handleInputRows((0,), iter([rows]), _Watermark(ms)))
+        for due in sorted(t for t in handle.timers if t <= ms):
+            handle.timers.discard(due)
+            out += list(p.handleExpiredTimer((0,), _Watermark(ms), None))
+    return pd.concat(out, ignore_index=True).sort_values("transaction_id", ignore_index=True)
+
+
+def test_stream_group_keeps_its_users_apart():
+    """State is held by groups of users: a group that is released in steps
+    gives what each of its users gives alone and at once."""
+    from decimal import Decimal
+    rng = np.random.default_rng(5)
+    n, hour = 600, 3600 * 10**6
+    us = 10**15 + np.sort(rng.integers(0, 400, n)) * (hour // 4)  # many equal times
+    amount = np.round(rng.uniform(-5, 900, n), 2)
+    amount[rng.random(n) < 0.1] = np.nan
+    pick = lambda names: rng.choice(np.array(names, object), n)
+    rows = pd.DataFrame({"transaction_id": [f"t{i:04d}" for i in rng.permutation(n)], "user_id": pick([None, *[f"u{i}" for i in range(25)]]),
+                         "receiver": pick([None, "r1", "r2", "r3", "r4"]), "event_us": us, "event_amount": amount,
+                         "event_units": [None if v != v else Decimal(str(v)).quantize(Decimal(1).scaleb(-12)) for v in amount]})
+    pair = rows.user_id.fillna("-") + rows.receiver.fillna("-")
+    rows["event_bucket"] = [sum(map(ord, v)) % 3 for v in pair]
+    columns, end = ["transaction_id", "user_id", "receiver"], int(us.max()) // 1000 + 1
+    cuts = [0, 150, 160, 400, n]
+    steps = [(rows[a:b], int(us[a]) // 1000) for a, b in zip(cuts, cuts[1:])] + [(rows[:0], end)]
+    got = _stream_group(steps, columns)
+    alone = [_stream_group([(part, 0), (part[:0], end)], columns) for _, part in rows.groupby("user_id", dropna=False)]
+    want = pd.concat(alone, ignore_index=True).sort_values("transaction_id", ignore_index=True)
+    assert len(got) == n and not got["late"].any()
+    pd.testing.assert_frame_equal(got, want[got.columns], check_exact=True)
+    # running numbers and receivers against a plain loop
+    seen, paid = {}, {}
+    by_id = got.set_index("transaction_id")
+    for r in rows.sort_values(["event_us", "transaction_id"]).itertuples():
+        user = r.user_id or "-"
+        seen[user] = seen.get(user, 0) + 1
+        assert by_id.at[r.transaction_id, "user_tx_number"] == seen[user]
+        assert by_id.at[r.transaction_id, "receiver_tx_count"] == paid.get((user, r.receiver), 0)
+        paid[user, r.receiver] = paid.get((user, r.receiver), 0) + 1
