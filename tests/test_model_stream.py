@@ -119,6 +119,20 @@ def test_forest_keeps_the_rows_nodes(spark, signal):
     assert rf.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:]
 
 
+def test_the_best_trial_is_fitted_on_the_rows_of_the_folds(spark, monkeypatch):
+    """The last fit reads what the search has persisted, all rows of it."""
+    df = txn_view(spark, SF_MID).select("transaction_id", "timestamp", "is_fraud")
+    used = []
+    monkeypatch.setattr(M, "train", lambda rows, *a, **k: used.append(
+        (rows._jdf.queryExecution().executedPlan().toString(), rows.columns, rows.count())))
+    monkeypatch.setattr(M, "score", lambda model, rows: rows)
+    monkeypatch.setattr(M, "evaluate", lambda rows, **k: {"f1": 0.5})
+    M.tune(df, n_iter=1, k=2, grid={"maxIter": [2]})
+    plan, columns, n = used[-1]
+    assert len(used) == 3 and "InMemoryTableScan" in plan
+    assert columns == df.columns and n == df.count()
+
+
 def test_importance_tables(spark, signal):
     model = M.train(signal, QUICK)
     imp = M.feature_importance(model, spark)

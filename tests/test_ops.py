@@ -86,6 +86,26 @@ def test_selected_keys_against_a_sort(spark):
         assert [tuple(r.key) for r in one] == [sorted((v, i) for _, v, i in rows)[1999]]
 
 
+def test_cuts_are_searched_without_interpreted_lambdas(spark):
+    """The rows' bins and folds come from compiled steps, and are exact for
+    no, few and full cuts, equal and NULL keys."""
+    from txnscope.operators.ranking import select_keys, with_reached
+    keys = [None, -5, 0, 1, 1, 2, 7, 9, 10**6]
+    for cuts, most in (([], 1), ([1], 1), ([0, 1, 7], 3), (list(range(8)), 8), ([0, 1, 1, 1, 9], 200)):
+        rows = spark.createDataFrame([(k, cuts) for k in keys], "k long, c array<long>")
+        rows = rows.select(F.struct("k").alias("key"), F.transform("c", lambda x: F.struct(x.alias("k"))).alias("cuts"))
+        got = [(r.key.k, r.n) for r in with_reached(rows, "key", "cuts", most, "n").collect()]
+        assert got == [(k, sum(k is not None and c <= k for c in cuts)) for k in keys]
+    none = spark.createDataFrame([(1, None)], "k long, c array<long>")
+    assert with_reached(none, "k", "c", 4, "n").first()["n"] == 0
+    t = txn_view(spark, SF_MID)
+    for df in (select_keys(t.select("timestamp", "transaction_id"), ["timestamp", "transaction_id"], lambda n: F.array(n)),
+               L.time_series_folds(t, 5, position=False)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        rows = [line for line in plan.splitlines() if "filter(" in line and "lambdafunction" in line]
+        assert not rows
+
+
 def test_splits_move_no_rows_and_run_no_job(spark):
     t = txn_view(spark, SF_MID)
     tracker = spark.sparkContext.statusTracker()
