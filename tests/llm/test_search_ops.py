@@ -251,6 +251,32 @@ def test_recall_of_compound_keys():
     assert missed <= 3
 
 
+def test_spans_are_the_longest():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        hit, t = rng.random(rng.integers(1, 40)) < rng.choice([0.3, 0.7, 0.9]), int(rng.integers(1, 12))
+        share = float(rng.choice([0.8, 0.85, 8 / 9, 1.0]))
+        c = np.concatenate([[0], np.cumsum(hit)])
+        ok = [(s, e) for s in np.flatnonzero(hit).tolist() for e in (np.flatnonzero(hit) + 1).tolist()
+              if e - s >= t and c[e] - c[s] >= share * (e - s) - 1e-9]
+        want = [(s, e) for s, e in ok if not any(a <= s and e <= b and (a, b) != (s, e) for a, b in ok)]
+        assert op4_substrings.spans(hit, share, t) == want
+
+
+def test_found_passages_are_not_narrowed_again(words, monkeypatch):
+    """Texts with many passages in common: spans inside a passage already found are left."""
+    x, y = words(10, 1), words(10, 2)
+    for i in range(12):
+        p = words(120, 820 + i)
+        x, y = x + p + words(9, 840 + i), p[:60] + ["edit"] + p[60:] + words(9, 860 + i) + y
+    searched, spans = [], op4_substrings.spans
+    monkeypatch.setattr(op4_substrings, "spans", lambda *a: searched.append(1) or spans(*a))
+    got = op4_substrings.passages(tokens(x), tokens(y), 46, 0.8)
+    covered = {k for a, b, *_ in got for k in range(a, b)}
+    assert all(covered.issuperset(range(10 + 129 * i, 10 + 129 * i + 56)) for i in range(12))
+    assert len(searched) < 800  # 1,607 when all were narrowed
+
+
 def test_cut_spans():
     assert op4_substrings.cut_spans("a b\n c d", [(1, 3)]) == "a d"
     assert op4_substrings.cut_spans(" a b", [(0, 2)]) == " "
