@@ -333,3 +333,43 @@ def test_stream_group_keeps_its_users_apart():
         assert by_id.at[r.transaction_id, "user_tx_number"] == seen[user]
         assert by_id.at[r.transaction_id, "receiver_tx_count"] == paid.get((user, r.receiver), 0)
         paid[user, r.receiver] = paid.get((user, r.receiver), 0) + 1
+
+
+def test_the_trials_query_runs_the_whole_search(spark, monkeypatch):
+    """30 trials of the full grid in 5 folds, then the best one on all rows."""
+    from txnscope.operators.splits import time_series_folds
+    from txnscope.plans import q_model
+    rows = spark.range(240).select(
+        F.concat(F.lit("t"), "id").alias("transaction_id"), F.timestamp_seconds(F.col("id") * 60).alias("timestamp"), (F.col("id") % 7 == 0).alias("is_fraud"))
+    used = []
+    monkeypatch.setattr(q_model, "_split", lambda *_: (rows, rows))
+    monkeypatch.setattr(M, "train", lambda df, params, **k: used.append((params, df)))
+    monkeypatch.setattr(M, "score", lambda model, df: df)
+    monkeypatch.setattr(M, "evaluate", lambda df, **k: {"f1": 0.5})
+    got = q_model.m4(spark, "none").collect()
+    draws = M.sample_params(30, 42)
+    assert len(used) == 30 * 5 + 1 and len(got) == 5
+    assert all(sum(p == d for p, _ in used[:-1]) == 5 for d in draws)
+    assert used[-1][1].count() == 240
+    sizes = {df.count() for _, df in used[:10]}
+    folds = time_series_folds(rows, 5, position=False)
+    assert sizes == {folds.filter(F.col("test_fold").isNull() | (F.col("test_fold") < i)).count() for i in range(5)}
+
+
+def test_a_searchs_fits_run_at_a_time(spark, monkeypatch):
+    """Several at once; the trials are listed in their order."""
+    import threading
+    df = spark.range(60).select(
+        F.col("id").cast("string").alias("transaction_id"), F.timestamp_seconds("id").alias("timestamp"), (F.col("id") % 7 == 0).alias("is_fraud"))
+    two = threading.Barrier(2, timeout=60)
+    monkeypatch.setattr(M, "train", lambda rows, params, **k: params["maxIter"])
+    monkeypatch.setattr(M, "score", lambda model, rows: model)
+
+    def evaluate(m, **k):
+        two.wait()
+        return {"f1": m / 10}
+    monkeypatch.setattr(M, "evaluate", evaluate)
+    best, trials = M.tune(df, n_iter=3, k=2, grid={"maxIter": [2, 3, 4]})
+    draws = M.sample_params(3, 42, {"maxIter": [2, 3, 4]})
+    rows = trials.orderBy("trial").collect()
+    assert [r["mean_score"] for r in rows] == [d["maxIter"] / 10 for d in draws] and best == 4
