@@ -1,8 +1,10 @@
 """op2 near-duplicates, op4 passages, op5 decontamination."""
 
+import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from llm.conftest import AWKWARD
@@ -277,6 +279,61 @@ def test_found_passages_are_not_narrowed_again(words, monkeypatch):
     assert len(searched) < 800  # 1,607 when all were narrowed
 
 
+def test_a_text_in_several_pairs_is_read_once(words, monkeypatch):
+    read, tokens_of = [], op4_substrings.tokens_of
+    monkeypatch.setattr(op4_substrings, "tokens_of", lambda text, hashes: read.append(text) or tokens_of(text, hashes))
+    texts = [" ".join(words(8, 880 + i) + words(80, 879)) for i in range(6)]
+    pairs = pd.DataFrame([(d, 0, texts[d], texts[0]) for d in range(1, 6)], columns=["d", "p", "x", "y"])
+    got = pd.concat(op4_substrings._verify_pairs(46, 0.8)([pairs[:2], pairs[2:]]))
+    assert sorted(zip(got["d"], got["p"], got["ds"], got["ps"])) == [(d, 0, 8, 8) for d in range(1, 6)]
+    assert sorted(read) == sorted(texts)  # ten times when each pair read both
+
+
+def test_a_pair_of_spans_is_compared_once(words, monkeypatch):
+    compared, jaccard = [], op4_substrings.jaccard
+    monkeypatch.setattr(op4_substrings, "jaccard", lambda x, y: compared.append((x.tolist(), y.tolist())) or jaccard(x, y))
+    p, one = words(120, 890), words(1, 891)
+    x, y = words(9, 892) + p + words(6, 893) + one + p[:5], words(9, 894) + p[:60] + ["edit"] + p[60:] + words(7, 895) + p[:5]
+    got = op4_substrings.passages(tokens(x), tokens(y), 46, 0.8)
+    assert got and len(compared) <= 8  # 24 when every share's spans were compared
+
+
+def test_blocks_go_on_over_batches(words):
+    """Rows of one pair of blocks in several batches are one pair; groups stay apart."""
+    rows = []
+    for g in range(4):
+        p = words(90, 900 + g)
+        for d in range(5):
+            xs = tokens(words(6, 910 + 10 * g + d) + p)
+            rows.append((g, 0, 0, 100 * g + d, 0, 0, xs.tobytes()))
+    pdf = pd.DataFrame(rows, columns=["g", "b0", "b1", "d", "block", "at", "xs"])
+    run = op4_substrings._verify_blocks(46, 0.8)
+    whole, cut = (pd.concat(run(iter(q))) for q in ([pdf], [pdf[:2], pdf[2:3], pdf[3:11], pdf[11:11], pdf[11:]]))
+    want = [(100 * g + d, 100 * g) for g in range(4) for d in range(1, 5)]
+    assert sorted(zip(whole["d"], whole["p"])) == want
+    assert sorted(whole.itertuples(index=False)) == sorted(cut.itertuples(index=False))
+
+
+def test_groups_are_joined_part_by_part(spark, docs_of, words, monkeypatch):
+    """The passages don't depend on the number of parts, whose files go."""
+    rows = []
+    for i in range(4):
+        p = words(70, 930 + i)
+        rows += [(10 * i + k, " ".join(words(12, 940 + 10 * i + k) + p + words(12, 990 + 10 * i + k))) for k in range(3)]
+    docs = docs_of(rows)
+    one = sorted(op4_substrings.repeated_passages(docs).collect())
+    steps, each = [], op4_substrings.each
+    monkeypatch.setattr(op4_substrings, "each", lambda parts, step: steps.append(parts) or each(parts, step))
+    turns, in_turns = [], op4_substrings.in_turns
+    monkeypatch.setattr(op4_substrings, "in_turns", lambda rows, key, most, step: in_turns(rows, key, most, lambda *a: turns.append(key) or step(*a)))
+    monkeypatch.setattr(op4_substrings, "PART_ROWS", 50)
+    monkeypatch.setattr(op4_substrings, "TURN_PAIRS", 4)
+    monkeypatch.setattr(op4_substrings, "TURN_UNITS", 4)
+    assert sorted(op4_substrings.repeated_passages(docs).collect()) == one and len(one) == 8
+    assert len(steps) == 4 and all(len(parts) > 3 for parts in steps) and turns.count("d") >= 3
+    assert not any(os.path.exists(path.removeprefix("file:")) for parts in steps for q in parts for path in q._written_paths)
+
+
 def test_cut_spans():
     assert op4_substrings.cut_spans("a b\n c d", [(1, 3)]) == "a d"
     assert op4_substrings.cut_spans(" a b", [(0, 2)]) == " "
