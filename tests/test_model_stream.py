@@ -373,3 +373,27 @@ def test_a_searchs_fits_run_at_a_time(spark, monkeypatch):
     draws = M.sample_params(3, 42, {"maxIter": [2, 3, 4]})
     rows = trials.orderBy("trial").collect()
     assert [r["mean_score"] for r in rows] == [d["maxIter"] / 10 for d in draws] and best == 4
+
+
+def test_leaves_are_looked_up_in_groups():
+    """One lookup for several leaves of a tree, by the bounds that a row passes."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.integers(0, 5, (400, 6)).astype(float), [[np.inf, -np.inf, 0, 1, 2, 3], [np.nan] * 6]])
+    inf, trees = np.inf, []
+    for _ in range(20):  # two features cut twice: 4 x 2 leaves in a path
+        f = np.sort(rng.choice(6, 3, replace=False))
+        cuts = np.sort(rng.choice(4, (3, 2)) + 0.5, axis=1)
+        for i in range(3):
+            low, high = [-inf, cuts[0][0], cuts[0][1]][i], [cuts[0][0], cuts[0][1], inf][i]
+            for j in range(2):
+                trees.append(M.Leaf(rng.normal(), f, np.array([low, [-inf, cuts[1][0]][j], -inf]),
+                                    np.array([high, [cuts[1][0], inf][j], cuts[2][1]]), rng.random(3)))
+    want = np.zeros(x.shape)
+    for leaf in trees:
+        v = x[:, leaf.features]
+        want[:, leaf.features] += leaf.value * M.leaf_shapley(leaf.share, ((v > leaf.low) | (leaf.low == -np.inf)) & (v <= leaf.high))
+    grouped = M.grouped_tables(trees, M.pattern_tables(trees))
+    assert len(grouped.groups) <= len(trees) // 4 and not grouped.rest
+    assert all(g.values.shape[1] <= M.GROUP_STATES for g in grouped.groups)
+    got, _ = M.shapley_values(trees, x, grouped)
+    assert np.allclose(got, want, atol=1e-12)
