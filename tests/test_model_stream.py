@@ -397,3 +397,16 @@ def test_leaves_are_looked_up_in_groups():
     assert all(g.values.shape[1] <= M.GROUP_STATES for g in grouped.groups)
     got, _ = M.shapley_values(trees, x, grouped)
     assert np.allclose(got, want, atol=1e-12)
+
+
+def test_importances_are_compared_after_two_fits_at_a_time(spark, monkeypatch):
+    import threading
+    from txnscope.plans import q_model
+    both = threading.Barrier(2, timeout=60)
+    monkeypatch.setattr(q_model, "_features", lambda *_: "features")
+    monkeypatch.setattr(q_model, "_model", lambda *_: both.wait() * 0 + 1)
+    monkeypatch.setattr(M, "train_random_forest", lambda f, num_trees, max_depth: both.wait() * 0 + num_trees)
+    monkeypatch.setattr(M, "feature_importance", lambda m, s: s.createDataFrame(
+        [(f"f{i}", float(m * i)) for i in range(12)], "feature string, importance double"))
+    rows = q_model.m9(spark, "none").collect()
+    assert [tuple(r) for r in rows] == [(f"f{i}", float(i), 100.0 * i) for i in range(11, 1, -1)]
